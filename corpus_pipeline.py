@@ -1,13 +1,13 @@
-"""A training corpus from raw documents: five stages, each on all that the one before kept."""
+"""A training corpus from raw documents: stages that each work on all that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespan.llm import decontaminate, packing, pii, toxicity
+from lorespan.llm import decontaminate, jaccard_join, packing, pii, toxicity
 from lorespan.llm.common import materialize, table
 
-#: Rejection asks for more certainty than the operator's own label: clean documents must stay.
+#: Score from which a document is rejected.
 TOXIC_AT = 0.5
 
 
@@ -17,6 +17,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.remove_toxic(docs, model, TOXIC_AT)
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group that a shingle similarity of 0.8 or more links."""
+    return jaccard_join.deduplicate(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that benchmark passages contaminate; the others stay as they are."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -36,6 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_copies),
     ("decontamination", drop_contaminated),
     ("pii", redact_personal),
     ("packing", pack),

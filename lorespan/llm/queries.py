@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespan.llm import decontaminate, license_scan, packing, pii, quality_mil, quality_rules, token_count, token_files, toxicity
+from lorespan.llm import decontaminate, jaccard_join, license_scan, packing, pii, quality_mil, quality_rules, token_count, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         decontaminate.op3_decontamination,
         token_count.op4_token_counts,
         license_scan.op5_license_scans,
+        jaccard_join.op6_jaccard_join,
         quality_rules.op7_quality_rules,
         quality_mil.op8_quality_classifier,
         token_files.op9_token_files,
