@@ -6,20 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-
+from lorespan.plans import retrieval
 
-def modules() -> list:
-    return []
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (retrieval,)
 
 
 def queries() -> dict[str, Query]:
-    return {name: q for m in modules() for name, (q, _) in m.QUERIES.items()}
+    return {name: q for m in MODULES for name, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in modules() for name, (_, sql) in m.QUERIES.items() if sql}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return retrieval.search_hybrid(spark, sf_dir)
