@@ -78,7 +78,7 @@ def compact_name(text: Column) -> Column:
 def answer_text(text: Column) -> Column:
     """Lower, ASCII punctuation as spaces, articles dropped, white space collapsed."""
     plain = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?<![A-Za-z0-9_])(a|an|the)(?![A-Za-z0-9_])", " "), r"\s+", " "))
 
 
 def redact_feedback(text: Column, most: int = 600) -> Column:
