@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespan.plans import graph, relational, retrieval, text
+from lorespan.plans import graph, parsing, relational, retrieval, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (graph, relational, retrieval, text,)
+MODULES = (graph, parsing, relational, retrieval, text,)
 
 
 def queries() -> dict[str, Query]:
