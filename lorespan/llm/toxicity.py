@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import map_texts, table
+from lorespan.llm.common import map_texts, materialize, table
 from lorespan.llm.learning import fold, labelled_sample, sigmoid
 
 BUCKETS = 1 << 18
@@ -68,17 +68,14 @@ def _grouped(rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
     return distinct, np.bincount(at, weights=weights, minlength=len(distinct))
 
 
-def informative(rows: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
+def informative(in_all: np.ndarray, in_1: np.ndarray, n: int, n1: int) -> np.ndarray:
     """Rows whose presence in documents differs between the classes by LEAST_Z standard errors or more.
 
-    Where fewer than FEWEST_ROWS do, the FEWEST_ROWS with the largest differences.
+    ``in_all`` and ``in_1``: documents, and documents of class 1, that have the row. Where fewer than
+    FEWEST_ROWS differ so, the FEWEST_ROWS with the largest differences.
     """
-    n1 = y.sum()
-    n0 = len(y) - n1
-    in_all = np.bincount(rows, minlength=BUCKETS)
-    in_1 = np.bincount(rows, weights=y[doc], minlength=BUCKETS)
-    share = in_all / len(y)
-    z = np.abs(in_1 / n1 - (in_all - in_1) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
+    share = in_all / n
+    z = np.abs(in_1 / n1 - (in_all - in_1) / (n - n1)) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / (n - n1)))
     kept = (z >= LEAST_Z) & (in_all > 0)
     if kept.sum() < FEWEST_ROWS:
         kept = np.zeros(BUCKETS, dtype=bool)
@@ -89,7 +86,7 @@ def informative(rows: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
     """Train table, softmax and bias; returns each row's amount in the class difference, and the bias.
 
-    Rows that tell nothing about the classes stay zero vectors, and weights are scaled to a common
+    Bags hold informative rows only; the others stay zero vectors. Weights are scaled to a common
     spread, so that rare n-grams can't be learnt by heart. The gradient of the softmax loss by a table
     row is the row's weighted sum of errors times the difference of the two class vectors.
     """
@@ -101,9 +98,6 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int
     rows = np.concatenate([b[0] for b in bags])
     weights = np.concatenate([b[1] for b in bags]).astype(np.float64)
     doc = np.repeat(np.arange(n), [len(b[0]) for b in bags]).astype(np.int32)
-    kept = informative(rows, doc, y)
-    used = kept[rows]
-    rows, weights, doc = rows[used], weights[used], doc[used]
     spread = np.sqrt(np.bincount(rows, weights=weights**2, minlength=BUCKETS) / n)
     scale = np.divide(1.0, spread * np.sqrt(max(1.0, len(rows) / n)), out=np.zeros(BUCKETS), where=spread > 0)
     weights = weights * scale[rows]
@@ -120,7 +114,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int
         table -= RATE * speed[0]
         out -= RATE * speed[1]
         bias -= RATE * speed[2]
-    return (table @ (out[:, 1] - out[:, 0]) * scale * kept).astype(np.float32), float(bias)
+    return (table @ (out[:, 1] - out[:, 0]) * scale).astype(np.float32), float(bias)
 
 
 class ToxicityModel:
@@ -159,15 +153,29 @@ _memos: dict[int, _Memo] = {}
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held_out: int = 0, sample: dict[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Fit on at most ``sample[y]`` labelled documents of class y outside the held-out fold.
 
-    Bags are made on the executors; the driver gets rows and weights only (at most BUCKETS pairs a
-    document). Without labelled rows every text scores 0.5, with one class only it gets that class.
+    Bags are made on the executors. Spark counts documents by row and class; the driver gets these counts (one
+    line a row of the table at most) and then, of each document, the informative rows only. Without labelled
+    rows every text scores 0.5, with one class only it gets that class.
     """
-    picked = labelled_sample(docs, labels, label, modulus, held_out, SAMPLE if sample is None else sample, id_col, text_col)
+    picked = materialize(labelled_sample(docs, labels, label, modulus, held_out, SAMPLE if sample is None else sample, id_col, text_col), "sample")
+
+    def present(texts: list[str]) -> list:
+        bags = _Bags()
+        return [[document_bag(t, bags)[0] for t in texts]]
+
+    rows = map_texts(picked, present, [("rows", "array<int>")], carry=("y",)).select("y", F.explode("rows").alias("row"))
+    counts = rows.groupBy("row").agg(F.count("*").alias("n"), F.sum("y").alias("n1")).toArrow()
+    classes = {r["y"]: r["n"] for r in picked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    in_all, in_1 = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    at = counts.column("row").to_numpy()
+    in_all[at], in_1[at] = counts.column("n").to_numpy(), counts.column("n1").to_numpy()
+    n, n1 = sum(classes.values()), classes.get(1, 0)
+    kept = informative(in_all, in_1, n, n1) if 0 < n1 < n else np.zeros(BUCKETS, dtype=bool)
 
     def compute(texts: list[str]) -> list:
         bags = _Bags()
         made = [document_bag(t, bags) for t in texts]
-        return [[m[0].tobytes() for m in made], [m[1].tobytes() for m in made]]
+        return [[m[0][kept[m[0]]].tobytes() for m in made], [m[1][kept[m[0]]].tobytes() for m in made]]
 
     got = map_texts(picked, compute, [("rows", "binary"), ("weights", "binary")], carry=("y",)).orderBy("doc_id").collect()
     bags = [(np.frombuffer(r["rows"], np.int32), np.frombuffer(r["weights"], np.float32)) for r in got]
