@@ -169,6 +169,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         raise ValueError(remove)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("t"))
     found = find_contamination(packed.withColumn("id", F.lit(0)), benchmark, window, "id", "t", carry=("row",))
+    # written first: a filter on the verdict would be pushed below the projections that make it, and cut each text into words at every window
+    found = materialize(found, "verdicts")
     if remove == "documents":
         return found.filter(~F.col("contaminated")).select("row.*")
     tokens = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
