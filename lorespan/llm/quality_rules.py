@@ -2,8 +2,9 @@
 
 Spark counts words by language, then character n-grams of the distinct words, then the
 continuation counts and context sums of every order; joins give interpolated probabilities
-and back-off weights. They are folded into a sorted array of hashes with one value each,
-of at most 2 ** SLOT_BITS entries, which scoring tasks search. A document's perplexity is
+and back-off weights. Nothing is folded: the model holds every n-gram. As it counts all texts,
+it has each n-gram of a text at the highest order. Scoring tasks know the most frequent ones
+by themselves; the others go, counted by text, through a join. A document's perplexity is
 per character; each language has a band around its median, as wide as its own spread asks,
 and documents above or below it are rejected, beside those that fail the plain rules.
 """
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from lorespan.llm.common import map_texts, materialize, table
 
 ORDER = 4
-#: The model has at most 2 ** SLOT_BITS values (8 bytes each with its hash); n-grams that share a slot share the more frequent one's value.
-SLOT_BITS = 24
+#: Names in the hash arrays are known by so many bits of their hash.
+SLOT_BITS = 64
+#: Scoring tasks know at most so many n-grams, the most frequent ones; all others are joined.
+HOT_GRAMS = 1 << 16
 #: Half-width of a language's band: BAND quartile distances (and BAND_FLOOR nats at least) from the median.
 BAND, BAND_FLOOR = 8.0, 0.4
 CACHE_ENTRIES = 500_000
@@ -38,8 +41,8 @@ def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return flat.filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("c"))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(name, value, weight): log probabilities 'p<order>:lang:gram' and log back-off weights 'b<order>:lang:context'.
+def level_probabilities(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
+    """Of each order from 1: (lang, g, c, p) of every n-gram, and (lang, ctx, total, value) with each context's back-off weight.
 
     Words are padded with order - 1 start marks and an end mark. Discounts D1, D2, D3+ of an order come
     from its counts of counts, by language; where those leave a discount undefined it is n / (n + 1) of it.
@@ -52,7 +55,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     for k in range(order - 1, 0, -1):  # below the highest order a count is the number of distinct characters before it
         level = level.groupBy("lang", F.substring("g", 2, k).alias("g")).agg(F.count("*").alias("c"))
         levels[k] = level = materialize(level, f"grams{k}")
-    lower, named = None, None
+    lower, out = None, []
     for k in range(1, order + 1):
         now = levels[k]
         coc = now.groupBy("lang").agg(*[F.sum(F.when(F.col("c") == n, 1).otherwise(0)).alias(f"n{n}") for n in (1, 2, 3, 4)])
@@ -75,6 +78,14 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         back = ctxs.withColumn("value", F.col("left") / F.col("total") if k > 1 else F.col("left") / F.col("total") / (F.col("kinds") + 1))
         here = materialize(here.select("lang", "g", "c", "p"), f"probs{k}")
         lower = here.select("lang", F.col("g").alias("s"), F.col("p").alias("lp"))
+        out.append((here, back))
+    return out
+
+
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(name, value, weight): log probabilities 'p<order>:lang:gram' and log back-off weights 'b<order>:lang:context'."""
+    named = None
+    for k, (here, back) in enumerate(level_probabilities(counts, order), 1):
         both = here.select(F.concat_ws(":", F.lit(f"p{k}"), "lang", "g").alias("name"), F.log("p").alias("value"), F.col("c").cast("double").alias("weight")).unionByName(
             back.select(F.concat_ws(":", F.lit(f"b{k}"), "lang", "ctx").alias("name"), F.log("value").alias("value"), F.col("total").cast("double").alias("weight"))
         )
@@ -82,16 +93,69 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return named
 
 
-def hash_arrays(named: DataFrame, slot_bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted slots and their values; bounded by the number of slots."""
-    slot = F.pmod(F.xxhash64("name"), F.lit(1 << slot_bits)).cast("int").alias("slot")
-    folded = named.select(slot, "value", "weight").groupBy("slot").agg(F.max(F.struct("weight", "value"))["value"].cast("float").alias("value"))
-    got = folded.toArrow()
-    slots, values = got.column("slot").to_numpy().astype(np.uint32), got.column("value").to_numpy().astype(np.float32)
+def hash_arrays(named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and their values, of a model that one process holds whole."""
+    got = named.select(F.xxhash64("name").alias("slot"), F.col("value").cast("float").alias("value")).toArrow()
+    slots, values = got.column("slot").to_numpy().view(np.uint64), got.column("value").to_numpy().astype(np.float32)
     at = np.argsort(slots)
     return slots[at], values[at]
 
 
+def hot_grams(probs: DataFrame, most: int) -> tuple[dict[str, dict[str, float]], int]:
+    """Log probabilities of the most frequent n-grams by language, and the count from which n-grams are among them."""
+    step = F.floor(F.log2("c") * 8)
+    at, held = None, 0
+    for r in probs.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("step")).collect():  # at most 8 rows a bit of a count
+        held += r.n
+        if held > most:
+            break
+        at = r.least
+    if at is None:
+        return {}, 1 << 62
+    out: dict[str, dict[str, float]] = {}
+    got = probs.filter(F.col("c") >= at).select("lang", "g", F.log("p").alias("lp")).toArrow()
+    for lang, g, lp in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True):
+        out.setdefault(lang, {})[g] = lp
+    return out, at
+
+
+class TextScorer:
+    """Sums the log probabilities of the n-grams it knows and counts the others; remembers words."""
+
+    def __init__(self, hot: dict[str, dict[str, float]], order: int):
+        self.hot, self.order = hot, order
+        self.words: dict[str, dict[bytes, tuple[float, int, tuple[str, ...]]]] = {}
+
+    def word(self, hot: dict[str, float], word: bytes) -> tuple[float, int, tuple[str, ...]]:
+        n, total, cold = self.order, 0.0, []
+        marked = _START * (n - 1) + word.decode("utf-8", "replace") + _END
+        for i in range(len(marked) - n + 1):
+            p = hot.get(marked[i : i + n])
+            if p is None:
+                cold.append(marked[i : i + n])
+            else:
+                total += p
+        return total, len(marked) - n + 1, tuple(cold)
+
+    def text(self, lang: str, words: list[bytes]) -> tuple[float, int, dict[str, int]]:
+        """Log probability of the known n-grams, number of characters, and how often each other n-gram occurs."""
+        memo, hot = self.words.setdefault(lang, {}), self.hot.get(lang, {})
+        total, n, others = 0.0, 0, {}
+        for w in words:
+            got = memo.get(w)
+            if got is None:
+                if len(memo) >= CACHE_ENTRIES:
+                    memo.clear()
+                got = self.word(hot, w)
+                if len(w) <= 64:
+                    memo[w] = got
+            total += got[0]
+            n += got[1]
+            for g in got[2]:
+                others[g] = others.get(g, 0) + 1
+        return total, n, others
+
+
 class NgramScorer:
     """Log probability of words from the hash arrays, with back-off; remembers n-grams and words."""
 
@@ -105,7 +169,7 @@ class NgramScorer:
 
     def look(self, name: str) -> float | None:
         slot = self.digest(name.encode(), seed=42) & self.mask
-        i = int(np.searchsorted(self.slots, np.uint32(slot)))
+        i = int(np.searchsorted(self.slots, np.uint64(slot)))
         return float(self.values[i]) if i < len(self.slots) and self.slots[i] == slot else None
 
     def gram(self, lang: str, gram: str) -> float:
@@ -168,10 +232,10 @@ def base_measures(text: str, words: list[bytes]) -> tuple[int, int, int, int]:
     return chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-_scorers: dict[str, NgramScorer] = {}
+_scorers: dict[str, TextScorer] = {}
 
 
-def score_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, band: float = BAND, floor: float = BAND_FLOOR) -> DataFrame:
+def score_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, band: float = BAND, floor: float = BAND_FLOOR, hot: int = HOT_GRAMS) -> DataFrame:
     """Plain rules and perplexity band for every whole text.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
@@ -180,25 +244,33 @@ def score_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     language of which no document does needs no band.
     """
     spark = docs.sparkSession
-    slots, values = hash_arrays(kneser_ney(materialize(word_counts(docs, text_col, lang_col), "words"), order))
-    model = spark.sparkContext.broadcast((slots, values))  # bounded by SLOT_BITS
+    probs = level_probabilities(materialize(word_counts(docs, text_col, lang_col), "words"), order)[-1][0]
+    known, known_from = hot_grams(probs, hot)
+    model = spark.sparkContext.broadcast(known)  # bounded by HOT_GRAMS
     model_id = uuid.uuid4().hex
-    with_lang = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(_NO_LANG)).alias("lang"))
-    packed = with_lang.select("id", F.concat("lang", F.lit("\x00"), F.coalesce("text", F.lit(""))).alias("both"), "lang")
+    with_lang = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(_NO_LANG)).alias("lang"), F.monotonically_increasing_id().alias("row"))
+    packed = with_lang.select("id", "row", F.concat("lang", F.lit("\x00"), F.coalesce("text", F.lit(""))).alias("both"), "lang")
 
     def compute(texts: list[str]) -> list:
         if model_id not in _scorers:
             _scorers.clear()
-            _scorers[model_id] = NgramScorer(*model.value, order, SLOT_BITS)
+            _scorers[model_id] = TextScorer(model.value, order)
         scorer, rows = _scorers[model_id], []
         for both in texts:
             lang, _, text = both.partition("\x00")
             words = text.encode().split()
-            rows.append((len(words), *base_measures(text, words), scorer.log_perplexity(lang, words)))
-        return [[r[i] for r in rows] for i in range(6)]
-
-    fields = [(n, "long") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("log_perplexity", "double")]
-    scored = map_texts(packed, compute, fields, "id", "both", carry=("lang",))
+            total, n, others = scorer.text(lang, words)
+            rows.append((len(words), *base_measures(text, words), total, n, list(others), list(others.values())))
+        return [[r[i] for r in rows] for i in range(9)]
+
+    fields = [(n, "long") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("known", "double"), ("n_grams", "long"), ("others", "array<string>"), ("times", "array<long>")]
+    measured = materialize(map_texts(packed, compute, fields, "id", "both", carry=("lang", "row")), "measured")
+    others = measured.select("row", "lang", F.explode(F.arrays_zip("others", "times")).alias("o")).select("row", "lang", F.col("o.others").alias("g"), F.col("o.times").alias("times"))
+    rest = others.join(probs.filter(F.col("c") < known_from).select("lang", "g", F.log("p").alias("lp")), ["lang", "g"])
+    rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.col("lp")).alias("rest"))
+    total = F.col("known") + F.coalesce("rest", F.lit(0.0))
+    log_perplexity = F.when(F.col("n_grams") > 0, F.round(-total / F.col("n_grams"), 9)).otherwise(F.lit(0.0))
+    scored = measured.drop("others", "times").join(rest, "row", "left").withColumn("log_perplexity", log_perplexity).drop("row", "known", "rest", "n_grams")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = materialize(scored.withColumn("base_failed", failed), "scored")
     q = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10000)

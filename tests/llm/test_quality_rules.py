@@ -63,3 +63,17 @@ def test_rules_reject_gibberish_and_keep_clean(spark):
         text = next(t for i, t, _ in rows if i == r.doc_id)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain(text)
     assert R.score_rules(docs.limit(0)).count() == 0
+
+
+def test_every_ngram_keeps_its_own_value(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60)), "en") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    named = R.kneser_ney(R.word_counts(docs))
+    slots, made = R.hash_arrays(named)
+    assert len(slots) == named.count() > 50_000  # about a hundred of these would share a slot of 2 ** 24
+    scorer = R.NgramScorer(slots, made, R.ORDER, R.SLOT_BITS)
+    want = {i: scorer.log_perplexity("en", text.encode().split()) for i, text, _ in rows}
+    for hot in (0, 500, R.HOT_GRAMS):
+        got = {r.doc_id: r.log_perplexity for r in R.score_rules(docs, hot=hot).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-5 for i in want), hot
