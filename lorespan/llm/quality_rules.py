@@ -5,7 +5,7 @@ continuation counts and context sums of every order; joins give interpolated pro
 and back-off weights. Nothing is folded: the model holds every n-gram. As it counts all texts,
 it has each n-gram of a text at the highest order. Scoring tasks know the most frequent ones
 by themselves; the others go, counted by text, through a join. A document's perplexity is
-per character; each language has a band around its median, as wide as its own spread asks,
+per character; each language has a band around its densest half, as wide as that half asks,
 and documents above or below it are rejected, beside those that fail the plain rules.
 """
 
@@ -25,8 +25,9 @@ ORDER = 4
 SLOT_BITS = 64
 #: Scoring tasks know at most so many n-grams, the most frequent ones; all others are joined.
 HOT_GRAMS = 1 << 16
-#: Half-width of a language's band: BAND quartile distances (and BAND_FLOOR nats at least) from the median.
-BAND, BAND_FLOOR = 8.0, 0.4
+#: A language's band lies around the shortest interval that holds half of its documents, BAND times as wide and BAND_FLOOR nats to
+#: each side at least, more where fewer documents than BAND_FEW tell little. Junk of less than half, above or below, doesn't widen it.
+BAND, BAND_FLOOR, BAND_FEW = 8.0, 0.2, 20
 CACHE_ENTRIES = 500_000
 _START, _END = "\x02", "\x03"
 _SYMBOLS = "#*$%&|<>"
@@ -273,10 +274,14 @@ def score_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scored = measured.drop("others", "times").join(rest, "row", "left").withColumn("log_perplexity", log_perplexity).drop("row", "known", "rest", "n_grams")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = materialize(scored.withColumn("base_failed", failed), "scored")
-    q = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10000)
-    bands = scored.filter(~F.col("base_failed")).groupBy("lang").agg(q.alias("q"))
-    half: Column = F.greatest(F.lit(floor), F.lit(band) * (F.col("q")[2] - F.col("q")[0]))
-    bands = bands.select("lang", (F.col("q")[1] - half).alias("low"), (F.col("q")[1] + half).alias("high"))
+    steps = 40
+    q = F.percentile_approx("log_perplexity", [i / steps for i in range(steps + 1)], 10000)
+    bands = scored.filter(~F.col("base_failed")).groupBy("lang").agg(q.alias("q"), F.count("*").alias("n"))
+    halves = F.transform(F.sequence(F.lit(0), F.lit(steps // 2)), lambda i: F.struct((F.get("q", i + steps // 2) - F.get("q", i)).alias("width"), F.get("q", i).alias("low")))
+    bands = bands.select("n", F.array_min(halves).alias("half"), "lang")
+    middle = F.col("half.low") + F.col("half.width") / 2
+    half: Column = F.greatest(F.lit(floor) * (1 + F.lit(BAND_FEW) / F.col("n")), F.lit(band) * F.col("half.width") / 2)
+    bands = bands.select("lang", (middle - half).alias("low"), (middle + half).alias("high"))
     judged = scored.join(bands, "lang", "left")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", "log_perplexity")

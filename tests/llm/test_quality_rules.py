@@ -77,3 +77,20 @@ def test_every_ngram_keeps_its_own_value(spark):
     for hot in (0, 500, R.HOT_GRAMS):
         got = {r.doc_id: r.log_perplexity for r in R.score_rules(docs, hot=hot).collect()}
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-5 for i in want), hot
+
+
+def test_a_third_of_junk_does_not_widen_the_band(spark):
+    rng = random.Random(9)
+    syllables = ["ba", "ko", "ri", "lu", "te", "mo", "sa", "ne", "vi", "du"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    gibberish = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=rng.randint(3, 10)))
+    template = [word() for _ in range(30)]
+    rows = [(i, " ".join(word() for _ in range(100)), lang) for lang, at in (("en", 0), ("de", 1000), ("fr", 2000)) for i in range(at, at + 200)]
+    rows += [(i, " ".join(gibberish() for _ in range(100)), "en") for i in range(3000, 3100)]
+    rows += [(i, " ".join(gibberish() for _ in range(100)), "de") for i in range(4000, 4005)]
+    rows += [(i, " ".join(rng.choices(template, k=100)), "fr") for i in range(5000, 5100)]
+    got = R.score_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    judged = [r for r in got if not r.base_failed]
+    assert sum(r.doc_id >= 3000 for r in judged) > 150
+    assert not any(r.kept for r in judged if r.doc_id >= 3000)
+    assert all(r.kept for r in judged if r.doc_id < 3000)
