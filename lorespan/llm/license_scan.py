@@ -143,10 +143,16 @@ class LicenseAutomaton:
             matches.append((len(words) - size, len(words), v, size))
         return base, matches
 
-    def chains(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chain matches, in order in text and template, into spans (label, start, end, coverage), the best of each template."""
+    def chains(self, matches: list[tuple[int, int, int, int]], min_coverage: float = 0.8) -> list[tuple[str, int, int, float]]:
+        """Chain matches, in order in text and template, into spans (label, start, end, coverage), every one of each template in order.
+
+        Behind a chain of ``min_coverage`` a match from further back in the template begins the next copy."""
         open_: dict[int, tuple[int, int, int, int]] = {}  # template -> start, end, template end, covered
-        best: dict[int, tuple[float, int, int]] = {}
+        closed: list[tuple[int, int, int, float]] = []
+
+        def close(t: int, chain: tuple[int, int, int, int]) -> None:
+            closed.append((t, chain[0], chain[1], min(1.0, chain[3] / self.sizes[t])))
+
         for start, end, state, size in matches:
             taken: dict[int, int] = {}
             for t, at in self.places[state]:
@@ -156,15 +162,17 @@ class LicenseAutomaton:
                     taken[t] = at
             for t, at in taken.items():
                 chain = open_.get(t)
-                if chain and at > chain[2] and start - chain[1] <= self.max_gap:
+                again = chain and chain[3] >= min_coverage * self.sizes[t] and chain[2] - (at - size) > max(0, chain[1] - start) + self.max_gap
+                if chain and at > chain[2] and start - chain[1] <= self.max_gap and not again:
                     now = (chain[0], end, at, chain[3] + min(size, at - chain[2]))
                 else:
+                    if chain:
+                        close(t, chain)
                     now = (start, end, at, size)
                 open_[t] = now
-                coverage = min(1.0, now[3] / self.sizes[t])
-                if coverage > best.get(t, (0.0,))[0]:
-                    best[t] = (coverage, now[0], now[1])
-        return [(self.labels[t], s, e, c) for t, (c, s, e) in sorted(best.items())]
+        for t, chain in open_.items():
+            close(t, chain)
+        return [(self.labels[t], s, e, c) for t, s, e, c in sorted(closed)]
 
 
 _automata: dict[tuple, LicenseAutomaton] = {}
@@ -184,7 +192,7 @@ def scan_licenses(
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels (with those of templates
     covered by ``min_coverage`` or more), score (1 with a base place, else the best coverage) and spans
-    (label:start:end of covered template spans in words, end exclusive), one row per row of ``docs``. Null,
+    (label:start:end of every covered template span in words, end exclusive), one row per row of ``docs``. Null,
     empty and wordless texts have no places: counts 0, first and last null, labels empty, score 0. The
     templates are parameters of the job, not data, and are built into the automaton once in each worker.
     """
@@ -199,7 +207,7 @@ def scan_licenses(
         for text in texts:
             words = words_of(text)
             base, matches = automaton.scan(words)
-            chained = automaton.chains(matches)
+            chained = automaton.chains(matches, min_coverage)
             spans = [c for c in chained if c[3] >= min_coverage]
             starts, labels = [b[0] for b in base], {b[1] for b in base}
             score = 1.0 if base else max((c[3] for c in chained), default=0.0)

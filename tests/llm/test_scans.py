@@ -154,3 +154,17 @@ def test_decontaminate_keeps_columns_and_clean_rows(spark):
     assert cut == {0: "Keep, me: whole.", 1: "Start... End.", 2: None, 3: ""}
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == 4
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_every_quoted_copy_of_a_licence_has_its_span(spark):
+    mit = license_scan.TEMPLATES["mit-text"]
+    n = len(license_scan.words_of(mit))
+    short = " ".join(mit.split()[:-3])
+    apart = ("between these copies stand words of nothing else " * 3).strip()
+    gap = len(apart.split())
+    texts = [" ".join([mit, apart] * 3), f"{mit} {mit}", f"{short} {mit}", f"{mit} {apart} {mit[: len(mit) // 3]}"]
+    got = [r.spans.split(",") for r in license_scan.scan_licenses(frame(spark, texts)).collect()]
+    assert got[0] == [f"mit-text:{i * (n + gap)}:{i * (n + gap) + n}" for i in range(3)]
+    assert got[1] == [f"mit-text:0:{n}", f"mit-text:{n}:{2 * n}"]
+    assert got[2] == [f"mit-text:0:{n - 3}", f"mit-text:{n - 3}:{2 * n - 3}"]
+    assert got[3] == [f"mit-text:0:{n}"]
