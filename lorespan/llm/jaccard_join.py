@@ -16,7 +16,9 @@ themselves; sets that even those can't guarantee meet in one block per band.
 Sets that share a signature are compared with a few hubs of their group, a linear number of
 pairs: first by sketches that bound the intersection from above, then exactly; sets that a link has joined need no comparison. Groups that still hold several
 components get further hubs, eight times as many each round, until every pair across
-components has been compared. So no link is lost, and copies are never expanded into pairs.
+components has been compared. So no component is lost, and copies are never expanded into pairs.
+The number of links of each class takes all pairs of a group, in blocks, each compared once; only
+who asks for it pays for that.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Tables of at most so many (id, key) rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Sets of a signature group are paired in blocks of so many.
+BLOCK = 256
 #: Parts of a sketch.
 SKETCH = 128
 _U = np.uint64
@@ -282,12 +286,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.lit(100) * F.col("common") >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
-def link_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def group_pairs(groups: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Every pair (a, b), a < b, of sets that share a signature (sig, key), once; a large group is dealt out by pairs of its blocks."""
+    by_sig = Window.partitionBy("sig")
+    placed = groups.select("sig", "key").withColumn("place", F.row_number().over(by_sig.orderBy("key")) - 1).withColumn("size", F.count("*").over(by_sig))
+    own, last = F.floor(F.col("place") / block), F.floor((F.col("size") - 1) / block)
+    placed = materialize(placed.select("sig", "key", own.alias("own"), last.alias("last")), "blocks")
+    left = placed.select("sig", F.col("key").alias("a"), F.col("own").alias("x"), F.explode(F.sequence("own", "last")).alias("y"))
+    right = placed.select("sig", F.col("key").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("x"), F.col("own").alias("y"))
+    return left.join(right, ["sig", "x", "y"]).filter("a < b").select("a", "b").distinct()
+
+
+def link_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """Class and component of every document under Jaccard similarity of word shingles.
 
     Returns doc_id, n_shingles, component_id (least doc_id reachable by links), class_id (least doc_id with
-    the same set) and n_links (links between its class and different classes that were needed to join
-    the component), one row per row of ``docs``. Null and wordless texts have empty sets, are linked with
+    the same set) and n_links (how many different classes its class is similar to; left out
+    without ``count_links``, which spares most comparisons), one row per row of ``docs``. Null and wordless texts have empty sets, are linked with
     nothing and are their own component. Rows of one id with different texts are linked through
     their texts only. A null id is never the least, and a set that only null ids have is linked with nothing
     else: such rows get a null component.
@@ -295,9 +310,20 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE,
     narrow = materialize(document_sets(docs, id_col, text_col, size, percent), "sets")
     classes = narrow.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("even").alias("even"), F.any_value("odd").alias("odd"))
     classes = materialize(classes, "classes")
-    groups = rare_signatures(signature_rows(docs, text_col, size, percent), classes)
+    groups = every = rare_signatures(signature_rows(docs, text_col, size, percent), classes)
     labels = checked = links = sets = None
     hubs = 1
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        nonlocal sets
+        pairs = materialize(possible(pairs, classes, percent), "possible")
+        ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        if sets is not None:
+            ends = ends.join(sets.select("key"), "key", "left_anti")
+        more = _sets_of(docs, materialize(ends.join(classes, "key").select("doc_id", "key").filter("doc_id IS NOT NULL"), "wanted"), id_col, text_col, size)
+        sets = more if sets is None else sets.unionByName(more)
+        return materialize(_verified(pairs, sets, percent), "found")
+
     while True:
         if labels is not None:
             # what a group's hubs have been compared with is settled: the hubs leave, and groups of one component end
@@ -318,29 +344,26 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE,
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         checked = pairs if checked is None else checked.unionByName(pairs)
-        pairs = materialize(possible(pairs, classes, percent), "possible")
-        ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        if sets is not None:
-            ends = ends.join(sets.select("key"), "key", "left_anti")
-        more = _sets_of(docs, materialize(ends.join(classes, "key").select("doc_id", "key").filter("doc_id IS NOT NULL"), "wanted"), id_col, text_col, size)
-        sets = more if sets is None else sets.unionByName(more)
-        found = materialize(_verified(pairs, sets, percent), "found")
+        found = similar(pairs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         groups = placed
+    if count_links:
+        links = links.unionByName(similar(materialize(group_pairs(every).join(checked, ["a", "b"], "left_anti"), "pairs")))
     degree = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
     named = classes.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_class = named.select("key", "doc_id", "comp").join(least, "comp").join(degree, "key", "left").select("key", F.col("doc_id").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = narrow.select("doc_id", "n_shingles", "key").join(of_class, "key", "left")
     alone = F.col("n_shingles") == 0
-    return out.select(
+    made = out.select(
         "doc_id",
         "n_shingles",
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+    return made if count_links else made.drop("n_links")
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,7 +371,7 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id
 
     Documents without words and those with a null id stay. Of repeated rows with one id and one text, one stays.
     """
-    linked = materialize(link_documents(docs, percent, size, id_col, text_col), "linked")
+    linked = materialize(link_documents(docs, percent, size, id_col, text_col, count_links=False), "linked")
     dropped = linked.filter("doc_id IS NOT NULL AND component_id <> doc_id").select("doc_id").distinct()
     repeated = linked.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
 

@@ -111,3 +111,22 @@ def test_odd_rows(spark):
     kept = sorted((str(r.doc_id), r.text is None) for r in J.deduplicate(docs).collect())
     assert kept == sorted([("1", False), ("3", True), ("None", False), ("None", False)])
     assert J.link_documents(docs.limit(0)).count() == 0 and J.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_links_of_every_class_are_counted_whole(spark):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(24):  # mutually similar, all different
+        words = list(base)
+        words[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100, rows[0][1]), (101, " ".join(f"y{i}" for i in range(80))), (102, None)]
+    sets = {i: frozenset(J.shingles(t or "").tolist()) for i, t in rows}
+    classes = {s for s in sets.values() if s}
+    want = {i: sum(s != o and 100 * len(s & o) >= J.PERCENT * len(s | o) for o in classes) if s else 0 for i, s in sets.items()}
+    assert max(want.values()) == 23
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in J.link_documents(docs).collect()} == want
+    groups = spark.createDataFrame([(s, k) for s in (1, 2) for k in range(20)], "sig long, key long")
+    assert {(r.a, r.b) for r in J.group_pairs(groups, 3).collect()} == {(a, b) for b in range(20) for a in range(b)}
