@@ -56,22 +56,31 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community) by synchronous label propagation over weighted edges (a, b, weight).
+def label_communities(edges: DataFrame) -> DataFrame:
+    """(node, community) by label propagation over weighted edges (a, b, weight), until no label changes.
 
-    Each round a node takes the label of largest total weight among its neighbours, the least
-    label on ties; the same in every run. Communities carry the number of their first node's order.
+    A node wants the label of largest total weight among its neighbours (the least on ties) if that outweighs
+    its own. Of neighbours that want to change, one moves at a time: those that are an end ``a`` and the
+    others come first in turn, else the hash decides. So each move adds weight within communities, none can
+    be undone, and the end is reached; the same in every run. A community carries its least node.
     """
     both = written(edges.select("a", "b", "weight").union(edges.select("b", "a", "weight")).filter("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("weight")), "edges")
-    labels = written(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
-    for _ in range(rounds):
+    sides = edges.filter("a <> b").select(F.col("a").alias("node"), F.lit(0).alias("side")).union(edges.filter("a <> b").select("b", F.lit(1)))
+    labels = written(sides.groupBy("node").agg(F.min("side").alias("side")).withColumn("label", F.col("node")), "labels")
+    turn = 0
+    while True:
         votes = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("weight").alias("votes"))
-        chosen = votes.groupBy("node").agg(F.min_by("label", F.struct(-F.col("votes"), F.col("label"))).alias("next"))
-        now = written(labels.join(chosen, "node").select("node", F.col("label").alias("old"), F.col("next").alias("label")), "labels")
-        changed = not now.filter("label <> old").isEmpty()
-        labels = now.select("node", "label")
-        if not changed:
+        own = votes.join(labels.select("node", F.col("label").alias("old")), "node")
+        chosen = own.groupBy("node").agg(F.min_by("label", F.struct(-F.col("votes"), F.col("label"))).alias("next"), F.max("votes").alias("most"), F.max(F.when(F.col("label") == F.col("old"), F.col("votes"))).alias("now"))
+        wants = chosen.filter(F.col("now").isNull() | (F.col("most") > F.col("now"))).join(labels, "node")
+        urge = F.struct((F.col("side") == turn % 2).alias("turn"), F.xxhash64("node", F.lit(turn)).alias("hash"), "node")
+        wants = written(wants.select("node", "next", urge.alias("urge")), "wants")
+        if wants.isEmpty():
             break
+        rivals = both.select("a", "b").join(wants.select(F.col("node").alias("b"), "urge"), "b").groupBy(F.col("a").alias("node")).agg(F.max("urge").alias("rival"))
+        moves = wants.join(rivals, "node", "left").filter(F.col("rival").isNull() | (F.col("urge") > F.col("rival"))).select("node", "next")
+        labels = written(labels.join(moves, "node", "left").select("node", "side", F.coalesce("next", "label").alias("label")), "labels")
+        turn += 1
     first = labels.groupBy("label").agg(F.min("node").alias("first"))
     return labels.join(first, "label").select("node", F.col("first").alias("community"))
 

@@ -64,7 +64,7 @@ QUERIES = {
     ),
     "l6_adjacency": (lambda s, d: X.either_endpoint(_trade(s, d), "a", "b"), f"WITH {_TRADE} SELECT a AS node, b AS other, 'OUT' AS direction, weight FROM trade UNION ALL SELECT b, a, 'IN', weight FROM trade"),
     "l7_components": (lambda s, d: G.connected_components(_copies(s, d)), "WITH m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS component, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents) SELECT doc_id AS node, component FROM m WHERE n > 1"),
-    "l7_label_communities": (lambda s, d: G.label_communities(_trade(s, d), 3), None),
+    "l7_label_communities": (lambda s, d: G.label_communities(_trade(s, d)), None),
     "l8_community_facts": (
         lambda s, d: G.community_facts(_members(s, d), read(s, d, "lineitem").select(_c("l_partkey").alias("a"), _c("l_suppkey").alias("b"))),
         "WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS n FROM part) SELECT p_brand AS community, count(*) AS members, string_agg(p_name, ' · ' ORDER BY n) FILTER (n <= 3) AS title, (SELECT count(*) FROM lineitem JOIN part p ON l_partkey = p.p_partkey WHERE p.p_brand = r.p_brand) AS relations FROM r GROUP BY p_brand",

@@ -141,3 +141,18 @@ def test_index_sync(spark, tmp_path):
         sync.sync_index(changes, index, "k", "v").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     last = spark.read.json(f"{index}/pointer").first()["batch"]
     assert sorted(map(tuple, spark.read.parquet(f"{index}/batch={last}").collect())) == [(1, 3, False), (2, 2, True), (3, 1, False)]
+
+
+def test_label_communities_end_where_no_node_gains(spark):
+    pair = spark.createDataFrame([(1, -1, 1)], "a long, b long, weight long")
+    assert {r.node: r.community for r in G.label_communities(pair).collect()} == {1: -1, -1: -1}
+    rows = [(i, -1 - (i * i + k) % 9, 1 + (i * k) % 3) for i in range(1, 25) for k in range(3)]
+    found = {r.node: r.community for r in G.label_communities(spark.createDataFrame(rows, "a long, b long, weight long")).collect()}
+    assert found.keys() == {x for a, b, _ in rows for x in (a, b)}
+    for node in found:
+        votes = {}
+        for a, b, w in rows:
+            if node in (a, b):
+                other = found[b if node == a else a]
+                votes[other] = votes.get(other, 0) + w
+        assert votes.get(found[node], 0) == max(votes.values()), node
