@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back, to end lineage between rounds."""
-    spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="lorespan-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    path = f"{place.rstrip('/')}/lorespan-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lorespan.shared import materialize as written
 
 
 def merge_entities(mentions: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,14 +38,34 @@ def write_generation(df: DataFrame, path: str, generation: int) -> None:
     df.withColumn("index_generation", F.lit(generation)).write.partitionBy("index_generation").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
+def point_to(spark: SparkSession, path: str, number: int, target: dict[str, str]) -> None:
+    """Write pointer ``number`` as a folder of its own; what is there stays, so readers always find a whole one."""
+    spark.createDataFrame([(json.dumps(target),)], "target string").coalesce(1).write.mode("overwrite").text(f"{path}/number={number}")
+
+
+def newest_pointer(spark: SparkSession, path: str) -> tuple[int, dict[str, str]] | None:
+    """Number and target of the newest whole pointer; None before the first."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    place = jvm_path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return None
+    whole = [f.getPath() for f in files.listStatus(place) if files.exists(jvm_path(f.getPath(), "_SUCCESS"))]
+    if not whole:
+        return None
+    number, last = max((int(p.getName().split("=")[1]), p.toString()) for p in whole)
+    return number, json.loads(spark.read.text(last).first()[0])
+
+
 def publish(spark: SparkSession, path: str, generation: int) -> None:
-    """Move the pointer to a generation."""
-    spark.createDataFrame([(1, generation)], "singleton_id int, generation int").coalesce(1).write.mode("overwrite").parquet(path)
+    """Move the pointer to a generation. Each move is a pointer of its own and the newest counts, so a move is whole or not there."""
+    last = newest_pointer(spark, path)
+    point_to(spark, path, last[0] + 1 if last else 0, {"generation": str(generation)})
 
 
 def published(spark: SparkSession, index_path: str, pointer_path: str) -> DataFrame:
     """The generation the pointer names; its partition alone is read."""
-    generation = spark.read.parquet(pointer_path).first()["generation"]
+    generation = int(newest_pointer(spark, pointer_path)[1]["generation"])
     return spark.read.parquet(index_path).filter(F.col("index_generation") == generation).drop("index_generation")
 
 

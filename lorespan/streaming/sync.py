@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespan.shared import shared_dir
+from lorespan.sources.tables import newest_pointer, point_to
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="lorespan-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return f"{place.rstrip('/')}/lorespan-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/lorespan-{name}-{uuid.uuid4().hex}"
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,29 +44,41 @@ def event_windows(events: DataFrame, width: str, late: str = "1 hour") -> DataFr
     return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-def sync_index(changes: DataFrame, index_path: str, key: str, version: str):
+def sync_index(changes: DataFrame, index_path: str, key: str, version: str, slices: int = 16):
     """A streaming query that keeps the newest version of each key, tombstones included, in ``index_path``.
 
-    Each batch is reduced to its newest rows, merged with the index by a full join and written beside it, so a
-    restarted batch gives the same index.
+    The index is cut into ``slices`` by the key's hash; a batch rewrites the slices that it touches and names the folder
+    of every slice in a pointer of its own. Pointers are never overwritten and the newest one counts, so whenever a
+    batch is cut off, the last whole one stays in force and the restarted batch gives the same index.
     """
     spark = changes.sparkSession
+    cut = F.pmod(F.xxhash64(key), F.lit(slices))
 
     def merge(batch: DataFrame, number: int) -> None:
+        at, places = newest_pointer(spark, f"{index_path}/pointers") or (-1, {})
+        if at >= number:
+            return
         row = F.struct(*batch.columns)
-        newest = batch.groupBy(key).agg(F.max_by(row, version).alias("r")).select("r.*")
-        pointer = f"{index_path}/pointer"
-        try:
-            last = spark.read.json(pointer).first()["batch"]
-            old = spark.read.parquet(f"{index_path}/batch={last}")
-            if last >= number:
-                return
-            late = newest.join(old.select(key, F.col(version).alias("_have")), key, "left").filter(f"_have IS NULL OR `{version}` > _have").drop("_have")
-            newest = old.join(late.select(key), key, "left_anti").unionByName(late)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        newest.write.mode("overwrite").parquet(f"{index_path}/batch={number}")
-        spark.createDataFrame([(number,)], "batch long").coalesce(1).write.mode("overwrite").json(pointer)
+        newest = batch.groupBy(key).agg(F.max_by(row, version).alias("r")).select("r.*").withColumn("slice", cut)
+        newest = newest.persist()
+        touched = [r[0] for r in newest.select("slice").distinct().collect()]  # ``slices`` numbers at most
+        held = [places[str(t)] for t in touched if str(t) in places]
+        merged = newest
+        if held:
+            old = spark.read.schema(batch.schema).parquet(*held).withColumn("slice", cut)
+            both = newest.unionByName(old.select(newest.columns))
+            merged = both.groupBy("slice", key).agg(F.max_by(F.struct(*batch.columns), version).alias("r")).select("r.*", "slice")
+        folder = f"{index_path}/batch={number}"
+        merged.write.partitionBy("slice").mode("overwrite").parquet(folder)
+        newest.unpersist()
+        point_to(spark, f"{index_path}/pointers", number, places | {str(t): f"{folder}/slice={t}" for t in touched})
 
     return changes.writeStream.foreachBatch(merge)
+
+
+def read_index(spark: SparkSession, index_path: str, schema) -> DataFrame:
+    """The index as the newest pointer names it; empty before the first batch."""
+    found = newest_pointer(spark, f"{index_path}/pointers")
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*sorted(found[1].values()))
