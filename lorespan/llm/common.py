@@ -8,14 +8,16 @@ untouched (null ids too) and repeated rows each get their own result row.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespan.shared import discard, materialize, shared_dir
+
+__all__ = ["BATCH_BYTES", "bounded_batches", "discard", "map_texts", "materialize", "read_bytes", "shared_dir", "slices", "table"]
+
 #: Bytes of text that one call of a per-batch function gets to see, unless one text alone is larger.
 BATCH_BYTES = 16 << 20
 
@@ -24,28 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="lorespan-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorespan-{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession) -> None:
-    """Limit Arrow batches by bytes, so that very long texts do not share one batch with thousands of rows."""
+    """Limit Arrow batches by bytes, so that very long texts do not share one batch with thousands of rows.
+
+    Spark reads this setting when the plan runs, after the operator has returned, so it stays set in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
 
 

@@ -109,7 +109,7 @@ def test_odd_rows(spark):
     n = 19996
     assert got == sorted([("1", n, "1"), ("1", n, "1"), ("None", 2, "None"), ("None", n + 1, "1"), ("2", n + 1, "1"), ("3", 0, "3"), ("3", 0, "3"), ("7", n, "1")])
     kept = sorted((str(r.doc_id), r.text is None) for r in J.deduplicate(docs).collect())
-    assert kept == sorted([("1", False), ("3", True), ("None", False), ("None", False)])
+    assert kept == sorted([("1", False), ("3", True), ("None", False)])
     assert J.link_documents(docs.limit(0)).count() == 0 and J.deduplicate(docs.limit(0)).count() == 0
 
 
@@ -128,5 +128,51 @@ def test_links_of_every_class_are_counted_whole(spark):
     assert max(want.values()) == 23
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.n_links for r in J.link_documents(docs).collect()} == want
-    groups = spark.createDataFrame([(s, k) for s in (1, 2) for k in range(20)], "sig long, key long")
-    assert {(r.a, r.b) for r in J.group_pairs(groups, 3).collect()} == {(a, b) for b in range(20) for a in range(b)}
+    assert {r.doc_id: r.n_links for r in J.link_documents(docs, block=5).collect()} == want
+
+
+def test_null_ids_carry_links(spark):
+    """A and B are linked through N only, whose id may be null; repeated ids with different texts stay apart."""
+    words = [f"w{i}" for i in range(120)]
+    texts = {"A": words[:105], "N": words[6:112], "B": words[13:120]}
+    texts = {k: " ".join(v) for k, v in texts.items()}
+    sets = {k: shingle_set(t) for k, t in texts.items()}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert alike("A", "N") and alike("N", "B") and not alike("A", "B")
+    for middle in (5, None):
+        docs = spark.createDataFrame([(1, texts["A"]), (middle, texts["N"]), (2, texts["B"]), (None, "quite another text of its own kind")], "doc_id long, text string")
+        got = {(r.doc_id, r.n_shingles): (r.component_id, r.n_links) for r in J.link_documents(docs).collect()}
+        assert got[1, len(sets["A"])] == (1, 1) and got[middle, len(sets["N"])] == (1, 2) and got[2, len(sets["B"])] == (1, 1)
+        assert sorted((r.doc_id is None, r.text[:5]) for r in J.deduplicate(docs).collect()) == [(False, "w0 w1"), (True, "quite")]
+    twice = spark.createDataFrame([(1, texts["A"]), (1, "another text of id number one"), (2, texts["N"])], "doc_id long, text string")
+    assert sorted(r.text[:5] for r in J.deduplicate(twice).collect()) == ["anoth", "w0 w1"]
+    nulls = spark.createDataFrame([(None, texts["A"]), (None, texts["N"]), (None, texts["N"])], "doc_id long, text string")
+    assert {r.component_id for r in J.link_documents(nulls).collect()} == {None} and J.deduplicate(nulls).count() == 1
+
+
+def test_a_passage_common_to_all(spark):
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(k, " ".join(passage + [f"own{rng.randint(0, 9999)}" for _ in range(rng.choice((2, 4, 7, 12, 40)))])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (7, J.BLOCK):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.link_documents(docs, block=block).collect())
+        assert got == plain_components(rows)
+
+
+def test_bit_maps_bound_intersections():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        common = rng.integers(0, 1 << 63, int(rng.integers(0, 300)), dtype=np.uint64)
+        sets = [np.unique(np.concatenate((common, rng.integers(0, 1 << 63, int(rng.integers(1, 300)), dtype=np.uint64)))) for _ in range(4)]
+        maps = J._bit_rows([J.bit_map(s) for s in sets])
+        spare = np.array([len(s) for s in sets]) - np.bitwise_count(maps).sum(axis=1)
+        exact = J.intersections([s.view(np.int64) for s in sets])
+        for i in range(4):
+            for j in range(4):
+                true = len(np.intersect1d(sets[i], sets[j]))
+                assert int(np.bitwise_count(maps[i] & maps[j]).sum()) + min(spare[i], spare[j]) >= true
+                assert i == j or exact[i, j] == true
+    many = [np.unique(rng.integers(0, 60, 40)) for _ in range(30)]
+    exact = J.intersections(many)
+    assert all(exact[i, j] == len(np.intersect1d(many[i], many[j])) for i in range(30) for j in range(30) if i != j)
