@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import map_texts, materialize, table
+from lorespan.llm.common import discard, map_texts, materialize, table
 from lorespan.llm.learning import fold, labelled_sample, sigmoid
 
 BUCKETS = 1 << 18
@@ -83,6 +83,18 @@ def informative(in_all: np.ndarray, in_1: np.ndarray, n: int, n1: int) -> np.nda
     return kept
 
 
+def gradients(table: np.ndarray, out: np.ndarray, bias: float, doc: np.ndarray, rows: np.ndarray, weights: np.ndarray, y: np.ndarray) -> tuple[float, tuple]:
+    """Softmax loss of the documents and its gradients by table, class vectors and bias; (doc, row, weight) are the entries of the bags."""
+    n = len(y)
+    direction = out[:, 1] - out[:, 0]
+    z = np.bincount(doc, weights=weights * (table @ direction)[rows], minlength=n) + bias
+    loss = float((np.logaddexp(0, z) - y * z).mean())
+    error = (sigmoid(z) - y) / n
+    by_row = np.bincount(rows, weights=weights * error[doc], minlength=len(table))
+    pull = table.T @ by_row
+    return loss, (by_row[:, None] * direction[None, :], np.stack((-pull, pull), axis=1), error.sum())
+
+
 def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
     """Train table, softmax and bias; returns each row's amount in the class difference, and the bias.
 
@@ -95,26 +107,25 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int
     if len(set(y.tolist())) < 2:  # nothing to tell apart
         return np.zeros(BUCKETS, np.float32), 4.0 * (2 * float(y[0]) - 1) if len(y) else 0.0
     n = len(bags)
-    rows = np.concatenate([b[0] for b in bags])
+    # the table holds the rows that bags have, so memory follows the rows kept and not the buckets
+    used, rows = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)
+    size = len(used)
     weights = np.concatenate([b[1] for b in bags]).astype(np.float64)
     doc = np.repeat(np.arange(n), [len(b[0]) for b in bags]).astype(np.int32)
-    spread = np.sqrt(np.bincount(rows, weights=weights**2, minlength=BUCKETS) / n)
-    scale = np.divide(1.0, spread * np.sqrt(max(1.0, len(rows) / n)), out=np.zeros(BUCKETS), where=spread > 0)
+    spread = np.sqrt(np.bincount(rows, weights=weights**2, minlength=size) / n)
+    scale = np.divide(1.0, spread * np.sqrt(max(1.0, len(rows) / n)), out=np.zeros(size), where=spread > 0)
     weights = weights * scale[rows]
-    table, out, bias = rng.normal(0, 0.01, (BUCKETS, DIM)), rng.normal(0, 0.3, (DIM, 2)), np.log(y.mean() / (1 - y.mean()))
+    table, out, bias = rng.normal(0, 0.01, (size, DIM)), rng.normal(0, 0.3, (DIM, 2)), np.log(y.mean() / (1 - y.mean()))
     speed = [np.zeros_like(table), np.zeros_like(out), 0.0]
     for _ in range(epochs):
-        direction = out[:, 1] - out[:, 0]
-        z = np.bincount(doc, weights=weights * (table @ direction)[rows], minlength=n) + bias
-        error = (sigmoid(z) - y) / n
-        by_row = np.bincount(rows, weights=weights * error[doc], minlength=BUCKETS)
-        pull = table.T @ by_row
-        for i, g in enumerate((by_row[:, None] * direction[None, :], np.stack((-pull, pull), axis=1), error.sum())):
+        for i, g in enumerate(gradients(table, out, bias, doc, rows, weights, y)[1]):
             speed[i] = 0.9 * speed[i] + g
         table -= RATE * speed[0]
         out -= RATE * speed[1]
         bias -= RATE * speed[2]
-    return (table @ (out[:, 1] - out[:, 0]) * scale).astype(np.float32), float(bias)
+    amounts = np.zeros(BUCKETS, np.float32)
+    amounts[used] = table @ (out[:, 1] - out[:, 0]) * scale
+    return amounts, float(bias)
 
 
 class ToxicityModel:
@@ -177,10 +188,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modul
         made = [document_bag(t, bags) for t in texts]
         return [[m[0][kept[m[0]]].tobytes() for m in made], [m[1][kept[m[0]]].tobytes() for m in made]]
 
-    got = map_texts(picked, compute, [("rows", "binary"), ("weights", "binary")], carry=("y",)).orderBy("doc_id").collect()
-    bags = [(np.frombuffer(r["rows"], np.int32), np.frombuffer(r["weights"], np.float32)) for r in got]
-    y = np.array([r["y"] for r in got])
+    got = map_texts(picked, compute, [("rows", "binary"), ("weights", "binary")], carry=("y",)).orderBy("doc_id").toArrow()
+    bags = [(np.frombuffer(r, np.int32), np.frombuffer(w, np.float32)) for r, w in zip(got.column("rows").to_pylist(), got.column("weights").to_pylist(), strict=True)]
+    y = got.column("y").to_numpy()
     amounts, bias = train(bags, y)
+    discard(picked)
     # the sample holds more of the rarer class than the labels do: shift the bias to their shares
     n = {r["y"]: r["n"] for r in labels.filter(fold(id_col, modulus) != held_out).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     if 0 < y.sum() < len(y):
