@@ -3,7 +3,9 @@
 The benchmark's word windows become a hash set that is shipped with the tasks as one constant:
 buckets of (hash, words, items). Each document is cut into words once, hashes of its windows are
 looked up in the set, and hits are verified word by word. Nothing is shuffled. A benchmark whose
-set would exceed ``max_set_bytes`` is joined on the windows instead.
+set would exceed ``max_set_bytes`` is looked up by the 64-bit hashes of its windows instead: a broadcast
+hash join keeps the few windows of documents whose hash the benchmark has, in the task that cut them; above
+``max_broadcast_bytes`` of hashes that join is left to the planner. Window texts are never made for whole documents.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from lorespan.llm.common import materialize, table
 WINDOW = 13
 #: Largest set of windows, as text, that is shipped with the tasks.
 MAX_SET_BYTES = 4 << 20
+#: Largest set of hashes, at BYTES_A_HASH each in a hash table, that is broadcast.
+MAX_BROADCAST_BYTES, BYTES_A_HASH = 256 << 20, 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -69,6 +73,7 @@ def find_contamination(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_set_bytes: int = MAX_SET_BYTES,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Words of every document that lie inside an occurrence of a benchmark window.
@@ -82,7 +87,8 @@ def find_contamination(
     # raw words first, in a projection of their own: later expressions refer to it many times
     base = docs.select(F.col(id_col).alias("doc_id"), *carry, words(F.col(text_col)).alias("w"))
     sizes = [r["size"] for r in wins.select("size").distinct().collect()]  # at most ``window``
-    found = _by_set(base, wins, sizes) if total <= max_set_bytes else _by_join(base, wins, sizes)
+    # no windows: nothing to look up
+    found = _by_set(base, wins, sizes) if total <= max_set_bytes or not sizes else _by_join(base, wins, sizes, max_broadcast_bytes)
     n_hit, n_words, items = F.size("hit_words"), F.size("w"), F.array_sort(F.array_distinct("items"))
     return (
         found.select("doc_id", *carry, n_words.cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"), items.alias("items"), "hit_words")
@@ -140,23 +146,26 @@ def _look_up(now: DataFrame, rows: list, size: int) -> DataFrame:
     return now.drop(f"h{size}", f"at{size}")
 
 
-def _texts(size: int) -> Column:
-    return F.transform(_indices(0, F.size("w") - (size - 1)), lambda i: _window_text("w", i, size))
-
-
-def _by_join(base: DataFrame, wins: DataFrame, sizes: list[int]) -> DataFrame:
-    """The same for a benchmark of any size: windows of documents joined with those of the benchmark."""
+def _by_join(base: DataFrame, wins: DataFrame, sizes: list[int], max_broadcast_bytes: int) -> DataFrame:
+    """The same for a benchmark of any size: hashes of windows are joined, and what is left is verified word by word."""
     keyed = materialize(base.withColumn("row", F.monotonically_increasing_id()), "keyed")
-    hits = None
-    for size in sizes:
-        at = keyed.select("row", F.posexplode(_texts(size)).alias("i", "words"))
-        part = at.join(wins.filter(F.col("size") == size).select("words", F.col("items").alias("t")), "words").select("row", "i", F.lit(size).alias("size"), "t")
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        return keyed.withColumn("hit_words", F.array().cast("array<int>")).withColumn("items", F.array().cast(_NO_ITEMS))
-    per = hits.groupBy("row").agg(F.flatten(F.collect_list(F.sequence(F.col("i"), F.col("i") + F.col("size") - 1))).alias("p"), F.flatten(F.collect_list("t")).alias("t"))
+    hashes = wins.select("size", "hash").distinct()
+    if hashes.count() * BYTES_A_HASH <= max_broadcast_bytes:
+        hashes = F.broadcast(hashes)
+
+    def hashed(size: int) -> Column:
+        return F.transform(_indices(0, F.size("w") - (size - 1)), lambda i: F.struct(F.lit(size).alias("size"), i.alias("i"), _window_hash("w", i, size).alias("hash")))
+
+    made = [hashed(size) for size in sizes]
+    at = keyed.select("row", F.explode(F.flatten(F.array(*made))).alias("x")).select("row", "x.size", "x.i", "x.hash")
+    left = at.join(hashes, ["size", "hash"], "left_semi")
+    maybe = left.join(wins.select("size", "hash", "words", F.col("items").alias("t")), ["size", "hash"])
+    per = maybe.groupBy("row").agg(F.collect_list(F.struct("size", "i", "words", "t")).alias("maybe"))
     joined = keyed.join(per, "row", "left")
-    return joined.withColumn("hit_words", F.coalesce(F.array_sort(F.array_distinct("p")), F.array().cast("array<int>"))).withColumn("items", F.coalesce("t", F.array().cast(_NO_ITEMS)))
+    same = F.filter("maybe", lambda x: F.array_join(F.slice("w", x["i"] + 1, x["size"]), " ") == x["words"])
+    joined = joined.withColumn("hits", F.coalesce(same, F.array().cast("array<struct<size:int,i:int,words:string,t:array<string>>>")))
+    places = F.flatten(F.transform("hits", lambda x: F.sequence(x["i"], x["i"] + x["size"] - 1)))
+    return joined.withColumn("hit_words", F.array_sort(F.array_distinct(places))).withColumn("items", F.flatten(F.transform("hits", lambda x: x["t"])))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text_col: str = "text", length_col: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
