@@ -3,8 +3,8 @@
 The words of all templates and base phrases form one automaton. A text is streamed through it
 word by word; at each word the state gives the longest run of words, ending there, that stands
 in some template (matching statistics). Long matches are chained, in template order and with
-small gaps, into covered spans of a template; coverage is the covered share of its words. Base
-phrases are the states reached by whole phrases.
+small gaps, into the spans that cover most of a template; coverage is the covered share of its words.
+Base phrases are the states reached by whole phrases.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from lorespan.llm.common import map_texts, table
+from lorespan.llm.license_texts import TEMPLATES
 
 # Base phrases and their labels.
 PHRASES = {
@@ -23,21 +24,6 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Wordings of public licence notices, with the labels that a covered span gives.
-TEMPLATES = {
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
-    "apache-text": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "apache-notice": "Licensed under the Apache License, Version 2.0",
-    "gpl-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "gpl-notice": "This work is licensed under the GNU General Public License, version 3",
-    "mpl-text": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
-    "cc-by-text": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "cc-by-nc-notice": "Licensed under CC BY-NC 4.0",
-    "mit-notice": "Released under the MIT License",
-}
-
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -144,35 +130,45 @@ class LicenseAutomaton:
         return base, matches
 
     def chains(self, matches: list[tuple[int, int, int, int]], min_coverage: float = 0.8) -> list[tuple[str, int, int, float]]:
-        """Chain matches, in order in text and template, into spans (label, start, end, coverage), every one of each template in order.
-
-        Behind a chain of ``min_coverage`` a match from further back in the template begins the next copy."""
-        open_: dict[int, tuple[int, int, int, int]] = {}  # template -> start, end, template end, covered
-        closed: list[tuple[int, int, int, float]] = []
-
-        def close(t: int, chain: tuple[int, int, int, int]) -> None:
-            closed.append((t, chain[0], chain[1], min(1.0, chain[3] / self.sizes[t])))
+        """Spans (label, start, end, coverage) of each template: chains of matches that cover most, which don't overlap.
 
+        A chain goes forward in text and template, with gaps of ``max_gap`` words at most in either; of words that
+        two of its matches share in text or template, one counts. The best chain of a template is taken first,
+        then the best of the matches outside it, down to ``min_coverage``; the best of all is returned even if it covers less.
+        """
+        anchors: dict[int, list[tuple[int, int, int, int]]] = {}  # template -> (start, end, template start, template end)
         for start, end, state, size in matches:
-            taken: dict[int, int] = {}
             for t, at in self.places[state]:
-                chain = open_.get(t)
-                fits = chain and at > chain[2] and at - size >= chain[2] - self.max_gap and start - chain[1] <= self.max_gap
-                if t not in taken or fits or at < taken[t]:
-                    taken[t] = at
-            for t, at in taken.items():
-                chain = open_.get(t)
-                again = chain and chain[3] >= min_coverage * self.sizes[t] and chain[2] - (at - size) > max(0, chain[1] - start) + self.max_gap
-                if chain and at > chain[2] and start - chain[1] <= self.max_gap and not again:
-                    now = (chain[0], end, at, chain[3] + min(size, at - chain[2]))
-                else:
-                    if chain:
-                        close(t, chain)
-                    now = (start, end, at, size)
-                open_[t] = now
-        for t, chain in open_.items():
-            close(t, chain)
-        return [(self.labels[t], s, e, c) for t, s, e, c in sorted(closed)]
+                anchors.setdefault(t, []).append((start, end, at - size, at))
+        out = []
+        for t, found in anchors.items():
+            least = min_coverage * self.sizes[t]
+            chained = self._best_chains(sorted(found))
+            free: list[tuple[int, int]] = []
+            for covered, start, end in sorted(chained, key=lambda c: (-c[0], c[1], c[2])):
+                if free and covered < least:
+                    break
+                if all(end <= a or start >= b for a, b in free):
+                    free.append((start, end))
+                    out.append((self.labels[t], start, end, min(1.0, covered / self.sizes[t])))
+        return sorted(out)
+
+    def _best_chains(self, anchors: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+        """(covered words, start, end) of the best chain that ends in each anchor."""
+        best: list[tuple[int, int]] = []  # covered words, start
+        recent: list[int] = []  # anchors that end near enough to be continued
+        for j, (start, end, low, high) in enumerate(anchors):
+            covered, begun = end - start, start
+            recent = [i for i in recent if start - anchors[i][1] <= self.max_gap]
+            for i in recent:
+                before_start, before_end, before_low, before_high = anchors[i]
+                if end > before_end and high > before_high and low - before_high <= self.max_gap and start > before_start and low > before_low:
+                    fresh = min(end - max(start, before_end), high - max(low, before_high))
+                    if fresh > 0 and best[i][0] + fresh > covered:
+                        covered, begun = best[i][0] + fresh, best[i][1]
+            best.append((covered, begun))
+            recent.append(j)
+        return [(c, s, anchors[j][1]) for j, (c, s) in enumerate(best)]
 
 
 _automata: dict[tuple, LicenseAutomaton] = {}
