@@ -31,8 +31,9 @@ _DOTTED_RUN = re.compile(r"[0-9.]+")
 _DIGIT_RUN = re.compile(r"[0-9 -]+")
 _URL = re.compile(r"[^\s<>\"'|]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-_IDENTIFIER = re.compile(r"[ \t]*(?:number|no\.?|nr\.?|id)?[ \t]*[:#=]?[ \t]*([A-Z0-9][A-Z0-9-]{5,33})(?![A-Za-z0-9])")
+_IDENTIFIER = re.compile(r"[ \t]*(?i:number|no\.?|nr\.?|id)?[ \t]*[:#=]?[ \t]*([A-Z0-9][A-Z0-9-]{5,33})(?![A-Za-z0-9])")
 _WORD = re.compile(r"[A-Za-z0-9]")
+_LEAD = re.compile(r"[ \t:#=]*")
 
 
 def luhn(digits: str) -> bool:
@@ -98,7 +99,7 @@ class Finder:
                 bounded = not (at and _WORD.match(text, at - 1)) and not _WORD.match(text, last + 1)
                 if at < cue_end or not bounded:
                     continue
-                lead = re.compile(r"[ \t:#=]*").match(text, last + 1).end()
+                lead = _LEAD.match(text, last + 1).end()
                 if (m := _IBAN.match(text, lead)) and (end := _iban_end(m[0])):
                     cue_end = lead + end
                     found.append((lead, cue_end, "iban"))
