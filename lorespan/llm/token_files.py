@@ -15,8 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lorespan.llm.common import bounded_batches, read_bytes, shared_dir, slices, table
 from lorespan.llm.encoding import encoder
@@ -41,7 +42,7 @@ def write_token_files(
     id_type = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = picked.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    id_arrow = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
+    id_arrow = to_arrow_type(docs.schema[id_col].dataType)
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(id_arrow)), ("lengths", pa.list_(pa.int32())), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,15 +74,82 @@ def write_token_files(
     ordered.mapInArrow(run, _SHARD.format(id_type)).write.parquet(path)
 
 
+def part_offsets(shards: DataFrame) -> DataFrame:
+    """(part, offset): ids in the ranges before each range; one row a range, so small enough for one task at any size."""
+    ends = shards.select("part", (F.col("before") + _ids_of_shard()).alias("total"))
+    parts = ends.groupBy("part").agg(F.max("total").alias("total"))
+    return parts.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+
+
+def _ids_of_shard() -> Column:
+    return F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def token_at(spark: SparkSession, path: str, positions: DataFrame, bucket: int = SHARD_TOKENS) -> DataFrame:
+    """(position, token) of every row of ``positions`` (position long): the id at that place of the whole corpus.
+
+    Places are met with the extents of shards in buckets, and only shards that are asked for are opened. A null
+    place, or one outside the corpus, gets a null token; repeated places get a row each.
+    """
+    shards = spark.read.parquet(path)
+    start = F.col("before") + F.col("offset")
+    extents = shards.join(F.broadcast(part_offsets(shards)), "part").select("part", "shard", start.alias("first"), (start + _ids_of_shard()).alias("last"))
+    first, last = F.floor(F.col("first") / bucket), F.floor((F.col("last") - 1) / bucket)
+    extents = extents.filter("last > first").withColumn("bucket", F.explode(F.sequence(first, last)))
+    asked = positions.select(F.col("position").cast("long").alias("position")).withColumn("bucket", F.floor(F.col("position") / bucket))
+    placed = asked.join(extents, "bucket").filter("position >= first AND position < last").select("part", "shard", "position", (F.col("position") - F.col("first")).alias("inner"))
+    per_shard = placed.distinct().groupBy("part", "shard").agg(F.collect_list("position").alias("positions"), F.collect_list("inner").alias("inner"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blob, places, inner in _rows(batches):
+            matrix = WaveletMatrix.from_bytes(blob)
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array([matrix.access(i) for i in inner], pa.int64())], names=["position", "token"])
+
+    got = shards.select("part", "shard", "blob").join(per_shard, ["part", "shard"]).select("blob", "positions", "inner").mapInArrow(run, "position long, token long")
+    return asked.select("position").join(got, "position", "left")
+
+
+def count_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """(token, n): how often each of the given ids stands in the corpus, by rank in every shard. ``tokens`` is a short list of the caller."""
+    asked = sorted({int(t) for t in tokens})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (blob,) in _rows(batches):
+            matrix = WaveletMatrix.from_bytes(blob)
+            yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array([matrix.count(t) for t in asked], pa.int64())], names=["token", "n"])
+
+    counted = spark.read.parquet(path).select("blob").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return spark.createDataFrame([(t,) for t in asked], "token long").join(counted, "token", "left").select("token", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def find_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """(token, position): every place of the given ids in the corpus, by select in every shard. ``tokens`` is a short list of the caller."""
+    asked = sorted({int(t) for t in tokens})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, before, blob in _rows(batches):
+            matrix = WaveletMatrix.from_bytes(blob)
+            for t in asked:
+                places = [before + matrix.occurrence(t, j) for j in range(matrix.count(t))]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(places), pa.int32()), pa.array([t] * len(places), pa.int64()), pa.array(places, pa.int64())], names=["part", "token", "inner"])
+
+    shards = spark.read.parquet(path)
+    found = shards.select("part", "before", "blob").mapInArrow(run, "part int, token long, inner long")
+    return found.join(F.broadcast(part_offsets(shards)), "part").select("token", (F.col("inner") + F.col("offset")).alias("position"))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(batch.column(k)[i].as_py() for k in range(batch.num_columns))
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     shards = spark.read.parquet(path)
     id_type = shards.schema["doc_ids"].dataType.elementType.simpleString()
 
-    # one row per written range, not per document: small enough for one task at any size
-    ends = shards.select("part", (F.col("before") + F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"))
-    parts = ends.groupBy("part").agg(F.max("total").alias("total"))
-    offsets = parts.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    offsets = part_offsets(shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
