@@ -64,6 +64,48 @@ def test_quality_training_lowers_the_loss():
     assert np.allclose(np.bincount(doc, weights=attention), 1)
 
 
+def numeric(loss, array, step=1e-5):
+    out = np.zeros_like(array)
+    for i in np.ndindex(array.shape):
+        kept = array[i]
+        array[i] = kept + step
+        up = loss()
+        array[i] = kept - step
+        out[i] = (up - loss()) / (2 * step)
+        array[i] = kept
+    return out
+
+
+def test_quality_gradients():
+    rng = np.random.default_rng(4)
+    bags = [rng.normal(size=(k, quality_mil.N_FEATURES)) for k in (1, 3, 2, 4)]
+    y = np.array([0.0, 1.0, 1.0, 0.0])
+    model = quality_mil.train(bags, y, epochs=2)
+    x, doc, weight = np.concatenate(bags), np.repeat(np.arange(4), [1, 3, 2, 4]), np.full(4, 0.25)
+    _, grads = model.gradients(x, doc, y, weight)
+    for name, value in model.params.items():
+        part = value[:6] if name == "we" else value  # a view: the encoder has many rows
+        want = numeric(lambda: model.gradients(x, doc, y, weight)[0], part)
+        assert np.allclose(grads[name][: len(part)], want, atol=1e-7), name
+
+
+def test_toxicity_gradients():
+    rng = np.random.default_rng(5)
+    params = [rng.normal(size=(7, toxicity.DIM)), rng.normal(size=(toxicity.DIM, 2)), np.array([0.3])]
+    doc, rows, weights = np.array([0, 0, 1, 2, 2, 2]), np.array([0, 3, 6, 1, 3, 5]), rng.normal(size=6)
+    y = np.array([1.0, 0.0, 1.0])
+    loss, grads = toxicity.gradients(*params, doc, rows, weights, y)
+    for p, g in zip(params, grads, strict=True):
+        assert np.allclose(g, numeric(lambda: toxicity.gradients(*params, doc, rows, weights, y)[0], p), atol=1e-7)
+
+
+def test_passages_carry_words():
+    one, two = quality_mil.passages("alpha beta gamma"), quality_mil.passages("gamma beta alpha")
+    assert one.shape == (1, quality_mil.N_FEATURES) and not np.allclose(one, two)  # pairs tell the order
+    long = quality_mil.passages(" ".join(f"w{i}" for i in range(250)))
+    assert len(long) == 3 and np.allclose(long[0, quality_mil.N_MEASURES :] * np.sqrt(200) % 1, 0)
+
+
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(2)
     docs, labels = [], []

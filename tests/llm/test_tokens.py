@@ -61,6 +61,26 @@ def test_token_files_round_trip(spark, tmp_path):
     assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_lookups_open_the_files(spark, tmp_path):
+    from decimal import Decimal
+
+    texts = ["the first text", None, "the second text and the third", "the " * 40]
+    path = str(tmp_path / "files")
+    token_files.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id smallint, text string"), path, WORD, 1, shard_tokens=12)
+    library = Tokenizer.from_file(WORD)
+    ids = [i for t in texts for i in [*library.encode(t or "", add_special_tokens=False).ids, 1]]
+    asked = [(p,) for p in (0, 3, len(ids) - 1, 3, len(ids), -1, None)]
+    got = sorted((-9 if r.position is None else r.position, r.token) for r in token_files.token_at(spark, path, spark.createDataFrame(asked, "position long"), bucket=7).collect())
+    assert got == sorted((-9 if p is None else p, ids[p] if p is not None and 0 <= p < len(ids) else None) for (p,) in asked)
+    the = ids[-3]
+    assert {r.token: r.n for r in token_files.count_tokens(spark, path, [the, 1, 48000]).collect()} == {t: ids.count(t) for t in (the, 1, 48000)}
+    assert sorted(r.position for r in token_files.find_tokens(spark, path, [the]).collect()) == [i for i, t in enumerate(ids) if t == the]
+    for odd in (Decimal("1.50"), b"key"):  # ids of any type
+        docs = spark.createDataFrame([(odd, "a text")], f"doc_id {'decimal(5,2)' if isinstance(odd, Decimal) else 'binary'}, text string")
+        token_files.write_token_files(docs, str(tmp_path / type(odd).__name__), WORD, 1)
+        assert token_files.read_token_files(spark, str(tmp_path / type(odd).__name__)).first().doc_id == odd
+
+
 def plain_best_fit(lengths, capacity):
     free = []
     for n in sorted(lengths, reverse=True):
