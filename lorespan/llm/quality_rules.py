@@ -4,9 +4,11 @@ Spark counts words by language, then character n-grams of the distinct words, th
 continuation counts and context sums of every order; joins give interpolated probabilities
 and back-off weights. Nothing is folded: the model holds every n-gram. As it counts all texts,
 it has each n-gram of a text at the highest order. Scoring tasks know the most frequent ones
-by themselves; the others go, counted by text, through a join. A document's perplexity is
-per character; each language has a band around its densest half, as wide as that half asks,
-and documents above or below it are rejected, beside those that fail the plain rules.
+by themselves, as a sorted array of hashes; the others go, counted by text, through a join. A document's
+perplexity is per word, over words of two characters or more: marks and bullets that stand alone are
+easy to foretell and would hide what stands between them. Each language has a band around its densest
+half, as wide as that half asks, and documents above or below it are rejected, beside those that fail
+the plain rules.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ SLOT_BITS = 64
 HOT_GRAMS = 1 << 16
 #: A language's band lies around the shortest interval that holds half of its documents, BAND times as wide and BAND_FLOOR nats to
 #: each side at least, more where fewer documents than BAND_FEW tell little. Junk of less than half, above or below, doesn't widen it.
-BAND, BAND_FLOOR, BAND_FEW = 8.0, 0.2, 20
+BAND, BAND_FLOOR, BAND_FEW = 8.0, 1.0, 20
 CACHE_ENTRIES = 500_000
 _START, _END = "\x02", "\x03"
 _SYMBOLS = "#*$%&|<>"
@@ -102,8 +104,8 @@ def hash_arrays(named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return slots[at], values[at]
 
 
-def hot_grams(probs: DataFrame, most: int) -> tuple[dict[str, dict[str, float]], int]:
-    """Log probabilities of the most frequent n-grams by language, and the count from which n-grams are among them."""
+def hot_grams(probs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes and log probabilities of the most frequent n-grams, and the count from which n-grams are among them."""
     step = F.floor(F.log2("c") * 8)
     at, held = None, 0
     for r in probs.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("step")).collect():  # at most 8 rows a bit of a count
@@ -112,49 +114,56 @@ def hot_grams(probs: DataFrame, most: int) -> tuple[dict[str, dict[str, float]],
             break
         at = r.least
     if at is None:
-        return {}, 1 << 62
-    out: dict[str, dict[str, float]] = {}
-    got = probs.filter(F.col("c") >= at).select("lang", "g", F.log("p").alias("lp")).toArrow()
-    for lang, g, lp in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True):
-        out.setdefault(lang, {})[g] = lp
-    return out, at
+        return np.zeros(0, np.uint64), np.zeros(0), 1 << 62
+    got = probs.filter(F.col("c") >= at).select(F.xxhash64("lang", "g").alias("h"), F.log("p").alias("lp")).toArrow()
+    hashes, values = got.column("h").to_numpy().view(np.uint64), got.column("lp").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], values[order], at
 
 
 class TextScorer:
-    """Sums the log probabilities of the n-grams it knows and counts the others; remembers words."""
+    """Sums the log probabilities of the n-grams it knows, in sorted hash arrays, and counts the others; remembers words."""
 
-    def __init__(self, hot: dict[str, dict[str, float]], order: int):
-        self.hot, self.order = hot, order
+    def __init__(self, hashes: np.ndarray, values: np.ndarray, order: int):
+        import xxhash
+
+        self.hashes, self.values, self.order, self.digest = hashes, values, order, xxhash.xxh64_intdigest
         self.words: dict[str, dict[bytes, tuple[float, int, tuple[str, ...]]]] = {}
 
-    def word(self, hot: dict[str, float], word: bytes) -> tuple[float, int, tuple[str, ...]]:
-        n, total, cold = self.order, 0.0, []
-        marked = _START * (n - 1) + word.decode("utf-8", "replace") + _END
-        for i in range(len(marked) - n + 1):
-            p = hot.get(marked[i : i + n])
-            if p is None:
-                cold.append(marked[i : i + n])
-            else:
-                total += p
-        return total, len(marked) - n + 1, tuple(cold)
+    def learn(self, lang: str, words: set[bytes]) -> dict[bytes, tuple[float, int, tuple[str, ...]]]:
+        """Of each word: log probability of its known n-grams, number of characters, and its other n-grams. All are looked up at once."""
+        n, seed, grams, ends = self.order, self.digest(lang.encode(), seed=42), [], []
+        for w in words:
+            marked = _START * (n - 1) + w.decode("utf-8", "replace") + _END
+            grams += [marked[i : i + n] for i in range(len(marked) - n + 1)]
+            ends.append(len(grams))
+        hashes = np.fromiter((self.digest(g.encode(), seed=seed) for g in grams), np.uint64, len(grams))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(grams), dtype=bool)
+        values = np.where(known, self.values[at] if len(self.values) else 0.0, 0.0)
+        out, begin = {}, 0
+        for w, end in zip(words, ends, strict=True):
+            cold = () if known[begin:end].all() else tuple(g for g, k in zip(grams[begin:end], known[begin:end].tolist(), strict=True) if not k)
+            out[w] = (float(values[begin:end].sum()), end - begin - 1, cold)
+            begin = end
+        return out
 
     def text(self, lang: str, words: list[bytes]) -> tuple[float, int, dict[str, int]]:
-        """Log probability of the known n-grams, number of characters, and how often each other n-gram occurs."""
-        memo, hot = self.words.setdefault(lang, {}), self.hot.get(lang, {})
-        total, n, others = 0.0, 0, {}
-        for w in words:
-            got = memo.get(w)
-            if got is None:
-                if len(memo) >= CACHE_ENTRIES:
-                    memo.clear()
-                got = self.word(hot, w)
-                if len(w) <= 64:
-                    memo[w] = got
-            total += got[0]
-            n += got[1]
-            for g in got[2]:
+        """Log probability of the known n-grams of words of two characters or more, number of these words, and how often
+        each other n-gram occurs in them; of all words if none is so long."""
+        memo = self.words.setdefault(lang, {})
+        if len(memo) >= CACHE_ENTRIES:
+            memo.clear()
+        new = set(words).difference(memo)
+        fresh = self.learn(lang, new) if new else {}
+        memo.update((w, x) for w, x in fresh.items() if len(w) <= 64)
+        got = [memo.get(w) or fresh[w] for w in words]
+        got = [x for x in got if x[1] > 1] or got
+        others: dict[str, int] = {}
+        for x in got:
+            for g in x[2]:
                 others[g] = others.get(g, 0) + 1
-        return total, n, others
+        return sum(x[0] for x in got), len(got), others
 
 
 class NgramScorer:
@@ -200,10 +209,10 @@ class NgramScorer:
         return total, len(marked) - n + 1
 
     def log_perplexity(self, lang: str, words: list[bytes]) -> float:
-        """Mean negative log probability of a character; 0 without words."""
+        """Mean negative log probability of a word, over words of two characters or more, or of all if none is so long; 0 without words."""
         memo = self.words.setdefault(lang, {})
         total, n = 0.0, 0
-        for w in words:
+        for w in [w for w in words if len(w.decode("utf-8", "replace")) > 1] or words:
             got = memo.get(w)
             if got is None:
                 if len(memo) >= CACHE_ENTRIES:
@@ -212,7 +221,7 @@ class NgramScorer:
                 if len(w) <= 64:
                     memo[w] = got
             total += got[0]
-            n += got[1]
+            n += 1
         return -total / n if n else 0.0
 
 
@@ -240,38 +249,39 @@ def score_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Plain rules and perplexity band for every whole text.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    lang, log_perplexity, one row per row of ``docs``. Null and empty texts have no words and fail the plain
+    lang, log_perplexity (nats a word), one row per row of ``docs``. Null and empty texts have no words and fail the plain
     rules. The model counts all texts; bands come from all documents that pass the plain rules; a
     language of which no document does needs no band.
     """
     spark = docs.sparkSession
     probs = level_probabilities(materialize(word_counts(docs, text_col, lang_col), "words"), order)[-1][0]
-    known, known_from = hot_grams(probs, hot)
-    model = spark.sparkContext.broadcast(known)  # bounded by HOT_GRAMS
+    hashes, values, known_from = hot_grams(probs, hot)
+    model = spark.sparkContext.broadcast((hashes, values))  # bounded by HOT_GRAMS: 16 bytes each
     model_id = uuid.uuid4().hex
     with_lang = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(_NO_LANG)).alias("lang"), F.monotonically_increasing_id().alias("row"))
-    packed = with_lang.select("id", "row", F.concat("lang", F.lit("\x00"), F.coalesce("text", F.lit(""))).alias("both"), "lang")
+    packed = with_lang.select("id", "row", F.concat(F.length("lang").cast("string"), F.lit(":"), "lang", F.coalesce("text", F.lit(""))).alias("both"), "lang")
 
     def compute(texts: list[str]) -> list:
         if model_id not in _scorers:
             _scorers.clear()
-            _scorers[model_id] = TextScorer(model.value, order)
+            _scorers[model_id] = TextScorer(*model.value, order)
         scorer, rows = _scorers[model_id], []
         for both in texts:
-            lang, _, text = both.partition("\x00")
+            size, _, rest = both.partition(":")
+            lang, text = rest[: int(size)], rest[int(size) :]
             words = text.encode().split()
             total, n, others = scorer.text(lang, words)
             rows.append((len(words), *base_measures(text, words), total, n, list(others), list(others.values())))
         return [[r[i] for r in rows] for i in range(9)]
 
-    fields = [(n, "long") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("known", "double"), ("n_grams", "long"), ("others", "array<string>"), ("times", "array<long>")]
+    fields = [(n, "long") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("known", "double"), ("n_scored", "long"), ("others", "array<string>"), ("times", "array<long>")]
     measured = materialize(map_texts(packed, compute, fields, "id", "both", carry=("lang", "row")), "measured")
     others = measured.select("row", "lang", F.explode(F.arrays_zip("others", "times")).alias("o")).select("row", "lang", F.col("o.others").alias("g"), F.col("o.times").alias("times"))
     rest = others.join(probs.filter(F.col("c") < known_from).select("lang", "g", F.log("p").alias("lp")), ["lang", "g"])
     rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.col("lp")).alias("rest"))
     total = F.col("known") + F.coalesce("rest", F.lit(0.0))
-    log_perplexity = F.when(F.col("n_grams") > 0, F.round(-total / F.col("n_grams"), 9)).otherwise(F.lit(0.0))
-    scored = measured.drop("others", "times").join(rest, "row", "left").withColumn("log_perplexity", log_perplexity).drop("row", "known", "rest", "n_grams")
+    log_perplexity = F.when(F.col("n_scored") > 0, F.round(-total / F.col("n_scored"), 9)).otherwise(F.lit(0.0))
+    scored = measured.drop("others", "times").join(rest, "row", "left").withColumn("log_perplexity", log_perplexity).drop("row", "known", "rest", "n_scored")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = materialize(scored.withColumn("base_failed", failed), "scored")
     steps = 40
@@ -282,7 +292,7 @@ def score_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     middle = F.col("half.low") + F.col("half.width") / 2
     half: Column = F.greatest(F.lit(floor) * (1 + F.lit(BAND_FEW) / F.col("n")), F.lit(band) * F.col("half.width") / 2)
     bands = bands.select("lang", (middle - half).alias("low"), (middle + half).alias("high"))
-    judged = scored.join(bands, "lang", "left")
+    judged = scored.join(F.broadcast(bands), "lang", "left")  # one row a language
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", "log_perplexity")
 

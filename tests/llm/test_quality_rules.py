@@ -45,6 +45,65 @@ def test_model_is_a_distribution(spark):
     assert scorer.log_perplexity("xx", [b"abra"]) > 0 and scorer.log_perplexity("en", []) == 0.0
 
 
+def plain_kneser_ney(words, order=4):
+    """Interpolated probabilities of all n-grams of the highest order, by the formulas of modified Kneser-Ney."""
+    level = Counter()
+    for w, c in Counter(words).items():
+        marked = "\x02" * (order - 1) + w + "\x03"
+        for i in range(len(marked) - order + 1):
+            level[marked[i : i + order]] += c
+    levels = {order: level}
+    for k in range(order - 1, 0, -1):
+        level = levels[k] = Counter(g[1:] for g in level)  # distinct characters before it
+
+    def discounts(counts):
+        n = [sum(c == k for c in counts.values()) for k in range(5)]
+        y = n[1] / (n[1] + 2 * n[2] + 1e-9)
+        out = []
+        for k in (1, 2, 3):
+            d = k - (k + 1) * y * n[k + 1] / n[k] if n[1] and n[2] and n[k] else 0
+            out.append(min(d, k - 0.01) if d > 0 else k / (k + 1))
+        return out
+
+    lower = None
+    for k in range(1, order + 1):
+        counts, d = levels[k], discounts(levels[k])
+        by_context = {}
+        for g, c in counts.items():
+            by_context.setdefault(g[:-1], []).append(c)
+        now = {}
+        for g, c in counts.items():
+            same = by_context[g[:-1]]
+            left, total = sum(d[min(x, 3) - 1] for x in same), sum(same)
+            rest = left / (len(same) + 1) if lower is None else left * lower[g[1:]]
+            now[g] = (c - d[min(c, 3) - 1] + rest) / total
+        lower = now
+    return lower
+
+
+def test_model_equals_plain_kneser_ney(spark):
+    rng = random.Random(14)
+    words = ["".join(rng.choices("abcde", k=rng.randint(1, 6))) for _ in range(400)] + ["the"] * 30 + ["of"] * 12
+    other = ["".join(rng.choices("xyz", k=3)) for _ in range(50)]
+    docs = spark.createDataFrame([(" ".join(words[:200]), "en"), (" ".join(words[200:]), "en"), (" ".join(other), "de")], "text string, lang string")
+    probs = {(r["lang"], r["g"]): r["p"] for r in R.level_probabilities(R.word_counts(docs))[-1][0].collect()}
+    want = {("en", g): p for g, p in plain_kneser_ney(words).items()} | {("de", g): p for g, p in plain_kneser_ney(other).items()}
+    assert probs.keys() == want.keys() and all(abs(probs[k] - p) < 1e-9 for k, p in want.items())
+
+
+def test_marks_between_words_do_not_hide_junk(spark):
+    """Perplexity is over words of two characters or more; where a text has none, over all; lang may hold any character."""
+    rng = random.Random(15)
+    syllables = ["ba", "ko", "ri", "lu", "te", "mo", "sa"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 3)))
+    rows = [(i, " ".join(word() for _ in range(100)), "e:n\x00") for i in range(120)]
+    rows += [(200 + i, " | ".join("".join(rng.choices("bkrltmsaoiue", k=9)) for _ in range(60)), "e:n\x00") for i in range(8)]
+    rows += [(300, "a b " * 40, "zz"), (301, " ".join("abcdefghij"[i % 10] for i in range(60)), "zz")]
+    got = {r.doc_id: r for r in R.score_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i in range(120)) and not any(got[200 + i].kept for i in range(8))
+    assert got[301].log_perplexity > 0 and got[0].lang == "e:n\x00"
+
+
 def test_rules_reject_gibberish_and_keep_clean(spark):
     rng = random.Random(6)
     syllables = ["ba", "ko", "ri", "lu", "te"]
