@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from lorespan.functions.text import answer_text, words
 
-# Words without a letter in an acronym.
-_LINK_WORDS = ("of", "the", "and", "for", "in", "on", "at", "to", "a", "an")
-
-
 def name_pairs(names: DataFrame, least: float) -> DataFrame:
     """Pairs of names with one first letter, lengths at most 3 apart and that Levenshtein similarity.
 
@@ -26,12 +22,6 @@ def name_pairs(names: DataFrame, least: float) -> DataFrame:
     return pairs.withColumn("similarity", F.round(similarity, 6)).filter(similarity >= least)
 
 
-def acronym(name: Column) -> Column:
-    """Initials of two to eight words that are no link words."""
-    kept = F.filter(F.regexp_extract_all(name, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: ~F.lower(w).isin(*_LINK_WORDS))
-    return F.when(F.size(kept).between(2, 8), F.upper(F.array_join(F.transform(kept, lambda w: F.substring(w, 1, 1)), "")))
-
-
 def token_f1(pairs: DataFrame) -> DataFrame:
     """I16: F1 of the word multisets of two answers (id, a, b); 1 when both are empty."""
     split = lambda c: F.filter(F.split(answer_text(F.col(c)), " "), lambda w: w != "")

@@ -9,11 +9,11 @@ from lorespan.operators import retrieval as R
 from lorespan.sources.tables import read
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
-_STOP = "('the','and','for','with','that','this','from','are','was','were','what','which','who','how','why','when','where','does','did','has','have','had','its','into','about')"
+_STOP = "('a','an','and','are','as','at','be','by','did','do','does','for','from','had','has','have','how','in','is','of','on','or','that','the','to','was','were','what','when','where','which','who','with')"
 _BM25 = rf"""
 docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM docs),
-q AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark) WHERE (length(term) >= 3 OR regexp_matches(term, '[0-9]')) AND term NOT IN {_STOP}),
+q AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark) WHERE (length(term) >= 3 OR regexp_matches(term, '^[0-9]+$')) AND term NOT IN {_STOP}),
 tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 bm25 AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), stats GROUP BY query_id, doc_id),

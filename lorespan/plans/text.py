@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespan.functions import ids
 from lorespan.functions import text as T
+from lorespan.operators import names as N
 from lorespan.operators import similarity as S
 from lorespan.sources.tables import read
 
@@ -38,15 +39,17 @@ QUERIES = {
     ),
     "i6_query_terms": (
         _lazy("benchmark", lambda: ["item_id", F.array_join(F.array_sort(T.query_terms(_t())), " ").alias("terms")]),
-        r"SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: (length(w) >= 3 OR regexp_matches(w, '[0-9]')) AND NOT list_contains(['the','and','for','with','that','this','from','are','was','were','what','which','who','how','why','when','where','does','did','has','have','had','its','into','about'], w)))), ' ') AS terms FROM benchmark",
+        r"SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: (length(w) >= 3 OR regexp_matches(w, '^[0-9]+$')) AND NOT list_contains(['a','an','and','are','as','at','be','by','did','do','does','for','from','had','has','have','how','in','is','of','on','or','that','the','to','was','were','what','when','where','which','who','with'], w)))), ' ') AS terms FROM benchmark",
     ),
     "i10_levenshtein_similarity": (
         lambda spark, d: S.name_pairs(read(spark, d, "part").select(F.col("p_name").alias("name")).distinct(), 0.6),
         "WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS a, b.name AS b, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) AS similarity FROM n a JOIN n b ON left(a.name, 1) = left(b.name, 1) AND a.name < b.name AND abs(length(a.name) - length(b.name)) <= 3 WHERE 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) >= 0.6",
     ),
     "i12_acronym": (
-        _lazy("part", lambda: ["p_partkey", S.acronym(F.col("p_name")).alias("acronym")]),
-        "WITH w AS (SELECT p_partkey, list_filter(regexp_extract_all(p_name, '[A-Za-z]+'), lambda x: NOT list_contains(['of','the','and','for','in','on','at','to','a','an'], lower(x))) AS w FROM part) SELECT p_partkey, CASE WHEN len(w) BETWEEN 2 AND 8 THEN upper(array_to_string(list_transform(w, lambda x: left(x, 1)), '')) END AS acronym FROM w",
+        _lazy("part", lambda: ["p_partkey", N.acronym(F.concat_ws(" ", "p_name", F.lit("of the"), "p_type", F.regexp_extract("p_brand", "[A-Za-z]+", 0))).alias("acronym")]),
+        r"""WITH w AS (SELECT p_partkey, list_filter(regexp_extract_all(lower(concat_ws(' ', p_name, 'of the', p_type, regexp_extract(p_brand, '[A-Za-z]+'))), '[\p{L}\p{N}]+'), lambda x: length(x) <= 64)[1:8] AS w FROM part),
+        i AS (SELECT p_partkey, w, array_to_string(list_transform(list_filter(w, lambda x: NOT list_contains(['a','an','and','at','by','for','from','in','of','on','or','the','to','with'], x)), lambda x: left(x, 1)), '') AS made FROM w)
+        SELECT p_partkey, CASE WHEN len(w) BETWEEN 2 AND 8 AND len(list_filter(w, lambda x: NOT regexp_full_match(x, '[a-z]+'))) = 0 AND length(made) BETWEEN 3 AND 10 THEN made END AS acronym FROM i""",
     ),
     "i16_token_f1": (
         lambda spark, d: S.token_f1(read(spark, d, "conversations").filter("turn = 1").select(F.col("conv_id").alias("id"), F.col("text").alias("a")).join(read(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("id"), F.col("text").alias("b")), "id")),
@@ -75,13 +78,15 @@ QUERIES = {
     "b6_answer_text": (_lazy("conversations", lambda: ["conv_id", "turn", T.answer_text(_t()).alias("answer")]), r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS answer FROM conversations"),
     "b7_redact_feedback": (
         _lazy("conversations", lambda: ["conv_id", "turn", T.redact_feedback(_t()).alias("clean")]),
-        r"WITH a AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '(sk-[a-z0-9_-]{8,}|bearer\s+[a-z0-9._~+/=-]{8,})', '[SECRET]', 'gi'), '(password|passwd|pwd)\s*[:=]\s*\S+', '[REDACTED]', 'gi') AS t FROM conversations) SELECT conv_id, turn, CASE WHEN length(t) > 600 THEN left(t, 600) || '…' ELSE t END AS clean FROM a",
+        r"WITH a AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}', '[EMAIL]', 'gi'), '(sk-[A-Za-z0-9_-]{8,}|bearer\s+[A-Za-z0-9._-]{8,})', '[SECRET]', 'gi'), '(password|密码)\s*[:=]\s*\S+', '\1=[REDACTED]', 'gi') AS t FROM conversations) SELECT conv_id, turn, CASE WHEN t IS NULL OR NOT regexp_matches(t, '\S') THEN '' WHEN length(t) > 600 THEN left(t, 600) || '…' ELSE t END AS clean FROM a",
     ),
     "b8_canonical_url": (
         _lazy("pages", lambda: ["page_id", T.canonical_url(F.col("url")).alias("url")]),
-        r"""WITH a AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*')) AS head, regexp_replace(substr(url, length(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*')) + 1), '#.*$', '') AS rest FROM pages),
-        b AS (SELECT page_id, head, regexp_replace(rest, '\?.*$', '') AS path, array_to_string(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|rss|src)(=|$)')), '&') AS q FROM a)
-        SELECT page_id, head || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM b""",
+        r"""WITH p AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS url FROM pages),
+        a AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*') AS head, substr(url, length(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*')) + 1) AS rest FROM p),
+        b AS (SELECT page_id, lower(head) AS head, regexp_replace(rest, '\?.*$', '') AS path, list_transform(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> ''), lambda x: [url_decode(replace(regexp_extract(x, '^([^=]*)=?(.*)$', 1), '+', ' ')), url_decode(replace(regexp_extract(x, '^([^=]*)=?(.*)$', 2), '+', ' '))]) AS q FROM a),
+        c AS (SELECT page_id, head, path, array_to_string(list_transform(list_filter(q, lambda x: lower(x[1]) NOT IN ('ref', 'rss', 'src') AND NOT starts_with(lower(x[1]), 'utm_')), lambda x: replace(url_encode(x[1]), '%20', '+') || '=' || replace(url_encode(x[2]), '%20', '+')), '&') AS q FROM b)
+        SELECT page_id, head || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM c""",
     ),
     "b9_clean_corpus_text": (_lazy("documents", lambda: ["doc_id", F.md5(T.clean_corpus_text(_t())).alias("digest")]), r"SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10))) AS digest FROM documents"),
     "c4_text_quality": (
@@ -90,7 +95,7 @@ QUERIES = {
     ),
     "c6_credentials": (
         lambda spark, d: read(spark, d, "documents").select("doc_id", T.has_credential(F.col("text")).alias("credential")),
-        r"""SELECT doc_id, regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') OR regexp_matches(text, '(?i)\b(api[_-]?key|secret|token|password)\b\s*[:=]\s*[^\s]{6,}') OR regexp_matches(text, '(密钥|密码|口令)\s*[:：=]\s*[^\s]{6,}') OR regexp_matches(text, '(?i)\bbearer\s+[a-z0-9._~+/-]{16,}') OR regexp_matches(text, '\bsk-[A-Za-z0-9_-]{16,}') OR regexp_matches(text, '\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}') AS credential FROM documents""",
+        r"""SELECT doc_id, regexp_matches(text, '-----BEGIN (?:[A-Z0-9]+ )?PRIVATE KEY-----') OR regexp_matches(text, '(?i)\b(?:password|passwd|pwd|cookie|token|api[ _-]?key|secret|authorization)\b\s*[:=]\s*\S{4,}') OR regexp_matches(text, '(?:密码|令牌|密钥)\s*[:：=]\s*\S{4,}') OR regexp_matches(text, '(?i)\bBearer\s+[A-Za-z0-9._~+/-]{12,}') OR regexp_matches(text, '\bsk-[A-Za-z0-9_-]{16,}\b') OR regexp_matches(text, '\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b') AS credential FROM documents""",
     ),
     "c8_substring_search": (lambda spark, d: read(spark, d, "documents").filter(F.lower("text").contains("license")).select("doc_id"), "SELECT doc_id FROM documents WHERE lower(text) LIKE '%license%'"),
     "c9_prefix_search": (lambda spark, d: read(spark, d, "part").filter(F.lower("p_name").startswith("red")).select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE starts_with(lower(p_name), 'red')"),
@@ -107,4 +112,49 @@ QUERIES = {
         r"""SELECT doc_id, length(trim(text)) < 20 AS scanned, regexp_matches(text, '\S {3,}\S') OR regexp_matches(text, '\S\s*\|\s*\S') AS tables, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) < 0.5 * length(regexp_replace(text, '\s', '', 'g')) AS low_quality,
         CASE WHEN length(trim(text)) < 20 THEN 'LAYOUT' WHEN regexp_matches(text, '\S {3,}\S') OR regexp_matches(text, '\S\s*\|\s*\S') THEN 'LAYOUT' ELSE 'NATIVE' END AS route FROM documents""",
     ),
+    "b10_safe_slug": (_lazy("pages", lambda: ["page_id", T.safe_slug(F.col("url")).alias("slug")]), "SELECT page_id, lower(regexp_replace(regexp_replace(url, '[^0-9A-Za-z_-]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM pages"),
+    "b11_projection_key": (_lazy("documents", lambda: ["doc_id", T.projection_key(F.col("doc_id"), F.col("n_chars"), F.lit(1)).alias("key")]), "SELECT doc_id, doc_id || ':' || n_chars || ':1' AS key FROM documents"),
+    "b12_snippet": (
+        lambda spark, d: read(spark, d, "documents").select("doc_id", T.snippet(F.col("text"), F.when(F.contains("text", F.lit("license")), F.regexp_replace(F.regexp_extract("text", "[^\n]{0,40}license[^\n]{0,40}", 0), "license", "<mark>license</mark>"))).alias("snippet")),
+        "SELECT doc_id, CASE WHEN contains(text, 'license') THEN regexp_extract(text, '[^\n]{0,40}license[^\n]{0,40}') ELSE left(text, 220) END AS snippet FROM documents",
+    ),
+    "b13_heading_path": (_lazy("documents", lambda: ["doc_id", F.size(T.heading_path(_t())).alias("levels"), F.get(T.heading_path(_t()), F.lit(0)).alias("first")]), r"WITH p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS p FROM documents) SELECT doc_id, len(p) AS levels, p[1] AS first FROM p"),
+    "b14_source_label": (
+        lambda spark, d: read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.source_label(F.when(F.col("l_returnflag") == "N", "PAGE").otherwise("CELL_RANGE"), F.col("l_linenumber"), F.col("l_linenumber") + (F.col("l_linestatus") == "O").cast("int"), F.when(F.col("l_quantity") > 25, F.concat(F.lit("part "), F.col("l_partkey").cast("string"))), F.concat(F.lit("line-"), F.col("l_orderkey").cast("string"))).alias("label")),
+        "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' AND l_linestatus <> 'O' THEN coalesce(CASE WHEN l_quantity > 25 THEN 'part ' || l_partkey END, '第 ' || l_linenumber || ' 页') WHEN l_returnflag = 'N' THEN '第 ' || l_linenumber || '–' || (l_linenumber + 1) || ' 页' ELSE coalesce(CASE WHEN l_quantity > 25 THEN 'part ' || l_partkey END, 'line-' || l_orderkey) END AS label FROM lineitem",
+    ),
+    "b15_query_language": (_lazy("documents", lambda: ["doc_id", T.query_language(_t()).alias("language")]), r"SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z]') AND NOT regexp_matches(regexp_replace(text, '[A-Za-z]', '', 'g'), '\p{L}') THEN 'en' ELSE 'zh' END AS language FROM documents"),
+    "c5_pdf_quality": (
+        _lazy("documents", lambda: ["doc_id", F.coalesce(T.pdf_quality(_t()), F.lit("OK")).alias("verdict")]),
+        r"""WITH s AS (SELECT doc_id, length(regexp_replace(text, '[\t\n\x0B\f\r\x1C-\x1F\x20]', '', 'g')) AS seen, length(regexp_replace(text, '[^\p{L}\p{Nd}]', '', 'g')) AS meaning, length(regexp_replace(regexp_replace(text, '[\t\n\x0B\f\r\x1C-\x1F\x20]', '', 'g'), '[^\x{FFFD}\p{Cc}\p{Co}]', '', 'g')) AS noise FROM documents)
+        SELECT doc_id, CASE WHEN seen >= 40 AND (noise > 0.02 * seen OR meaning < 0.3 * seen) THEN 'GIBBERISH_TEXT' WHEN meaning < 40 THEN 'LOW_QUALITY_TEXT' ELSE 'OK' END AS verdict FROM s""",
+    ),
+    "i7_memory_features": (_lazy("conversations", lambda: ["conv_id", "turn", F.array_join(F.array_sort(T.memory_features(_t())), " ").alias("features")]), r"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(trim(text)), '[\p{L}\p{N}_]+'))), ' ') AS features FROM conversations"),
+    "i8_citation_features": (_lazy("conversations", lambda: ["conv_id", "turn", F.array_join(F.array_sort(T.citation_features(_t())), " ").alias("features")]), r"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(left(text, 4096)), '[\p{L}\p{Nd}]+'), lambda x: 'w:' || x))), ' ') AS features FROM conversations"),
+    "i13_compact_windows": (
+        _lazy("part", lambda: ["p_partkey", F.array_join(F.array_sort(N.compact_windows(N.name_words(F.col("p_name")))), " ").alias("windows")]),
+        r"""WITH w AS (SELECT p_partkey, list_filter(regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+'), lambda x: length(x) <= 64)[1:8] AS w FROM part),
+        x AS (SELECT DISTINCT p_partkey, array_to_string(w[i : j], '') AS v FROM w, range(1, 9) a(i), range(1, 9) b(j) WHERE i <= j AND j <= len(w) AND j < i + 8)
+        SELECT w.p_partkey, coalesce(string_agg(v, ' ' ORDER BY v) FILTER (length(v) BETWEEN 3 AND 64), '') AS windows FROM w LEFT JOIN x USING (p_partkey) GROUP BY w.p_partkey""",
+    ),
+    "i18_pdf_heading_depth": (
+        lambda spark, d: read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", T.pdf_heading_depth(F.col("line")).alias("depth")).groupBy("doc_id").agg(F.count_if(F.col("depth") > 0).alias("headings"), F.max("depth").alias("deepest")),
+        r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+        h AS (SELECT doc_id, CASE WHEN regexp_matches(line, '^#{1,6}\s+.+$') THEN length(regexp_extract(line, '^(#{1,6})\s+.+$', 1)) WHEN regexp_matches(line, '^(\d+(?:\.\d+)*)(?:[、.)])?\s+.+$') THEN least(6, len(string_split(regexp_extract(line, '^(\d+(?:\.\d+)*)(?:[、.)])?\s+.+$', 1), '.')))
+          WHEN length(line) <= 80 AND length(regexp_replace(line, '[^\p{Latin}]', '', 'g')) >= 4 AND NOT regexp_matches(line, '[\p{Ll}ªº]') THEN 1 ELSE 0 END AS depth FROM l)
+        SELECT doc_id, count(*) FILTER (depth > 0) AS headings, max(depth) AS deepest FROM h GROUP BY doc_id""",
+    ),
+    "i20_string_functions": (
+        lambda spark, d: read(spark, d, "documents").select("doc_id", F.split_part("text", F.lit(" "), F.lit(2)).alias("second"), F.left("text", F.lit(12)).alias("head"), F.instr("text", "the").alias("at"), F.btrim(F.col("source"), F.lit("s")).alias("trimmed"), F.nullif("lang", F.lit("en")).alias("foreign"), F.coalesce(F.nullif("lang", F.lit("en")), F.lit("-")).alias("shown"), F.greatest("n_chars", F.lit(500)).alias("most")),
+        "SELECT doc_id, split_part(text, ' ', 2) AS second, left(text, 12) AS head, instr(text, 'the') AS at, trim(source, 's') AS trimmed, nullif(lang, 'en') AS foreign, coalesce(nullif(lang, 'en'), '-') AS shown, greatest(n_chars, 500) AS most FROM documents",
+    ),
+    "i27_numeric_test": (
+        lambda spark, d: read(spark, d, "documents").select("doc_id", F.explode(F.slice(F.split("text", " "), 1, 400)).alias("w")).groupBy("doc_id").agg(F.count_if(T.is_number(F.col("w"))).alias("numbers")),
+        "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')[1:400]) AS w FROM documents) SELECT doc_id, count(*) FILTER (w <> '' AND try_cast(replace(w, ',', '') AS DOUBLE) IS NOT NULL) AS numbers FROM w GROUP BY doc_id",
+    ),
+    "i31_concise": (_lazy("documents", lambda: ["doc_id", T.concise(_t(), 80).alias("short")]), "SELECT doc_id, left(trim(text), 80) AS short FROM documents"),
+    "d13_containment_join": (
+        lambda spark, d: read(spark, d, "part").join(F.broadcast(read(spark, d, "part").select(F.explode(F.array(F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_type", F.lit(" "), F.lit(1)))).alias("alias")).distinct()), N.holds_name(F.concat_ws(", ", "p_name", "p_type"), F.col("alias"))).select("p_partkey", "alias"),
+        """WITH a AS (SELECT DISTINCT unnest([split_part(p_name, ' ', 1), split_part(p_type, ' ', 1)]) AS alias FROM part) SELECT p_partkey, alias FROM part JOIN a ON contains(' ' || regexp_replace(lower(p_name || ', ' || p_type), '[^a-z0-9_]+', ' ', 'g') || ' ', ' ' || lower(alias) || ' ')""",
+    ),
 }
