@@ -71,7 +71,8 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def _han_bigrams(word: Column) -> Column:
+def han_bigrams(word: Column) -> Column:
+    """Pairs of neighbouring characters; the word itself if it is one character."""
     n = F.length(word)
     return F.when(n < 2, F.array(word)).otherwise(F.transform(F.sequence(F.lit(1), n - 1), lambda i: word.substr(i, F.lit(2))))
 
@@ -79,7 +80,7 @@ def _han_bigrams(word: Column) -> Column:
 def query_terms(text: Column) -> Column:
     """Distinct terms of a query: Han words as bigrams; others of three letters, or all digits, that are no stop words."""
     useful = F.filter(words(text), lambda w: w.rlike(r"\p{IsHan}") | (((F.length(w) >= 3) | w.rlike(r"^\p{Nd}+$")) & ~w.isin(*STOP_WORDS)))
-    return F.array_distinct(F.flatten(F.transform(useful, lambda w: F.when(w.rlike(r"\p{IsHan}"), _han_bigrams(w)).otherwise(F.array(w)))))
+    return F.array_distinct(F.flatten(F.transform(useful, lambda w: F.when(w.rlike(r"\p{IsHan}"), han_bigrams(w)).otherwise(F.array(w)))))
 
 
 def type_name(text: Column) -> Column:

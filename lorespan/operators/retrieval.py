@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespan.functions.text import query_terms, words
+from lorespan.functions.text import han_bigrams, query_terms, words
+from lorespan.shared import materialize
 
-#: Sides of a join of at most so many rows are broadcast.
-SMALL_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a side whose number of rows has been checked; leave it to the planner beyond SMALL_ROWS."""
-    return F.broadcast(df) if rows <= SMALL_ROWS else df
+#: A stated set of query terms, or of packed query vectors, of at most so many bytes is broadcast; beyond that joins are the planner's.
+BROADCAST_BYTES = 64 << 20
+#: Vectors of a packed block.
+BLOCK = 512
 
 
 def visible(docs: DataFrame, user: str, public: Column, owner: str = "source", grants: DataFrame | None = None) -> DataFrame:
@@ -29,29 +29,80 @@ def visible(docs: DataFrame, user: str, public: Column, owner: str = "source", g
     return docs.join(own, "doc_id", "left").filter(allowed | F.col("granted")).drop("granted")
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, doc_id, tf, dl): the inverted index; terms are counted before any join."""
-    flat = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+def current(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows of (doc_id, revision_id, ...) whose revision is the ready, current one of a document that is not deleted.
+
+    ``heads``: (doc_id, current_revision_id, deleted, status).
+    """
+    live = heads.filter(~F.col("deleted") & (F.col("status") == "READY")).select("doc_id", F.col("current_revision_id").alias("revision_id"))
+    return docs.join(live, ["doc_id", "revision_id"], "left_semi")
+
+
+def reauthorized(candidates: DataFrame, authorizations: DataFrame) -> DataFrame:
+    """Candidates whose document, revision and access version are those that the user is authorised for now."""
+    return candidates.join(authorizations.select("doc_id", "revision_id", "acl_version").distinct(), ["doc_id", "revision_id", "acl_version"], "left_semi")
+
+
+# Words that an English index leaves out, and endings that it drops.
+ENGLISH_STOPS = (
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the",
+    "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
+)
+
+
+def analyze(text: Column, analyzer: str = "plain") -> Column:
+    """Terms of a text. ``plain``: lower-case words; ``cjk``: Han words as pairs of characters besides; ``english``: without
+    stop words, and plural endings dropped (ies to y, es behind s, x, z, ch or sh, s but behind s, u or i)."""
+    found = words(text)
+    if analyzer == "cjk":
+        return F.flatten(F.transform(found, lambda w: F.when(w.rlike(r"\p{IsHan}"), han_bigrams(w)).otherwise(F.array(w))))
+    if analyzer == "english":
+        kept = F.filter(found, lambda w: ~w.isin(*ENGLISH_STOPS))
+
+        def stem(w: Column) -> Column:
+            singular = F.when(w.rlike("^[a-z]{2,}ies$"), F.regexp_replace(w, "ies$", "y")).when(w.rlike("^[a-z]+([sxz]|[cs]h)es$"), F.regexp_replace(w, "es$", ""))
+            return singular.when(w.rlike("^[a-z]+[^sui]s$"), F.regexp_replace(w, "s$", "")).otherwise(w)
+
+        return F.transform(kept, stem)
+    return found
+
+
+def postings(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", analyzer: str = "plain") -> DataFrame:
+    """(term, doc_id, tf, dl): the inverted index, of the given terms only; each document also has a row with a null term, for its length.
+
+    Texts are cut once; what the terms don't ask for leaves in the task that cut it, before anything is shuffled.
+    """
+    cut = docs.select(F.col(id_col).alias("doc_id"), analyze(F.col(text_col), analyzer).alias("w"))
+    flat = cut.select("doc_id", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"))
+    if terms is not None:
+        asked = terms.select("term", F.lit(True).alias("asked")).distinct()
+        size = asked.agg(F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0))).first()[0]
+        flat = flat.join(F.broadcast(asked) if size <= BROADCAST_BYTES else asked, "term", "left").filter("asked OR term IS NULL")
     return flat.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, analyzer: str = "plain", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, score) for every document that holds a query term.
 
-    ``queries``: (query_id, text). Query terms are joined to term counts first, so only postings of
-    query terms are shuffled.
+    ``queries``: (query_id, text), a stated set. The postings of the query terms are written once; lengths, document
+    frequencies and scores come from them.
     """
-    terms = queries.select("query_id", F.explode(query_terms(F.col("text"))).alias("term"))
-    n_terms = terms.select("term").distinct()
-    sized = docs.select("doc_id", words(F.col("text")).alias("w"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    flat = sized.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(n_terms, "term", "left_semi")
-    found = flat.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    cut = query_terms(F.col("text")) if analyzer == "plain" else F.array_distinct(analyze(F.col("text"), analyzer))
+    terms = queries.select("query_id", F.explode(cut).alias("term"))
+    found = materialize(postings(docs, terms, text_col=text_col, analyzer=analyzer), "postings")
+    stats = found.filter("term IS NULL").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    hits = found.filter("term IS NOT NULL")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = found.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "doc_id", (idf * weight).alias("part"))  # one row
-    return scored.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    weights = terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avgdl")  # one row of totals
+    saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return hits.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("idf") * saturation), 6).alias("score"))
+
+
+def bm25_fields(docs: DataFrame, queries: DataFrame, fields: list[tuple[str, str, float]]) -> DataFrame:
+    """(query_id, doc_id, score): the best of the fields' scores, each (column, analyzer, boost)."""
+    parts = [bm25(docs, queries, analyzer=analyzer, text_col=column).withColumn("score", F.col("score") * boost) for column, analyzer, boost in fields]
+    return reduce(DataFrame.unionByName, parts).groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
 def rank(scored: DataFrame, k: int | None = None, by: tuple[str, ...] = ("query_id",), score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -61,27 +112,55 @@ def rank(scored: DataFrame, k: int | None = None, by: tuple[str, ...] = ("query_
     return out.filter(F.col("rank") <= k) if k else out
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 64) -> DataFrame:
+def packed(vectors: DataFrame, id_col: str, n_blocks: int | None = None) -> DataFrame:
+    """(block, ids, vecs): vectors as blocks of binary rows; of ``n_blocks`` by hash of the id, or as they come (block 0). Null vectors are left out."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).dropna()
+    kind = "block int, ids binary, vecs binary"
+
+    def pack(ids: list[int], vecs: list, block: int) -> pa.RecordBatch:
+        data = [np.array(ids, "<i8").tobytes(), np.array(vecs, "<f8").tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.array([d]) for d in data]], names=["block", "ids", "vecs"])
+
+    if n_blocks is None:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 8 * BLOCK):
+                    part = batch.slice(at, 8 * BLOCK)
+                    yield pack(part.column(0).to_pylist(), part.column(1).to_pylist(), 0)
+
+        return rows.mapInArrow(run, kind)
+    by_block = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInArrow(lambda t: pa.Table.from_batches([pack(t.column("id").to_pylist(), t.column("v").to_pylist(), t.column("block")[0].as_py())]), kind)
+    return by_block
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """(query_id, vec_id, score, rank) of the k nearest vectors of each query, exactly.
 
-    ``queries``: (query_id, embedding), a stated set. Queries are broadcast in blocks; each task keeps its own best k of each
-    query, and the best of those are ranked. Zero and null vectors have no neighbours under cosine.
+    ``queries``: (query_id, embedding), a stated set, is packed into blocks of about BLOCK by hash; so are the vectors, as
+    they are read, in one scan. Blocks of queries meet blocks of vectors: by broadcast up to BROADCAST_BYTES of queries, by a
+    shuffle beyond. Each task keeps its own best k of each query; the best of those are ranked. Zero and null
+    vectors have no neighbours under cosine. Access rules apply to ``vectors`` before they come here.
     """
     if metric not in ("cosine", "dot", "l2"):
         raise ValueError(metric)
-    blocks = queries.select("query_id", "embedding").withColumn("block", F.ntile(max(1, -(-queries.count() // block))).over(Window.orderBy("query_id")))
-    packed = blocks.groupBy("block").agg(F.collect_list("query_id").alias("ids"), F.collect_list("embedding").alias("vecs"))
-    best = None
-    for row in packed.toLocalIterator():
-        ids, q = np.array(row["ids"]), np.array(row["vecs"], dtype=np.float64)
-
-        def nearest(frames, ids=ids, q=q):
-            held: list[pd.DataFrame] = []
-            for frame in frames:
-                frame = frame.dropna()
-                if not len(frame):
-                    continue
-                v = np.stack([np.asarray(x, dtype=np.float64) for x in frame["embedding"]])
+    spark = vectors.sparkSession
+    n = queries.count()
+    if not n:
+        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    n_blocks = -(-n // BLOCK)
+    asked = materialize(packed(queries, "query_id", n_blocks).select("block", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")), "queries")
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("q_vecs") + F.octet_length("q_ids")), F.lit(0))).first()[0]
+    blocks = packed(vectors, "vec_id").select("ids", "vecs", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    met = blocks.join(F.broadcast(asked) if size <= BROADCAST_BYTES else asked, "block").select("q_ids", "q_vecs", "ids", "vecs")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pd.DataFrame] = []
+        rows = 0
+        for batch in batches:
+            for q_ids, q_vecs, ids, vecs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                q_id, v_id = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
+                q, v = np.frombuffer(q_vecs, "<f8").reshape(len(q_id), -1), np.frombuffer(vecs, "<f8").reshape(len(v_id), -1)
                 if metric == "l2":
                     s = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * q @ v.T, 0))
                 else:
@@ -90,20 +169,22 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
                         norm = np.sqrt((q**2).sum(1))[:, None] * np.sqrt((v**2).sum(1))[None]
                         s = np.divide(s, norm, out=np.full_like(s, -2.0), where=norm > 0)
                 s = np.round(s, 6)
-                ids_v = frame["vec_id"].to_numpy()
-                for i, query in enumerate(ids):
-                    at = np.lexsort((ids_v, -s[i]))[:k]
-                    held.append(pd.DataFrame({"query_id": query, "vec_id": ids_v[at], "score": s[i][at]}))
-                if len(held) > 4 * len(ids):
+                for i in range(len(q_id)):
+                    few = np.arange(len(v_id)) if len(v_id) <= k else np.flatnonzero(s[i] >= np.partition(s[i], -k)[-k])
+                    at = few[np.lexsort((v_id[few], -s[i][few]))[:k]]
+                    held.append(pd.DataFrame({"query_id": q_id[i], "vec_id": v_id[at], "score": s[i][at]}))
+                    rows += len(at)
+                if rows > 1_000_000:
                     held = [_best(pd.concat(held), k)]
-            if held:
-                yield _best(pd.concat(held), k)
+                    rows = len(held[0])
+                    if rows > 500_000:  # more queries than a task should hold
+                        yield pa.RecordBatch.from_pandas(held[0], preserve_index=False)
+                        held, rows = [], 0
+        if held:
+            yield pa.RecordBatch.from_pandas(_best(pd.concat(held), k), preserve_index=False)
 
-        found = vectors.select("vec_id", "embedding").mapInPandas(nearest, "query_id long, vec_id long, score double")
-        best = found if best is None else best.unionByName(found)
-    if best is None:
-        best = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-    return rank(best.filter("score > -2"), k, tie="vec_id")
+    found = met.mapInArrow(nearest, "query_id long, vec_id long, score double")
+    return rank(found.filter("score > -2") if metric == "cosine" else found, k, tie="vec_id")
 
 
 def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -117,8 +198,14 @@ def fuse(branches: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
 
 
 def ndcg(ranked: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:
-    """Q-6: normalised gain of the first k ranks; ``grades``: (query_id, doc_id, grade)."""
+    """Q-6: normalised gain of the first k ranks.
+
+    ``ranked``: (query_id, rank, grade), grade 0 for what is of no use; ``grades``: (query_id, grade, n): how many documents have
+    each grade for a query, which tells the best order, so no group is ranked whole.
+    """
     gain = F.pow(F.lit(2.0), F.col("grade")) - 1
-    found = ranked.filter(F.col("rank") <= k).join(grades, ["query_id", "doc_id"]).groupBy("query_id").agg(F.sum(gain / F.log2(F.col("rank") + 1.0)).alias("dcg"))
-    best = rank(grades, k, score="grade").groupBy("query_id").agg(F.sum(gain / F.log2(F.col("rank") + 1.0)).alias("ideal"))
+    found = ranked.filter(F.col("rank") <= k).groupBy("query_id").agg(F.sum(gain / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy(F.col("grade").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = grades.withColumn("before", before).filter(F.col("before") < k).withColumn("place", F.explode(F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("n"), F.lit(k)))))
+    best = places.groupBy("query_id").agg(F.sum(gain / F.log2(F.col("place") + 1.0)).alias("ideal"))
     return best.join(found, "query_id", "left").select("query_id", F.round(F.coalesce("dcg", F.lit(0.0)) / F.col("ideal"), 6).alias("ndcg"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespan.plans import evidence, graph, parsing, relational, retrieval, text
+from lorespan.plans import evidence, graph, parsing, relational, retrieval, search, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (evidence, graph, parsing, relational, retrieval, text,)
+MODULES = (evidence, graph, parsing, relational, retrieval, search, text)
 
 
 def queries() -> dict[str, Query]:

@@ -34,9 +34,10 @@ def _lexical(spark: SparkSession, d: str, k: int) -> DataFrame:
     return R.rank(R.bm25(read(spark, d, "documents"), _queries(spark, d)), k)
 
 
-def _near(spark: SparkSession, d: str, k: int) -> DataFrame:
+def _near(spark: SparkSession, d: str, k: int, seen: DataFrame | None = None) -> DataFrame:
     v = read(spark, d, "embeddings")
-    return R.knn(v, v.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding"), k)
+    allowed = v if seen is None else v.join(seen.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    return R.knn(allowed, v.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding"), k)
 
 
 def j1_bm25_top50(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +58,7 @@ def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Access, BM25, vectors, fusion, first eight with ties by id: the whole of a hybrid search."""
     docs = R.visible(read(spark, d, "documents"), "src1", F.col("lang") == "en")
     lexical = R.rank(R.bm25(docs, _queries(spark, d)), 50)
-    near = _near(spark, d, 50).withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    near = _near(spark, d, 50, docs).withColumnRenamed("vec_id", "doc_id")
     return R.rank(R.fuse([(lexical, 1.0), (near, 1.0)]), 8).select("query_id", "doc_id", F.col("score").alias("rrf"), "rank")
 
 
@@ -67,11 +68,15 @@ def c1_visible_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q6_ndcg10(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of the query's label are relevant (grade 1)."""
+    """Vectors of the query's label are of grade 2, those of the next label of grade 1."""
     v = read(spark, d, "embeddings")
-    q = v.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "label")
-    grades = q.join(v.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("query_id", "doc_id", F.lit(1).alias("grade"))
-    return R.ndcg(_near(spark, d, 10).withColumnRenamed("vec_id", "doc_id"), grades)
+    label = v.select("vec_id", F.col("label").cast("long").alias("label"))
+    want = label.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("want"))
+    grade = F.when(F.col("label") == F.col("want"), 2).when(F.col("label") == F.col("want") + 1, 1).otherwise(0)
+    ranked = _near(spark, d, 10).join(label, "vec_id").join(want, "query_id").select("query_id", "rank", grade.alias("grade"))
+    sizes = label.groupBy("label").agg(F.count("*").alias("n"))
+    grades = want.select("query_id", F.explode(F.array(F.struct(F.col("want").alias("label"), F.lit(2).alias("grade")), F.struct((F.col("want") + 1).alias("label"), F.lit(1).alias("grade")))).alias("g")).select("query_id", "g.*").join(sizes, "label").drop("label")
+    return R.ndcg(ranked, grades)
 
 
 def q5_hit_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
@@ -93,16 +98,17 @@ QUERIES = {
     ),
     "search_hybrid": (
         search_hybrid,
-        f"""WITH seen AS (SELECT * FROM documents WHERE lang = 'en' OR source = 'src1'), {_BM25.replace("FROM documents", "FROM seen")}, {_KNN},
-        f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM lexical WHERE rank <= 50 UNION ALL SELECT query_id, vec_id, rank FROM near WHERE rank <= 50 AND vec_id IN (SELECT doc_id FROM seen)) GROUP BY ALL),
+        f"""WITH seen AS (SELECT * FROM documents WHERE lang = 'en' OR source = 'src1'), {_BM25.replace("FROM documents", "FROM seen")}, {_KNN.replace("FROM qv, embeddings", "FROM qv, embeddings WHERE vec_id IN (SELECT doc_id FROM seen)")},
+        f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM lexical WHERE rank <= 50 UNION ALL SELECT query_id, vec_id, rank FROM near WHERE rank <= 50) GROUP BY ALL),
         r AS (SELECT query_id, doc_id, score AS rrf, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT * FROM r WHERE rank <= 8""",
     ),
     "c1_visible_counts": (c1_visible_counts, "SELECT lang, source, count(*) AS n_docs FROM documents WHERE lang = 'en' OR source = 'src1' GROUP BY ALL"),
     "q6_ndcg10": (
         q6_ndcg10,
-        f"""WITH {_KNN}, g AS (SELECT query_id, v.vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY v.vec_id) AS i FROM qv JOIN embeddings q ON q.vec_id = query_id JOIN embeddings v ON v.label = q.label),
-        i AS (SELECT query_id, sum(1 / log2(i + 1.0)) AS ideal FROM g WHERE i <= 10 GROUP BY query_id),
-        c AS (SELECT n.query_id, sum(1 / log2(rank + 1.0)) AS dcg FROM near n JOIN g ON g.query_id = n.query_id AND g.doc_id = n.vec_id WHERE rank <= 10 GROUP BY n.query_id)
+        f"""WITH {_KNN}, g AS (SELECT q.vec_id AS query_id, v.vec_id, CASE WHEN v.label = q.label THEN 2 ELSE 1 END AS grade FROM embeddings q JOIN embeddings v ON v.label = q.label OR v.label = q.label + 1 WHERE q.vec_id % 20 = 0),
+        o AS (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS i FROM g),
+        i AS (SELECT query_id, sum((2 ** grade - 1) / log2(i + 1.0)) AS ideal FROM o WHERE i <= 10 GROUP BY query_id),
+        c AS (SELECT n.query_id, sum((2 ** grade - 1) / log2(rank + 1.0)) AS dcg FROM near n JOIN g ON g.query_id = n.query_id AND g.vec_id = n.vec_id WHERE rank <= 10 GROUP BY n.query_id)
         SELECT query_id, round(coalesce(dcg, 0.0) / ideal, 6) AS ndcg FROM i LEFT JOIN c USING (query_id)""",
     ),
     "q5_hit_recall_mrr": (

@@ -51,7 +51,7 @@ def test_ranking_and_fusion(spark):
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 30)] + [(50, [0.0, 0.0]), (51, None)], "vec_id long, embedding array<float>")
     q = v.filter("vec_id in (3, 50)").select(F.col("vec_id").alias("query_id"), "embedding")
     for metric in ("cosine", "dot", "l2"):
-        rows = R.knn(v, q, 3, metric, block=1).filter("query_id = 3").collect()
+        rows = R.knn(v, q, 3, metric).filter("query_id = 3").collect()
         assert sorted(r.rank for r in rows) == [1, 2, 3]
         assert {r.vec_id for r in rows if r.rank == 1} == ({29} if metric == "dot" else {3})
     with pytest.raises(ValueError):
@@ -174,3 +174,54 @@ def test_label_communities_end_where_no_node_gains(spark):
                 other = found[b if node == a else a]
                 votes[other] = votes.get(other, 0) + w
         assert votes.get(found[node], 0) == max(votes.values()), node
+
+
+def test_search_of_several_slots(spark):
+    from lorespan.operators import search as Q
+
+    hits = spark.createDataFrame([(1, 1, 1, "BM25", 10, 7.5, 1), (1, 1, 1, "BM25", 11, 5.0, 2), (1, 1, 1, "VECTOR", 11, 0.9, 1), (1, 2, 2, "BM25", 12, 3.0, 1), (1, 2, 2, "BM25", 11, 2.0, 2)], "query_id long, round int, slot int, branch string, doc_id long, score double, rank int")
+    got = {r.doc_id: (r.score, r["rank"]) for r in Q.rank_candidates(hits).collect()}
+    assert got == {10: (7.5, 1), 12: (3.0, 2), 11: (round(1 / 62 + 1 / 61 + 0.25 / 62, 9), 3)}
+    got = {r.doc_id: r.score for r in Q.rank_candidates(hits, mode="rrf").collect()}
+    assert got[10] == round(1 / 61, 9) and got[12] == round(0.25 / 61, 9)
+    graph = spark.createDataFrame([(1, 12, 1), (1, 99, 2)], "query_id long, doc_id long, rank int")
+    got = {r.doc_id: r.score for r in Q.rank_candidates(hits, graph=graph, graph_weight=2.0).collect()}
+    assert got[12] == round(0.25 / 61 + 2 / 61, 9) and got[99] == round(2 / 62, 9) and got[10] == round(1 / 61, 9)
+    slots = spark.createDataFrame([(1, 1, 1, "a"), (1, 2, 2, "b"), (2, 1, 1, "c")], "query_id long, round int, slot int, text string")
+    assert {(r.query_id, r.slot): r.status for r in Q.slot_status(slots, hits).collect()} == {(1, 1): "SUCCESS", (1, 2): "DEGRADED", (2, 1): "FAILED"}
+    plan = spark.createDataFrame([(1, 1, " a "), (1, 2, "b"), (1, 3, "a"), (1, 4, ""), (1, 5, "x" * 501), (1, 6, "c")], "query_id long, position int, text string")
+    assert sorted((r.position, r.text) for r in Q.normalize_queries(plan, 2).collect()) == [(1, "a"), (2, "b")]
+
+
+def test_second_hop_and_pairs(spark):
+    from lorespan.operators import search as Q
+
+    queries = spark.createDataFrame([(1, "who directed the film")], "query_id long, text string")
+    c = spark.createDataFrame([(1, 1, "[x] - Big Film", "It stars Ann Lee and Bob Ray, no Summary"), (1, 2, "Summary", "by Ann Lee"), (1, 9, "Too Late", "No Body Here")], "query_id long, rank int, title string, text string")
+    existing = spark.createDataFrame([(1, "who directed the film ann lee")], "query_id long, text string")
+    got = [(r.position, r.text) for r in Q.second_hop_queries(queries, c, existing, 3).orderBy("position").collect()]
+    assert got == [(1, "who directed the film Bob Ray"), (2, "who directed the film Big Film")]
+    rows = [(1, 10, 1, 1, "alpha beta"), (1, 11, 2, 2, "gamma delta film"), (1, 12, 3, 3, "omega")]
+    cand = spark.createDataFrame(rows, "query_id long, doc_id long, document long, rank int, text string")
+    paths = spark.createDataFrame([(1, 10, 7, None, 1, "made alpha"), (1, 12, 8, 7, 2, "directed omega")], "query_id long, doc_id long, relation long, parent_relation long, depth int, shown string")
+    assert [(r.parent, r.child) for r in Q.best_pair(queries, cand, paths).collect()] == [(10, 12)]
+    evidence = spark.createDataFrame([(1, r, r, (r - 1) // 2, [2] if r in (2, 5) else [1]) for r in range(1, 7)], "query_id long, rank int, doc_id long, document long, slots array<int>")
+    slots = spark.createDataFrame([(1, 2)], "query_id long, slot int")
+    pair = spark.createDataFrame([(1, 1, 4)], "query_id long, parent long, child long")
+    assert [r.doc_id for r in Q.diversified_evidence(evidence, slots, pair, 3).collect()] == [1, 4, 5]
+    assert [r.doc_id for r in Q.diversified_evidence(evidence, slots, None, 3).collect()] == [1, 2, 3]
+
+
+def test_vectors_are_cached_and_checked(spark):
+    from lorespan.operators import search as Q
+
+    v = spark.createDataFrame([(1, [1.0, -2.5]), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1e300, 1.0]), (5, None)], "id long, v array<double>")
+    enc = v.select("id", Q.encode_vector("v").alias("b"))
+    back = enc.withColumn("c", F.sha2("b", 256)).select("id", Q.decode_vector("b", "c").alias("d"))
+    assert {r.id: r.d for r in back.collect()} == {1: [1.0, -2.5], 2: None, 3: None, 4: None, 5: None}
+    inputs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c")], "id long, text string")
+    key = lambda t: F.sha2(F.concat_ws("|", F.lit("default"), F.lit(t)), 256)
+    cache = spark.range(1).select(key("a").alias("key"), F.lit(b"A").alias("bytes"), F.sha2(F.lit(b"A"), 256).alias("checksum")).unionByName(spark.range(1).select(key("b").alias("key"), F.lit(b"B").alias("bytes"), F.lit("wrong").alias("checksum")))
+    provide = lambda rows: rows.select("key", F.encode("text", "UTF-8").alias("bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("checksum"))
+    found, made = Q.read_through(inputs, cache, provide)
+    assert sorted((r.id, bytes(r.bytes)) for r in found.collect()) == [(1, b"A"), (2, b"b"), (3, b"A"), (4, b"c")] and made.count() == 2
