@@ -141,7 +141,7 @@ def _blocks(frame: DataFrame, id_col: str, text_col: str, cut, names: tuple[str,
             made = [(i, n, *b) for i, t in zip(f["id"].tolist(), f["text"].tolist(), strict=True) if t for n, b in enumerate(cut(t))]
             yield pd.DataFrame(made, columns=["id", "block", *names])
 
-    return frame.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id long, block int, {schema}")
+    return frame.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {frame.schema[id_col].dataType.simpleString()}, block int, {schema}")
 
 
 def parse_markdown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,7 +165,7 @@ def child_windows(text: str, size: int = 300, overlap: int = 40) -> Iterator[tup
 
 
 def chunk_children(parents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 300, overlap: int = 40) -> DataFrame:
-    """K2, K3: windows of every text: (id, block, first, last, text)."""
+    """K3: windows of every text: (id, block, first, last, text)."""
     return _blocks(parents, id_col, text_col, lambda t: [(a, b, t[a:b]) for a, b in child_windows(t, size, overlap)], ("first", "last", "text"), "first int, last int, text string")
 
 

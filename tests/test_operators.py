@@ -225,3 +225,34 @@ def test_vectors_are_cached_and_checked(spark):
     provide = lambda rows: rows.select("key", F.encode("text", "UTF-8").alias("bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("checksum"))
     found, made = Q.read_through(inputs, cache, provide)
     assert sorted((r.id, bytes(r.bytes)) for r in found.collect()) == [(1, b"A"), (2, b"b"), (3, b"A"), (4, b"c")] and made.count() == 2
+
+
+def test_chunks_cover_blocks_in_order(spark):
+    from lorespan.operators import chunking as K
+
+    rng = random.Random(5)
+    md = "# A\n\n" + " ".join(f"w{i}" for i in range(80)) + "\n\n## B\n\ntext under b\n\n# C\n\n" + "x" * 130 + "\n\n   \n\ntail"
+    chunks = K.chunk_documents(spark.createDataFrame([("d1", md), ("d2", None), ("d3", "  \n")], "doc_id string, text string"), parent_tokens=100, child_tokens=30, overlap=4).collect()
+    assert {c.id for c in chunks} == {"d1"}
+    parents = [c for c in chunks if c.kind == "PARENT"]
+    assert all(c.tokens <= 100 for c in parents) and all(c.tokens <= 30 for c in chunks if c.kind == "CHILD")
+    headings = [c.heading for c in parents]
+    assert set(headings) == {"A", "A\nB", "C"} and headings == sorted(headings)
+    seen = "".join("".join(p.text.split()) for p in parents)
+    assert seen == "".join("".join(t.split()) for _, _, t in __import__("lorespan.operators.parsing", fromlist=["x"]).markdown_blocks(md))
+    for p in parents:  # children cover their parent, each beginning OVERLAP visible characters before the last one's end
+        inside = [c.text for c in chunks if c.kind == "CHILD" and c.parent == p.parent]
+        dense = "".join(p.text.split())
+        at = 0
+        for k, t in enumerate(inside):
+            t = "".join(t.split())
+            assert dense[at : at + len(t)] == t
+            at += len(t) - 4
+        assert at + 4 == len(dense)
+    for _ in range(200):
+        text = "".join(rng.choice("ab \n") for _ in range(rng.randint(0, 60)))
+        pieces = K.split_block(text, 7)
+        assert "".join("".join(p.split()) for p in pieces) == "".join(text.split()) and all(p == p.strip() for p in pieces)
+    forced = list(K.pack([(0, "PARAGRAPH", (), "one"), (1, "PARAGRAPH", (), "two"), (2, "HEADING", ("H",), "H")], breaks=frozenset({1})))
+    assert [f[6] for f in forced if f[0] == "PARENT"] == ["one", "two", "H"]
+    assert K.heading_paths([("HEADING", 1, "a"), ("HEADING", 2, "b"), ("PARAGRAPH", 0, "p"), ("HEADING", 2, "c"), ("HEADING", 1, "d")])[2:] == [(2, "PARAGRAPH", ("a", "b"), "p"), (3, "HEADING", ("a", "c"), "c"), (4, "HEADING", ("d",), "d")]
