@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 from lorespan.functions.text import query_terms
 from lorespan.operators.greedy import by_group
@@ -225,7 +226,7 @@ def read_through(inputs: DataFrame, cache: DataFrame, provide, namespace: str =
     return keyed.select("id", "key").join(sound.select("key", "bytes", "checksum").unionByName(made), "key").select("id", "key", "bytes"), made
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def encode_vector(vectors):
     """I32: 32-bit floats, little endian; null for vectors that are null, empty, not finite or all zero."""
 
@@ -240,7 +241,7 @@ def encode_vector(vectors):
     return vectors.map(one)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def decode_vector(data, checksums):
     """I32: the floats of a vector whose SHA-256 fits; null for others and for vectors that are not finite or all zero."""
     import hashlib

@@ -37,11 +37,6 @@ def _marks(s, d):
 QUERIES = {
     "c7_optional_filter": (lambda s, d: read(s, d, "events").filter("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("n")), "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY ALL"),
     "c11_terms_filter": (lambda s, d: read(s, d, "documents").join(read(s, d, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang"), "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"),
-    "c13_coverage": (lambda s, d: read(s, d, "conversations").groupBy("conv_id").agg((F.count("*") >= 6).alias("sufficient")), "SELECT conv_id, count(*) >= 6 AS sufficient FROM conversations GROUP BY ALL"),
-    "d16_changed_cases": (
-        lambda s, d: read(s, d, "labels").select("doc_id", _c("quality").alias("was")).join(read(s, d, "labels").select("doc_id", (1 - _c("toxic")).alias("now")), "doc_id").filter("was <> now"),
-        "SELECT doc_id, quality AS was, 1 - toxic AS now FROM labels WHERE quality <> 1 - toxic",
-    ),
     "e6_distinct_string": (lambda s, d: read(s, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "; ").alias("priorities")), "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, '; ' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY ALL"),
     "e8_json_build": (lambda s, d: read(s, d, "nation").groupBy("n_regionkey").agg(F.to_json(F.array_sort(F.collect_list("n_name"))).alias("names")), "SELECT n_regionkey, CAST(to_json(list(n_name ORDER BY n_name)) AS VARCHAR) AS names FROM nation GROUP BY ALL"),
     "e15_coverage": (
@@ -93,7 +88,6 @@ QUERIES = {
         lambda s, d: read(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority").alias("x").join(read(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority").alias("y"), F.expr("x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x.o_orderpriority = y.o_orderpriority")).groupBy(_c("x.o_custkey").alias("o_custkey")).agg(F.count("*").alias("conflicts")),
         "SELECT x.o_custkey, count(*) AS conflicts FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x.o_orderpriority = y.o_orderpriority GROUP BY ALL",
     ),
-    "p1_eligible_history": (lambda s, d: read(s, d, "conversations").filter((_c("role") == "user") | ((_c("role") == "assistant") & (F.length("text") > 100))).groupBy("conv_id").agg(F.count("*").alias("n")), "SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user' OR (role = 'assistant' AND length(text) > 100) GROUP BY ALL"),
     "p6_memory_relevance": (
         lambda s, d: _turns(s, d).select("conv_id", "turn", F.round(E.overlap_ratio(F.array_distinct(E.words(_c("question"))), F.array_distinct(E.words(_c("answer")))), 6).alias("relevance")),
         f"WITH {_TURNS}, w AS (SELECT conv_id, turn, {_W.format('question')} AS q, {_W.format('answer')} AS a FROM t) SELECT conv_id, turn, CASE WHEN len(q) = 0 THEN 0.0 ELSE round(len(list_intersect(q, a)) / len(q), 6) END AS relevance FROM w",
@@ -102,19 +96,6 @@ QUERIES = {
         lambda s, d: E.best_span(_spans(s, d)),
         f"WITH {_TURNS}, x AS (SELECT conv_id * 1000 + turn AS id, answer, question, unnest(string_split(answer, chr(10))) AS span, generate_subscripts(string_split(answer, chr(10)), 1) - 1 AS span_order FROM t), c AS (SELECT id, span_order, 4 * len(list_intersect({_W.format('span')}, {_W.format('answer')})) + len(list_intersect({_W.format('span')}, {_W.format('question')})) AS score FROM x) SELECT id, span_order, score FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, span_order) = 1",
     ),
-    "q1_stage_recall": (
-        lambda s, d: read(s, d, "documents").join(read(s, d, "labels"), "doc_id").groupBy("lang").agg(F.round(F.countDistinct(F.when(_c("quality") == 1, _c("source"))) / F.countDistinct("source"), 6).alias("recall")),
-        "SELECT lang, round(count(DISTINCT source) FILTER (quality = 1) / count(DISTINCT source), 6) AS recall FROM documents JOIN labels USING (doc_id) GROUP BY ALL",
-    ),
-    "q12_route_accuracy": (lambda s, d: read(s, d, "conversations").groupBy("role").agg(F.round(F.avg((F.when(F.length("text") > 150, "assistant").otherwise("user") == _c("role")).cast("int")), 6).alias("accuracy")), "SELECT role, round(avg(CASE WHEN (CASE WHEN length(text) > 150 THEN 'assistant' ELSE 'user' END) = role THEN 1 ELSE 0 END), 6) AS accuracy FROM conversations GROUP BY ALL"),
-    "q13_observability": (
-        lambda s, d: read(s, d, "events").agg(F.count("*").alias("n"), F.count_if(F.expr("event_type = 'error'")).alias("errors"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.countDistinct("user_id").alias("users")),
-        "SELECT count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(quantile_cont(value, 0.95), 6) AS p95, count(DISTINCT user_id) AS users FROM events",
-    ),
-    "q17_fact_import": (
-        lambda s, d: read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("i", "sentence")).groupBy("doc_id").agg(F.count("*").alias("sentences"), (F.countDistinct("i") == F.max("i") + 1).alias("contiguous")),
-        "SELECT doc_id, len(string_split(text, '. ')) AS sentences, true AS contiguous FROM documents",
-    ),
     "r6_closure_blockers": (
         lambda s, d: read(s, d, "documents").join(read(s, d, "labels"), "doc_id", "left").groupBy("lang").agg(E.degradation(F.when(F.count_if(F.expr("quality IS NULL")) > 100, F.lit("MISSING")), F.when(F.count_if(F.expr("toxic = 1")) > 10, F.lit("RESTRICTED"))).alias("blockers")),
         "SELECT lang, concat_ws('+', CASE WHEN count(*) FILTER (quality IS NULL) > 100 THEN 'MISSING' END, CASE WHEN count(*) FILTER (toxic = 1) > 10 THEN 'RESTRICTED' END) AS blockers FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL",

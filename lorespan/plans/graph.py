@@ -108,18 +108,6 @@ QUERIES = {
         "WITH a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM conversations), b AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used FROM a WHERE age <= 4), c AS (SELECT *, max(CASE WHEN role <> 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS started FROM b WHERE used <= 1500) SELECT conv_id, turn, age, used FROM c WHERE started = 1",
     ),
     "p4_needs_compression": (lambda s, d: C.needs_compression(read(s, d, "conversations"), 6, 2048), "SELECT conv_id, count(*) AS messages, sum(length(text)) AS tokens, count(*) > 6 OR sum(length(text)) > 2048 AS compress FROM conversations GROUP BY ALL"),
-    "q10_release_stats": (
-        lambda s, d: read(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("most"), F.round(F.avg((_c("value") > 50).cast("int")), 6).alias("error_rate")).join(X.percentiles_by_counts(read(s, d, "events"), ["event_type"], "value", 0.5, "p50"), "event_type"),
-        "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, any_value(n) AS n, max(value) AS most, round(avg(CASE WHEN value > 50 THEN 1 ELSE 0 END), 6) AS error_rate, min(value) FILTER (i >= ceil(0.5 * n)) AS p50 FROM r GROUP BY ALL",
-    ),
-    "q2_span_coverage": (
-        lambda s, d: read(s, d, "lineitem").select("l_orderkey", _c("l_linenumber").alias("start"), (_c("l_linenumber") + 2).alias("stop")).withColumn("upto", F.expr("max(stop) OVER (PARTITION BY l_orderkey ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")).groupBy("l_orderkey").agg((~F.bool_or(_c("start") > F.coalesce("upto", F.lit(1)))).alias("gapless"), F.max("stop").alias("reach")),
-        "WITH a AS (SELECT l_orderkey, l_linenumber AS start, l_linenumber + 2 AS stop, max(l_linenumber + 2) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_linenumber + 2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM lineitem) SELECT l_orderkey, NOT bool_or(start > coalesce(upto, 1)) AS gapless, max(stop) AS reach FROM a GROUP BY ALL",
-    ),
-    "q8_hard_gate": (
-        lambda s, d: read(s, d, "events").groupBy("user_id").agg((F.array_join(F.array_sort(F.collect_set("event_type")), ",") == "click,error,purchase,signup,view").alias("complete"), F.min("value").alias("worst")).withColumn("passed", _c("complete") & (_c("worst") > 0.05)),
-        "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) = 'click,error,purchase,signup,view' AS complete, min(value) AS worst, string_agg(DISTINCT event_type, ',' ORDER BY event_type) = 'click,error,purchase,signup,view' AND min(value) > 0.05 AS passed FROM events GROUP BY ALL",
-    ),
     "q18_next_case": (lambda s, d: read(s, d, "documents").join(read(s, d, "labels"), "doc_id", "left_anti").orderBy("doc_id").limit(1).select("doc_id"), "SELECT min(doc_id) AS doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     "r1_claimable_jobs": (
         lambda s, d: L.claimable(_jobs(s, d), F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'"), 20).select("job_id", "attempt"),
