@@ -31,6 +31,8 @@ HOT_GRAMS = 1 << 16
 #: each side at least, more where fewer documents than BAND_FEW tell little. Junk of less than half, above or below, doesn't widen it.
 BAND, BAND_FLOOR, BAND_FEW = 8.0, 1.0, 20
 CACHE_ENTRIES = 500_000
+#: Characters of text whose words are looked up together.
+TOGETHER = 1 << 20
 _START, _END = "\x02", "\x03"
 _SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
@@ -148,22 +150,34 @@ class TextScorer:
             begin = end
         return out
 
-    def text(self, lang: str, words: list[bytes]) -> tuple[float, int, dict[str, int]]:
-        """Log probability of the known n-grams of words of two characters or more, number of these words, and how often
-        each other n-gram occurs in them; of all words if none is so long."""
-        memo = self.words.setdefault(lang, {})
-        if len(memo) >= CACHE_ENTRIES:
-            memo.clear()
-        new = set(words).difference(memo)
-        fresh = self.learn(lang, new) if new else {}
-        memo.update((w, x) for w, x in fresh.items() if len(w) <= 64)
-        got = [memo.get(w) or fresh[w] for w in words]
-        got = [x for x in got if x[1] > 1] or got
-        others: dict[str, int] = {}
-        for x in got:
-            for g in x[2]:
-                others[g] = others.get(g, 0) + 1
-        return sum(x[0] for x in got), len(got), others
+    def texts(self, batch: list[tuple[str, list[bytes]]]) -> list[tuple[float, int, dict[str, int]]]:
+        """Of each text (lang, words): log probability of the known n-grams of words of two characters or more, number of these words,
+        and how often each other n-gram occurs in them; of all words if none is so long. New words are learnt for the whole batch at once."""
+        by_lang: dict[str, set[bytes]] = {}
+        for lang, words in batch:
+            by_lang.setdefault(lang, set()).update(words)
+        known = {}
+        for lang, words in by_lang.items():
+            memo = self.words.setdefault(lang, {})
+            if len(memo) >= CACHE_ENTRIES:
+                memo.clear()
+            new = words.difference(memo)
+            fresh = self.learn(lang, new) if new else {}
+            long = {w: x for w, x in fresh.items() if len(w) > 64}
+            memo.update(fresh if not long else {w: x for w, x in fresh.items() if len(w) <= 64})
+            known[lang] = memo if not long else memo | long
+        out = []
+        for lang, words in batch:
+            values = known[lang]
+            total, n, others = 0.0, 0, {}
+            found = list(map(values.__getitem__, words))
+            for t, size, cold in [x for x in found if x[1] > 1] or found:
+                total += t
+                n += 1
+                for g in cold:
+                    others[g] = others.get(g, 0) + 1
+            out.append((total, n, others))
+        return out
 
 
 class NgramScorer:
@@ -265,13 +279,23 @@ def score_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if model_id not in _scorers:
             _scorers.clear()
             _scorers[model_id] = TextScorer(*model.value, order)
-        scorer, rows = _scorers[model_id], []
+        scorer, rows, held, size = _scorers[model_id], [], [], 0
+
+        def flush() -> None:
+            scored = scorer.texts([(lang, words) for lang, _, words in held])
+            for (_, text, words), (total, n, others) in zip(held, scored, strict=True):
+                rows.append((len(words), *base_measures(text, words), total, n, list(others), list(others.values())))
+            held.clear()
+
         for both in texts:
-            size, _, rest = both.partition(":")
-            lang, text = rest[: int(size)], rest[int(size) :]
-            words = text.encode().split()
-            total, n, others = scorer.text(lang, words)
-            rows.append((len(words), *base_measures(text, words), total, n, list(others), list(others.values())))
+            length, _, rest = both.partition(":")
+            lang, text = rest[: int(length)], rest[int(length) :]
+            held.append((lang, text, text.encode().split()))
+            size += len(text)
+            if size >= TOGETHER:
+                flush()
+                size = 0
+        flush()
         return [[r[i] for r in rows] for i in range(9)]
 
     fields = [(n, "long") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("known", "double"), ("n_scored", "long"), ("others", "array<string>"), ("times", "array<long>")]
