@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespan.operators.greedy import by_group
+
 
 def within_budget(items: DataFrame, group: str, order: list[Column], cost: str, budget: int) -> DataFrame:
     """The rows before which the group has spent less than the budget."""
@@ -75,19 +75,7 @@ def plan_parents(candidates: DataFrame, parents: int = 4, per_document: int = 2,
                 left -= cost
             yield query_id, child_id, rank, reason in ("", "SHARED_PARENT"), cost, reason
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (r for f in frames for r in zip(*[f[c].tolist() for c in columns], strict=True))
-        made: list[tuple] = []
-        for _, group in groupby(rows, key=lambda r: r[0]):
-            made += plan(list(group))
-            if len(made) >= 10_000:
-                yield pd.DataFrame(made, columns=["query_id", "child_id", "rank", "included", "tokens", "reason"])
-                made = []
-        yield pd.DataFrame(made, columns=["query_id", "child_id", "rank", "included", "tokens", "reason"])
-
-    # queries stay whole in sorted partitions: thousands of small ones share one Python call
-    ordered = candidates.select(*columns).repartition("query_id").sortWithinPartitions("query_id", "rank", "child_id")
-    return ordered.mapInPandas(run, "query_id long, child_id long, rank int, included boolean, tokens int, reason string")
+    return by_group(candidates, "query_id", ["rank", "child_id"], columns, plan, "query_id long, child_id long, rank int, included boolean, tokens int, reason string")
 
 
 def reserve_branches(candidates: DataFrame, limit: int, branches: tuple[str, ...] = ("graph_rank", "bm25_rank", "vector_rank"), per_slot: int = 2) -> DataFrame:
@@ -107,3 +95,94 @@ def reserve_branches(candidates: DataFrame, limit: int, branches: tuple[str, ...
     marked = marked.withColumn("turn", first.otherwise(len(branches) + 1))
     kept = marked.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("turn", order))).filter(F.col("place") <= limit)
     return kept.select(*candidates.columns)
+
+
+def graph_path_budget(paths: DataFrame, limit: int = 900) -> DataFrame:
+    """O2: paths that fit a budget of characters, short ones first, a path only behind its parent: (query_id, relation, place, text, tokens, cut).
+
+    ``paths``: (query_id, candidate, path, depth, relation, parent_relation, relation_type, text), tens a query, by candidate and path.
+    """
+
+    def cost(depth: int, kind: str, text: str) -> int:
+        return len(f"citationId={'0' * 8}-0000-0000-0000-{'0' * 12};depth={depth};relationshipType={kind};evidenceText={text}")
+
+    def choose(group: list[tuple]):
+        used, taken = 0, set()
+        for query, depth, _, _, relation, parent, kind, text in group:
+            if relation in taken or (parent is not None and parent == parent and parent not in taken):
+                continue
+            fixed = cost(depth, kind, "")
+            if limit - used <= fixed:
+                continue
+            part = text[: limit - used - fixed]
+            tokens = fixed + len(part)
+            taken.add(relation)
+            used += tokens
+            yield query, relation, len(taken), part, tokens, len(part) < len(text)
+
+    columns = ["query_id", "depth", "candidate", "path", "relation", "parent_relation", "relation_type", "text"]
+    return by_group(paths, "query_id", ["depth", "candidate", "path"], columns, choose, "query_id long, relation long, place int, text string, tokens int, cut boolean")
+
+
+def claim_budget(claims: DataFrame, limit: int = 2400, title_tokens: int = 120) -> DataFrame:
+    """O3: claims that fit a budget of characters, by the report's rank: (query_id, evidence_id, title, claim, evidence, tokens).
+
+    ``claims``: (query_id, report_rank, candidate, report_id, claim_order, evidence_id, child_id, community, title, claim, evidence), tens a query. Titles are cut, a
+    claim may take half of what is left, its evidence the rest; each piece of evidence comes once.
+    """
+
+    def choose(group: list[tuple]):
+        used, seen = 0, set()
+        for query, _, _, report, _, evidence_id, child, community, title, claim, evidence in group:
+            if evidence_id in seen:
+                continue
+            seen.add(evidence_id)
+            title = title[:title_tokens]
+            fixed = len(f"citationId={child};reportId={report};reportTitle={title};communityKey={community};claim=;evidenceText=")
+            left = limit - used - fixed
+            if left <= 1:
+                continue
+            claim = claim[: max(1, left // 2)]
+            evidence = evidence[: max(0, left - len(claim))]
+            tokens = fixed + len(claim) + len(evidence)
+            used += tokens
+            yield query, evidence_id, title, claim, evidence, tokens
+
+    columns = ["query_id", "report_rank", "candidate", "report_id", "claim_order", "evidence_id", "child_id", "community", "title", "claim", "evidence"]
+    return by_group(claims, "query_id", ["report_rank", "candidate", "report_id", "claim_order", "evidence_id"], columns, choose, "query_id long, evidence_id long, title string, claim string, evidence string, tokens int")
+
+
+def trim_prompt(parts: DataFrame, cap: int) -> DataFrame:
+    """(query_id, part_id, trimmed) what leaves a prompt so that it fits: memory, parents, graph context, the summary, old history but two, evidence but one.
+
+    ``parts``: (query_id, part_id, kind, place, tokens, slots array), tens a query; kinds QUESTION, MEMORY, PARENT, GRAPH, SUMMARY, HISTORY, EVIDENCE. Memory, parents,
+    graph context and evidence leave from the last place on, history from the first; evidence whose query slots others still hold
+    leaves before the rest. What is trimmed names the step; parts that stay have an empty name.
+    """
+
+    def choose(group: list[tuple]):
+        out = {r[1]: "" for r in group}
+        used = sum(r[4] for r in group)
+        of = lambda kind: sorted((r for r in group if r[2] == kind and not out[r[1]]), key=lambda r: r[3])
+
+        def drop(row: tuple, step: str) -> None:
+            nonlocal used
+            out[row[1]] = step
+            used -= row[4]
+
+        for kind, step in (("MEMORY", "PROMPT_MEMORY_TRIMMED"), ("PARENT", "PROMPT_PARENT_TRIMMED"), ("GRAPH", "PROMPT_GRAPH_AUXILIARY_TRIMMED"), ("SUMMARY", "PROMPT_SUMMARY_TRIMMED")):
+            while used > cap and of(kind):
+                drop(of(kind)[-1], step)
+        while used > cap and len(of("HISTORY")) + len(of("SUMMARY")) > 2:
+            drop(of("HISTORY")[0], "PROMPT_OLD_HISTORY_TRIMMED")
+        while used > cap and len(of("EVIDENCE")) > 1:
+            kept = of("EVIDENCE")
+            held: dict = {}
+            for r in kept:
+                for slot in r[5] if r[5] is not None else ():
+                    held[slot] = held.get(slot, 0) + 1
+            spare = [r for r in kept if r[5] is None or all(held[s] > 1 for s in r[5])]
+            drop(spare[-1] if spare else kept[-1], "PROMPT_CHILD_EVIDENCE_TRIMMED")
+        return [(group[0][0], part, step) for part, step in out.items()]
+
+    return by_group(parts, "query_id", ["part_id"], ["query_id", "part_id", "kind", "place", "tokens", "slots"], choose, "query_id long, part_id long, trimmed string")

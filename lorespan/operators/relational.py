@@ -85,3 +85,11 @@ def islands(df: DataFrame, keys: list[str], order: str, boundary: Column, name:
 def set_hash(df: DataFrame, keys: list[str], item: Column, name: str) -> DataFrame:
     """SHA-256 of the sorted items of each key."""
     return df.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(item)), ""), 256).alias(name))
+
+
+def optional_filter(df: DataFrame, **wanted) -> DataFrame:
+    """Rows whose columns have the wanted values; a parameter that is None asks for nothing, and leaves no trace in the plan."""
+    for name, value in wanted.items():
+        if value is not None:
+            df = df.filter(F.col(name) == value)
+    return df

@@ -35,14 +35,9 @@ def _marks(s, d):
 
 
 QUERIES = {
-    "c7_optional_filter": (lambda s, d: read(s, d, "events").filter("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("n")), "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY ALL"),
     "c11_terms_filter": (lambda s, d: read(s, d, "documents").join(read(s, d, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang"), "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"),
     "e6_distinct_string": (lambda s, d: read(s, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "; ").alias("priorities")), "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, '; ' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY ALL"),
     "e8_json_build": (lambda s, d: read(s, d, "nation").groupBy("n_regionkey").agg(F.to_json(F.array_sort(F.collect_list("n_name"))).alias("names")), "SELECT n_regionkey, CAST(to_json(list(n_name ORDER BY n_name)) AS VARCHAR) AS names FROM nation GROUP BY ALL"),
-    "e15_coverage": (
-        lambda s, d: read(s, d, "documents").join(read(s, d, "labels").select("doc_id", "quality"), "doc_id", "left").groupBy("source").agg(F.count("*").alias("expected"), F.count("quality").alias("projected"), F.count_if(F.expr("quality = 0")).alias("stale")),
-        "SELECT source, count(*) AS expected, count(quality) AS projected, count(*) FILTER (quality = 0) AS stale FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL",
-    ),
     "e18_metric_summary": (lambda s, d: read(s, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("*").alias("n")), "SELECT event_type, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, count(*) AS n FROM events GROUP BY ALL"),
     "e19_overlapping_slices": (
         lambda s, d: read(s, d, "documents").select("doc_id", F.explode(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("source:"), "source"), F.lit("all"))).alias("slice")).join(read(s, d, "labels"), "doc_id").groupBy("slice").agg(F.round(F.avg("quality"), 6).alias("quality")),
@@ -79,15 +74,6 @@ QUERIES = {
         lambda s, d: E.overlapping_spans(_chunks(s, d), _marks(s, d)),
         "WITH c AS (SELECT doc_id, unnest(range(0, (n_chars - 1) // 300 + 1)) AS chunk, n_chars FROM documents), m AS (SELECT doc_id, unnest(range(0, (n_chars - 1) // 700 + 1)) AS span, n_chars FROM documents), x AS (SELECT doc_id, chunk, chunk * 300 AS first, least((chunk + 1) * 300, n_chars) AS last FROM c), y AS (SELECT doc_id, span, span * 700 AS a, least((span + 1) * 700, n_chars) AS b FROM m) SELECT doc_id, chunk, span, greatest(a, first) - first AS start, least(b, last) - first AS stop FROM x JOIN y USING (doc_id) WHERE a < last AND first < b",
     ),
-    "m2_top_communities": (lambda s, d: read(s, d, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_orderkey").alias("relations")).orderBy(_c("relations").desc(), "l_suppkey").limit(20), "SELECT l_suppkey, count(DISTINCT l_orderkey) AS relations FROM lineitem GROUP BY ALL ORDER BY relations DESC, l_suppkey LIMIT 20"),
-    "n3_candidate_ranking": (
-        lambda s, d: read(s, d, "part").groupBy("p_name").agg(F.countDistinct("p_brand").alias("signals"), F.count("*").alias("evidence")).withColumn("rank", F.row_number().over(Window.orderBy(_c("signals").desc(), _c("evidence").desc(), "p_name"))),
-        "SELECT *, row_number() OVER (ORDER BY signals DESC, evidence DESC, p_name) AS rank FROM (SELECT p_name, count(DISTINCT p_brand) AS signals, count(*) AS evidence FROM part GROUP BY ALL)",
-    ),
-    "n8_proposal_conflicts": (
-        lambda s, d: read(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority").alias("x").join(read(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority").alias("y"), F.expr("x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x.o_orderpriority = y.o_orderpriority")).groupBy(_c("x.o_custkey").alias("o_custkey")).agg(F.count("*").alias("conflicts")),
-        "SELECT x.o_custkey, count(*) AS conflicts FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x.o_orderpriority = y.o_orderpriority GROUP BY ALL",
-    ),
     "p6_memory_relevance": (
         lambda s, d: _turns(s, d).select("conv_id", "turn", F.round(E.overlap_ratio(F.array_distinct(E.words(_c("question"))), F.array_distinct(E.words(_c("answer")))), 6).alias("relevance")),
         f"WITH {_TURNS}, w AS (SELECT conv_id, turn, {_W.format('question')} AS q, {_W.format('answer')} AS a FROM t) SELECT conv_id, turn, CASE WHEN len(q) = 0 THEN 0.0 ELSE round(len(list_intersect(q, a)) / len(q), 6) END AS relevance FROM w",
@@ -96,10 +82,4 @@ QUERIES = {
         lambda s, d: E.best_span(_spans(s, d)),
         f"WITH {_TURNS}, x AS (SELECT conv_id * 1000 + turn AS id, answer, question, unnest(string_split(answer, chr(10))) AS span, generate_subscripts(string_split(answer, chr(10)), 1) - 1 AS span_order FROM t), c AS (SELECT id, span_order, 4 * len(list_intersect({_W.format('span')}, {_W.format('answer')})) + len(list_intersect({_W.format('span')}, {_W.format('question')})) AS score FROM x) SELECT id, span_order, score FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, span_order) = 1",
     ),
-    "r6_closure_blockers": (
-        lambda s, d: read(s, d, "documents").join(read(s, d, "labels"), "doc_id", "left").groupBy("lang").agg(E.degradation(F.when(F.count_if(F.expr("quality IS NULL")) > 100, F.lit("MISSING")), F.when(F.count_if(F.expr("toxic = 1")) > 10, F.lit("RESTRICTED"))).alias("blockers")),
-        "SELECT lang, concat_ws('+', CASE WHEN count(*) FILTER (quality IS NULL) > 100 THEN 'MISSING' END, CASE WHEN count(*) FILTER (toxic = 1) > 10 THEN 'RESTRICTED' END) AS blockers FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL",
-    ),
-    "r14_orphans": (lambda s, d: read(s, d, "part").join(read(s, d, "lineitem"), _c("p_partkey") == _c("l_partkey"), "left_anti").select("p_partkey"), "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)"),
-    "r17_retention": (lambda s, d: read(s, d, "events").filter("ts >= TIMESTAMP_NTZ '2024-01-10 00:00:00' OR event_type = 'purchase'").groupBy("event_type").agg(F.count("*").alias("kept")), "SELECT event_type, count(*) AS kept FROM events WHERE NOT (ts < TIMESTAMP '2024-01-10' AND event_type <> 'purchase') GROUP BY ALL"),
 }

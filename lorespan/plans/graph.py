@@ -90,10 +90,6 @@ QUERIES = {
         lambda s, d: G.shared_neighbours(read(s, d, "customer").select(_c("c_nationkey").alias("node"), _c("c_mktsegment").alias("other"))),
         "WITH e AS (SELECT DISTINCT c_nationkey AS node, c_mktsegment AS other FROM customer), n AS (SELECT node, count(*) AS n FROM e GROUP BY node) SELECT a.node AS a, b.node AS b, count(*) AS shared, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS jaccard FROM e a JOIN e b ON a.other = b.other AND a.node < b.node JOIN n x ON x.node = a.node JOIN n y ON y.node = b.node GROUP BY a.node, b.node",
     ),
-    "n4_preferred_target": (
-        lambda s, d: read(s, d, "part").groupBy("p_name").agg(F.min_by("p_partkey", F.struct(-_c("p_size"), _c("p_brand"), _c("p_partkey"))).alias("target")),
-        "SELECT p_name, p_partkey AS target FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_brand, p_partkey) = 1",
-    ),
     "o1_parent_plan": (lambda s, d: C.plan_parents(_slots(s, d), 4, 2, 800, 1500).groupBy("query_id").agg(F.count_if("included").alias("included"), F.sum("tokens").alias("tokens"), F.max("reason").alias("reason")), None),
     "o4_budget_split": (
         lambda s, d: read(s, d, "part").select("p_partkey", *[x.cast("long").alias(n) for x, n in zip((*C.split_budget(_c("p_size") * 100, 900, 15, 2400), C.input_cap(_c("p_size") * 1000, F.lit(512))), ("graph", "global", "cap"), strict=True)]),

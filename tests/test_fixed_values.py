@@ -71,3 +71,13 @@ def test_features_and_places(spark):
     assert one(spark, "## x", T.pdf_heading_depth) == 2 and one(spark, "1.2) y", T.pdf_heading_depth) == 2 and one(spark, "SHOUT", T.pdf_heading_depth) == 1
     assert one(spark, "Ünder", T.query_language) == "zh" and one(spark, "plain 1", T.query_language) == "en" and one(spark, "12", T.query_language) == "zh"
     assert one(spark, "a😀b", lambda x: T.utf16_slice(x, F.lit(1), F.lit(3))) == "😀"
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parent.parent)
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]

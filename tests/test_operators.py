@@ -256,3 +256,42 @@ def test_chunks_cover_blocks_in_order(spark):
     forced = list(K.pack([(0, "PARAGRAPH", (), "one"), (1, "PARAGRAPH", (), "two"), (2, "HEADING", ("H",), "H")], breaks=frozenset({1})))
     assert [f[6] for f in forced if f[0] == "PARENT"] == ["one", "two", "H"]
     assert K.heading_paths([("HEADING", 1, "a"), ("HEADING", 2, "b"), ("PARAGRAPH", 0, "p"), ("HEADING", 2, "c"), ("HEADING", 1, "d")])[2:] == [(2, "PARAGRAPH", ("a", "b"), "p"), (3, "HEADING", ("a", "c"), "c"), (4, "HEADING", ("d",), "d")]
+
+
+def test_choices_within_budgets(spark):
+    from lorespan.operators import graph_search as S
+    from lorespan.operators import history as H
+
+    paths = spark.createDataFrame([(1, 0, 0, 1, 10, None, "made", "x" * 50), (1, 0, 1, 2, 11, 10, "of", "y" * 50), (1, 1, 0, 2, 12, 99, "of", "z"), (1, 1, 1, 1, 10, None, "made", "again")], "query_id long, candidate int, path int, depth int, relation long, parent_relation long, relation_type string, text string")
+    fixed = len("citationId=00000000-0000-0000-0000-000000000000;depth=1;relationshipType=made;evidenceText=")
+    got = C.graph_path_budget(paths, 2 * fixed + 60).orderBy("place").collect()
+    assert [(r.relation, len(r.text), r.cut) for r in got] == [(10, 50, False), (11, 12, True)]
+    claims = spark.createDataFrame([(1, 1, 0, 5, 0, 7, 3, 2, "t" * 130, "c" * 40, "e" * 200), (1, 1, 0, 5, 1, 7, 3, 2, "t", "again", "same"), (1, 2, 0, 6, 0, 8, 3, 2, "t", "c", "e")], "query_id long, report_rank int, candidate int, report_id long, claim_order int, evidence_id long, child_id long, community long, title string, claim string, evidence string")
+    got = C.claim_budget(claims, 300).collect()
+    assert [(r.evidence_id, len(r.title)) for r in got] == [(7, 120)] and got[0].tokens <= 300 and len(got[0].claim) == 40
+    kinds = [("QUESTION", 0), ("MEMORY", 0), ("MEMORY", 1), ("PARENT", 0), ("SUMMARY", 0), ("HISTORY", 0), ("HISTORY", 1), ("HISTORY", 2), ("EVIDENCE", 0), ("EVIDENCE", 1), ("EVIDENCE", 2)]
+    parts = spark.createDataFrame([(1, i, k, p, 10, [1] if p == 1 else [2]) for i, (k, p) in enumerate(kinds)], "query_id long, part_id long, kind string, place int, tokens int, slots array<int>")
+    gone = lambda cap: {r.part_id for r in C.trim_prompt(parts, cap).collect() if r.trimmed}
+    assert gone(110) == set() and gone(95) == {1, 2} and gone(60) == {1, 2, 3, 4, 5} and gone(50) == {1, 2, 3, 4, 5, 10} and gone(0) == {1, 2, 3, 4, 5, 10, 9}
+    edges = spark.createDataFrame([(1, 1, 10, None, 5), (1, 2, 11, 10, 6), (1, 3, 12, 99, 7), (1, 4, 13, 11, 8), (1, 5, 10, None, 5), (1, 6, 14, None, 5)], "query_id long, step long, relation long, parent_relation long, target long")
+    starts = spark.createDataFrame([(1, 1)], "query_id long, entity long")
+    assert [r.relation for r in S.admit_paths(edges, starts, 3, 9).orderBy("place").collect()] == [10, 11, 14]
+    assert [r.relation for r in S.admit_paths(edges, starts, 9, 2).orderBy("place").collect()] == [10, 11]
+    memory = spark.createDataFrame([(1, 1, "USER_FACT", 1, 0.9, 300), (1, 2, "DOCUMENT_FACT", 1, 0.8, 1), (1, 3, "DOCUMENT_FACT", 2, 0.7, 900), (1, 4, "USER_FACT", 1, 0.6, 300), (1, 5, "USER_FACT", 3, 0.05, 1), (1, 6, "USER_FACT", 1, 0.5, 100)], "query_id long, item_id long, kind string, matches int, score double, tokens int").withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+    got = {r.item_id: (r.status, r.reason) for r in H.select_memory(memory).collect()}
+    assert got == {1: ("INJECTED", ""), 2: ("TRIMMED", "MEMORY_RELEVANCE_LOW"), 3: ("DOCUMENT_EVIDENCE", ""), 4: ("TRIMMED", "MEMORY_TOKEN_BUDGET"), 5: ("TRIMMED", "MEMORY_RELEVANCE_LOW"), 6: ("INJECTED", "")}
+    assert {r.item_id: r.status for r in H.select_memory(memory, personal_allowed=False).collect()}[1] == "REMOTE_BLOCKED"
+
+
+def test_rules_and_gates(spark):
+    from lorespan.operators import evaluation as E
+    from lorespan.operators import resolution as N
+
+    entities = spark.createDataFrame([(1, "A|x", ["x", "ex"]), (2, "A|y", ["y"]), (3, "A|x", ["x"])], "entity long, key string, surfaces array<string>")
+    rules = spark.createDataFrame([(2, "MERGE", ["A|z"], [], "A|w"), (1, "SPLIT", ["A|x"], ["ex"], "A|z")], "place int, action string, source_keys array<string>, match_aliases array<string>, target_key string")
+    assert {r.entity: r.key for r in N.apply_rules(entities, rules).collect()} == {1: "A|w", 2: "A|y", 3: "A|x"}
+    assert {r.entity: r.key for r in N.apply_rules(entities, rules.limit(0)).collect()} == {1: "A|x", 2: "A|y", 3: "A|x"}
+    assert E.HARD_METRICS["INTENT"] == ("phase12c.hard.intent_route_unique",) and len(E.HARD_METRICS["MULTIFORMAT_RELEASE"]) == 9 and len(E.HARD_METRICS["ANSWER_CITATION"]) == 7
+    facts = spark.createDataFrame([(1, 10), (2, 10), (3, 0), (4, 10)], "fact_id long, length long")
+    spans = spark.createDataFrame([(1, 0, 4), (1, 4, 10), (2, 0, 4), (2, 5, 10), (3, 0, 5), (1, -1, 3), (4, 0, 12), (4, 20, 30)], "fact_id long, first long, last long")
+    assert {r.fact_id: r.covered for r in E.covered_facts(facts, spans).collect()} == {1: True, 2: False, 3: False, 4: True}
