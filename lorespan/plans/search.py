@@ -186,7 +186,7 @@ QUERIES = {
         j9_second_hop,
         rf"""WITH {_J9}, top AS (SELECT l.query_id, rank, source AS title, text FROM lexical l JOIN documents USING (doc_id) WHERE rank <= 8),
         n AS (SELECT query_id, trim(regexp_replace(title, '^\[[^\]]+\][\s·:_-]*', '')) AS name, 121 - rank AS score FROM top UNION ALL
-              SELECT query_id, unnest(regexp_extract_all(left(text, 1500), '(?:[A-Z][\p{{L}}\p{{M}}''’.-]+|[A-Z]{{2,}})(?:\s+(?:[A-Z][\p{{L}}\p{{M}}''’.-]+|[A-Z]{{2,}}|&)){{1,4}}')), 151 - rank FROM top),
+              SELECT query_id, regexp_replace(unnest(regexp_extract_all(left(text, 1500), '(?:[A-Z][\p{{L}}\p{{M}}''’.-]+|[A-Z]{{2,}})(?:\s+(?:[A-Z][\p{{L}}\p{{M}}''’.-]+|[A-Z]{{2,}}|&)){{1,4}}')), '[’''.-]+$', ''), 151 - rank FROM top),
         m AS (SELECT query_id, trim(regexp_replace(name, '\s+', ' ', 'g')) AS name, lower(trim(regexp_replace(name, '\s+', ' ', 'g'))) AS norm, score FROM n),
         b AS (SELECT query_id, norm, max(score) AS score, arg_min(name, (-score, name)) AS name FROM m WHERE length(name) BETWEEN 3 AND 80 AND norm NOT IN ('article', 'document', 'evidence', 'introduction', 'references', 'source', 'summary') GROUP BY ALL),
         a AS (SELECT item_id AS query_id, trim(left(text, 60)) AS asked, {_terms('left(text, 60)')} AS old FROM benchmark),
