@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespan.functions.text import heading_depth
+from lorespan.functions.text import heading_depth, nfkc, pdf_heading_depth
 
 _LIST = r"^\s*([-*•]|\d+[.)])\s+\S"
 
@@ -135,6 +135,69 @@ def table_grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
     return [[grid.get((r, c), "") for c in range(width)] for r in range(height)]
 
 
+class _Tables(HTMLParser):
+    """Rows of cells (text, rowspan, colspan) of the tables of a page; a table inside a cell is its text."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.tables: list[list[list[tuple[str, int, int]]]] = []
+        self.depth, self.cell = 0, None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            self.depth += 1
+            if self.depth == 1:
+                self.tables.append([])
+        elif self.depth == 1 and tag == "tr":
+            self._end()
+            self.tables[-1].append([])
+        elif self.depth == 1 and tag in ("td", "th"):
+            self._end()
+            spans = dict(attrs)
+            size = lambda k: int(spans[k]) if (spans.get(k) or "").isdigit() and 0 < int(spans[k]) <= 1000 else 1
+            self.cell = ["", size("rowspan"), size("colspan")]
+
+    def handle_endtag(self, tag):
+        if tag == "table" and self.depth:
+            if self.depth == 1:
+                self._end()
+            self.depth -= 1
+        elif self.depth == 1 and tag in ("td", "th", "tr"):
+            self._end()
+
+    def handle_data(self, data):
+        if self.cell is not None:
+            self.cell[0] += data
+
+    def _end(self):
+        if self.cell is not None:
+            if not self.tables[-1]:
+                self.tables[-1].append([])
+            self.tables[-1][-1].append((" ".join(self.cell[0].split()), self.cell[1], self.cell[2]))
+            self.cell = None
+
+
+def html_tables(html: str) -> list[list[list[str]]]:
+    """The tables of a page as grids."""
+    parser = _Tables()
+    parser.feed(html)
+    parser._end() if parser.tables else None
+    return [table_grid(t) for t in parser.tables]
+
+
+def parse_html_tables(pages: DataFrame, id_col: str = "page_id", text_col: str = "html") -> DataFrame:
+    """(id, block, row, cells) of every table row of every page, spans placed."""
+    return _blocks(pages, id_col, text_col, lambda t: [(n, r, cells) for n, grid in enumerate(html_tables(t)) for r, cells in enumerate(grid)], ("table", "row", "cells"), "table int, row int, cells array<string>")
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, line, kind, depth, text) of the lines of pages (doc_id, page, text), as a reader of PDF files gives them; texts in compatibility form."""
+    text = nfkc(F.coalesce(F.col("text"), F.lit("")))
+    lines = pages.select("doc_id", "page", F.posexplode(F.split(text, "\n")).alias("line", "text")).withColumn("text", F.trim("text")).filter("text <> ''")
+    depth = pdf_heading_depth(F.col("text"))
+    return lines.select("doc_id", "page", "line", F.when(depth > 0, "HEADING").otherwise("PARAGRAPH").alias("kind"), depth.cast("int").alias("depth"), "text")
+
+
 def _blocks(frame: DataFrame, id_col: str, text_col: str, cut, names: tuple[str, ...], schema: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

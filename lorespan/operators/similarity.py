@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespan.functions.text import answer_text, words
@@ -37,19 +37,34 @@ def token_f1(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicate_texts(texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of texts (id, text) whose word sets have that Jaccard similarity; found by shared words."""
-    sets = texts.select("id", F.array_distinct(words(F.col("text"))).alias("w"))
+    """Pairs (a, b) of texts (id, text) whose word sets have that Jaccard similarity.
+
+    Sets of n words and similarity t share a word among the n - ceil(t n) + 1 rarest of either, so texts meet by those
+    only: a word that many texts have is left out wherever rarer ones decide. Met pairs are compared whole.
+    """
+    sets = texts.select("id", F.array_distinct(words(F.col("text"))).alias("w")).filter(F.size("w") > 0)
     flat = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("term"))
-    left, right = (flat.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "term") for x in "ab")
-    common = left.join(right, "term").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
-    jaccard = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    return common.filter(jaccard >= least).select("a", "b", F.round(jaccard, 6).alias("jaccard"))
+    df = flat.groupBy("term").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("id").orderBy("df", "term")
+    rare = flat.join(df, "term").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+    left, right = (rare.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "term") for x in "ab")
+    met = left.join(right, "term").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    whole = lambda x: sets.select(F.col("id").alias(x), F.col("w").alias(f"w{x}"))
+    both = met.join(whole("a"), "a").join(whole("b"), "b").withColumn("common", F.size(F.array_intersect("wa", "wb")))
+    jaccard = F.col("common") / (F.size("wa") + F.size("wb") - F.col("common"))
+    return both.filter(jaccard >= least).select("a", "b", F.round(jaccard, 6).alias("jaccard"))
 
 
 def preflight(docs: DataFrame) -> DataFrame:
-    """What a text looks like, and the parser that suits it."""
-    text = F.col("text")
-    tables = text.rlike(r"\S {3,}\S") | text.rlike(r"\S\s*\|\s*\S")
-    scanned = F.length(F.trim(text)) < 20
-    low = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")) < 0.5 * F.length(F.regexp_replace(text, r"\s", ""))
-    return docs.select("doc_id", scanned.alias("scanned"), tables.alias("tables"), low.alias("low_quality"), F.when(scanned | tables, "LAYOUT").otherwise("NATIVE").alias("route"))
+    """What the text of pages (doc_id, text, images) looks like, why it goes to a parser, and which one.
+
+    Tables have three blanks or more between words of a line, columns eight or more between twenty characters each; a text of fewer than 40
+    letters and digits is of low quality, and scanned if it has images.
+    """
+    text = F.coalesce("text", F.lit(""))
+    low = F.length(F.regexp_replace(text, r"[^\p{L}\p{Nd}]", "")) < 40
+    tables = text.rlike(r"(?m)^.*\S\s{3,}\S.*$")
+    columns = ~tables & text.rlike(r"(?m)^.{20,}\s{8,}.{20,}$")
+    scanned = F.col("images") & low
+    reason = F.when(scanned, "SCANNED_OR_OCR").when(tables, "COMPLEX_LAYOUT_TABLE").when(columns, "COMPLEX_LAYOUT_MULTICOLUMN").when(low, "LOW_QUALITY_TEXT").otherwise("PDFBOX_SIMPLE_TEXT")
+    return docs.select("doc_id", scanned.alias("scanned"), tables.alias("tables"), columns.alias("columns"), low.alias("low_quality"), reason.alias("reason"), F.when(scanned | low | tables | columns, "LAYOUT").otherwise("NATIVE").alias("route"))

@@ -19,6 +19,14 @@ QUERIES = {
     ),
     "a5_markdown_blocks": (lambda s, d: P.parse_markdown(read(s, d, "documents")), None),
     "a6_html_blocks": (lambda s, d: P.parse_html(read(s, d, "pages")), None),
+    "a11_page_blocks": (
+        lambda s, d: P.page_blocks(read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("page", "text"))).groupBy("doc_id", "page").agg(F.count("*").alias("lines"), F.count_if(F.col("kind") == "HEADING").alias("headings"), F.max("depth").alias("deepest")),
+        r"""WITH p AS (SELECT doc_id, unnest(string_split(text, '. ')) AS t, generate_subscripts(string_split(text, '. '), 1) - 1 AS page FROM documents), l AS (SELECT doc_id, page, trim(regexp_replace(unnest(string_split(t, chr(10))), '[ \t\f\v]+', ' ', 'g')) AS line FROM p),
+        h AS (SELECT doc_id, page, CASE WHEN regexp_matches(line, '^#{1,6}\s+.+$') THEN length(regexp_extract(line, '^(#{1,6})\s+.+$', 1)) WHEN regexp_matches(line, '^(\d+(?:\.\d+)*)(?:[、.)])?\s+.+$') THEN least(6, len(string_split(regexp_extract(line, '^(\d+(?:\.\d+)*)(?:[、.)])?\s+.+$', 1), '.')))
+          WHEN length(line) <= 80 AND length(regexp_replace(line, '[^\p{Latin}]', '', 'g')) >= 4 AND NOT regexp_matches(line, '[\p{Ll}ªº]') THEN 1 ELSE 0 END AS depth FROM l WHERE line <> '')
+        SELECT doc_id, page, count(*) AS lines, count(*) FILTER (depth > 0) AS headings, max(depth) AS deepest FROM h GROUP BY ALL""",
+    ),
+    "a13_html_tables": (lambda s, d: P.parse_html_tables(read(s, d, "pages")), None),
     "k3_child_windows": (lambda s, d: P.chunk_children(read(s, d, "documents")), None),
     "k8_row_windows": (
         lambda s, d: P.row_windows(read(s, d, "orders"), "o_custkey", "o_orderkey"),

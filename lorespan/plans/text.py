@@ -108,9 +108,10 @@ QUERIES = {
         SELECT a, b, round(common / (na + nb - common), 6) AS jaccard FROM c WHERE common / (na + nb - common) >= 0.1""",
     ),
     "a15_pdf_preflight": (
-        lambda spark, d: S.preflight(read(spark, d, "documents")),
-        r"""SELECT doc_id, length(trim(text)) < 20 AS scanned, regexp_matches(text, '\S {3,}\S') OR regexp_matches(text, '\S\s*\|\s*\S') AS tables, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) < 0.5 * length(regexp_replace(text, '\s', '', 'g')) AS low_quality,
-        CASE WHEN length(trim(text)) < 20 THEN 'LAYOUT' WHEN regexp_matches(text, '\S {3,}\S') OR regexp_matches(text, '\S\s*\|\s*\S') THEN 'LAYOUT' ELSE 'NATIVE' END AS route FROM documents""",
+        lambda spark, d: S.preflight(read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(". "), F.lit(".    "))).otherwise(F.col("text")).alias("text"), (F.col("doc_id") % 2 == 0).alias("images"))),
+        r"""WITH t AS (SELECT doc_id, doc_id % 2 = 0 AS images, CASE WHEN doc_id % 3 = 0 THEN replace(text, '. ', '.    ') ELSE text END AS text FROM documents),
+        f AS (SELECT doc_id, images, length(regexp_replace(text, '[^\p{L}\p{Nd}]', '', 'g')) < 40 AS low, regexp_matches(text, '(?m)^.*\S\s{3,}\S.*$') AS tables, regexp_matches(text, '(?m)^.{20,}\s{8,}.{20,}$') AS cols FROM t)
+        SELECT doc_id, images AND low AS scanned, tables, NOT tables AND cols AS columns, low AS low_quality, CASE WHEN images AND low THEN 'SCANNED_OR_OCR' WHEN tables THEN 'COMPLEX_LAYOUT_TABLE' WHEN cols THEN 'COMPLEX_LAYOUT_MULTICOLUMN' WHEN low THEN 'LOW_QUALITY_TEXT' ELSE 'PDFBOX_SIMPLE_TEXT' END AS reason, CASE WHEN low OR tables OR cols THEN 'LAYOUT' ELSE 'NATIVE' END AS route FROM f""",
     ),
     "b10_safe_slug": (_lazy("pages", lambda: ["page_id", T.safe_slug(F.col("url")).alias("slug")]), "SELECT page_id, lower(regexp_replace(regexp_replace(url, '[^0-9A-Za-z_-]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM pages"),
     "b11_projection_key": (_lazy("documents", lambda: ["doc_id", T.projection_key(F.col("doc_id"), F.col("n_chars"), F.lit(1)).alias("key")]), "SELECT doc_id, doc_id || ':' || n_chars || ':1' AS key FROM documents"),

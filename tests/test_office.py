@@ -40,3 +40,36 @@ def test_text_detection():
     assert office.decode_text("é".encode()) == ("é", "utf-8") and office.decode_text(b"\xef\xbb\xbfa") == ("a", "utf-8-sig")
     assert office.decode_text("检索".encode("gb18030")) == ("检索", "gb18030")
     assert [office.detect_delimiter(f'a{d}b{d}c\n1{d}"x,y;z"{d}3\n') for d in ",\t;|"] == list(",\t;|")
+
+
+def test_uploads_are_what_they_say(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lorespan.sources import uploads
+
+    docx = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+    package(tmp_path / "a.docx", word__document_xxml="<d/>")
+    package(tmp_path / "b.docx", xl__workbook_xxml="<d/>")
+    files = {"c.pdf": b"%PDF-1.7", "d.pdf": b"text", "e.txt": b"plain", "g.exe": b"MZ", "h.csv": b"a,b", "i.txt": b"%PDF-1.7"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    declared = {"a.docx": docx, "b.docx": docx, "c.pdf": "application/pdf", "d.pdf": "application/pdf", "e.txt": "text/plain; charset=utf-8", "g.exe": None, "h.csv": "application/pdf", "i.txt": None}
+    said = spark.createDataFrame(list(declared.items()), "name string, declared string")
+    read = spark.read.format("binaryFile").load(str(tmp_path)).withColumn("name", F.regexp_extract("path", "([^/]+)$", 1)).join(said, "name")
+    got = {r.path.rsplit("/", 1)[1]: (r.format, r.fault) for r in uploads.validate_uploads(read, uploads.format_registry(spark)).collect()}
+    assert got == {
+        "a.docx": ("DOCX", None), "b.docx": ("DOCX", "FILE_SIGNATURE_INVALID"), "c.pdf": ("PDF", None), "d.pdf": ("PDF", "FILE_SIGNATURE_INVALID"), "e.txt": ("TXT", None),
+        "g.exe": (None, "FILE_EXTENSION_INVALID"), "h.csv": ("CSV", "FILE_MEDIA_TYPE_INVALID"), "i.txt": ("TXT", "FILE_CONTENT_TYPE_INVALID"),
+    }
+
+
+def test_delimited_files_and_tables(spark, tmp_path):
+    from lorespan.operators import parsing as P
+    from lorespan.sources import uploads
+
+    (tmp_path / "a.csv").write_bytes('x;"y;z"\n\n1;检索\n'.encode("gb18030"))
+    (tmp_path / "b.csv").write_text("a\tb\n" * 20_001)
+    rows = {(r.path[-5], r.row): (r.cells, r.delimiter) for r in uploads.read_delimited(spark, str(tmp_path)).collect()}
+    assert rows == {("a", 0): (["x", "y;z"], ";"), ("a", 1): (["1", "检索"], ";"), ("b", -1): (["LIMIT_EXCEEDED"], "\t")}
+    html = "<table><tr><th rowspan=2>a</th><td colspan=2>b <table><tr><td>in</td></tr></table></td></tr><tr><td>c<td>d</table>"
+    assert P.html_tables(html) == [[["a", "b in", ""], ["", "c", "d"]]] and P.html_tables("no") == []
