@@ -39,3 +39,25 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     redacted = spark.read.parquet(f"{d}/pii").filter("doc_id = 503").first()
     assert "[EMAIL]" in redacted.text and redacted.n_chars == len(redacted.text)
     assert corpus_pipeline.run(spark, d).select("doc_id", "piece", "length").exceptAll(now.select("doc_id", "piece", "length")).isEmpty()
+
+
+def test_stages_with_null_ids_clashing_columns_and_no_rows(spark, tmp_path):
+    """Null ids and columns stay, further columns of any name come through, ties and repeats are settled, an empty table gives no rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, key string, sig string, t string, _lore_extra string"
+    words = " ".join(f"w{i}" for i in range(60))
+    texts = [(1, words), (1, words), (None, words + " end"), (None, "quite other words of one more document here"), (2, None), (None, None), (3, "x"), (4, "long " * 30000)]
+    rows = [(i, t, None, None, None, k, "k", "s", "t", None) for k, (i, t) in enumerate(texts)]
+    for name, data in (("some", rows), ("none", [])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, None, None)][: len(data)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, "no such passage"), (None, None)][: len(data)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        now = spark.read.parquet(f"{d}/documents.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, now, d)
+            assert out.columns == now.columns, stage_name
+            out.write.parquet(f"{d}/{stage_name}")
+            now = spark.read.parquet(f"{d}/{stage_name}")
+        kept = sorted((str(r.doc_id), (r.text or "-")[:5]) for r in now.collect())
+        assert kept == ([] if name == "none" else sorted([("1", "w0 w1"), ("None", "quite"), ("2", "-"), ("None", "-"), ("3", "x"), ("4", "long ")]))
+        assert corpus_pipeline.STAGES[-1][1](spark, now, d).filter("piece = 0").count() == len(kept)
