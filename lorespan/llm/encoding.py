@@ -9,16 +9,29 @@ token's string in it, goes to the library whole.
 from __future__ import annotations
 
 import json
-
-import numpy as np
+import sys
+import unicodedata
+from array import array
 
 #: White space other than space and newline; texts with it go to the library whole.
 _ODD_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _ODD_WIDE = frozenset("\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff") | frozenset(map(chr, range(0x2000, 0x2010)))
+#: Byte symbols, by the rule of byte-level vocabularies: printable bytes stand for themselves, the others for characters from 256 on, in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+_SYMBOLS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
 #: Distinct chunks that a worker remembers before it starts anew.
 CACHE_ENTRIES = 700_000
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    data = array("I", ids)
+    if sys.byteorder == "big":
+        data.byteswap()
+    return data.tobytes()
+
+
 class _Ids(dict):
     """chunk -> its ids as little-endian unsigned 32-bit integers."""
 
@@ -55,17 +68,23 @@ class Encoder:
         self.newline = self._library("\n")
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _bare(self, word: str) -> bytes:
         return self._split(word, "")
 
+    def _letters(self, word: str, lead: str) -> bytes:
+        """Ids of letters only: one pre-token, whose byte symbols go to the model."""
+        symbols = word if word.isascii() else "".join(map(_SYMBOLS.__getitem__, word.encode()))
+        return _packed([t.id for t in self.tokenizer.model.tokenize((self.lead if lead else "") + symbols)])
+
     def _split(self, word: str, lead: str) -> bytes:
-        if word.isascii():
-            if word.isalpha():  # one pre-token, whose byte symbols are its letters
-                return np.array([t.id for t in self.tokenizer.model.tokenize((self.lead if lead else "") + word)], dtype="<u4").tobytes()
-            if word[-1:] in (",", ".") and word[:-1].isalpha():
-                return (self.after_space if lead else self.bare)[word[:-1]] + self.bare[word[-1]]
+        # beyond ASCII only letters that the normaliser leaves as they are
+        plain = word.isascii() or (unicodedata.is_normalized("NFC", word) and word.lower() == word)
+        if plain and word.isalpha():
+            return self._letters(word, lead)
+        if plain and word[-1:] in (",", ".") and word[:-1].isalpha():
+            return (self.after_space if lead else self.bare)[word[:-1]] + self.bare[word[-1]]
         return self._library(lead + word)
 
     def encode(self, text: str) -> bytes:
