@@ -66,5 +66,6 @@ def preflight(docs: DataFrame) -> DataFrame:
     tables = text.rlike(r"(?m)^.*\S\s{3,}\S.*$")
     columns = ~tables & text.rlike(r"(?m)^.{20,}\s{8,}.{20,}$")
     scanned = F.col("images") & low
+    # fixed values: reasons
     reason = F.when(scanned, "SCANNED_OR_OCR").when(tables, "COMPLEX_LAYOUT_TABLE").when(columns, "COMPLEX_LAYOUT_MULTICOLUMN").when(low, "LOW_QUALITY_TEXT").otherwise("PDFBOX_SIMPLE_TEXT")
     return docs.select("doc_id", scanned.alias("scanned"), tables.alias("tables"), columns.alias("columns"), low.alias("low_quality"), reason.alias("reason"), F.when(scanned | low | tables | columns, "LAYOUT").otherwise("NATIVE").alias("route"))
