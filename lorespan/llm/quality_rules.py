@@ -130,24 +130,34 @@ class TextScorer:
         import xxhash
 
         self.hashes, self.values, self.order, self.digest = hashes, values, order, xxhash.xxh64_intdigest
+        self.grams: dict[str, dict[str, float | None]] = {}
         self.words: dict[str, dict[bytes, tuple[float, int, tuple[str, ...]]]] = {}
 
     def learn(self, lang: str, words: set[bytes]) -> dict[bytes, tuple[float, int, tuple[str, ...]]]:
-        """Of each word: log probability of its known n-grams, number of characters, and its other n-grams. All are looked up at once."""
-        n, seed, grams, ends = self.order, self.digest(lang.encode(), seed=42), [], []
+        """Of each word: log probability of its known n-grams, number of characters, and its other n-grams. New n-grams are looked up at once."""
+        n, memo = self.order, self.grams.setdefault(lang, {})
+        if len(memo) >= CACHE_ENTRIES:
+            memo.clear()
+        cut = {}
         for w in words:
             marked = _START * (n - 1) + w.decode("utf-8", "replace") + _END
-            grams += [marked[i : i + n] for i in range(len(marked) - n + 1)]
-            ends.append(len(grams))
-        hashes = np.fromiter((self.digest(g.encode(), seed=seed) for g in grams), np.uint64, len(grams))
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(grams), dtype=bool)
-        values = np.where(known, self.values[at] if len(self.values) else 0.0, 0.0)
-        out, begin = {}, 0
-        for w, end in zip(words, ends, strict=True):
-            cold = () if known[begin:end].all() else tuple(g for g, k in zip(grams[begin:end], known[begin:end].tolist(), strict=True) if not k)
-            out[w] = (float(values[begin:end].sum()), end - begin - 1, cold)
-            begin = end
+            cut[w] = [marked[i : i + n] for i in range(len(marked) - n + 1)]
+        new = list(set().union(*cut.values()).difference(memo))
+        if new:
+            seed = self.digest(lang.encode(), seed=42)
+            hashes = np.fromiter((self.digest(g.encode(), seed=seed) for g in new), np.uint64, len(new))
+            at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+            known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(new), dtype=bool)
+            values = self.values[at].tolist() if len(self.values) else [0.0] * len(new)
+            memo.update((g, v if k else None) for g, v, k in zip(new, values, known.tolist(), strict=True))
+        out = {}
+        for w, grams in cut.items():
+            found = list(map(memo.__getitem__, grams))
+            if None in found:
+                cold = tuple(g for g, v in zip(grams, found, strict=True) if v is None)
+                out[w] = (sum(v for v in found if v is not None), len(grams) - 1, cold)
+            else:
+                out[w] = (sum(found), len(grams) - 1, ())
         return out
 
     def texts(self, batch: list[tuple[str, list[bytes]]]) -> list[tuple[float, int, dict[str, int]]]:
