@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespan.llm import decontaminate, jaccard_join, license_scan, packing, pii, quality_mil, quality_rules, token_count, token_files, toxicity
+from lorespan.llm import decontaminate, divergence, jaccard_join, license_scan, packing, pii, quality_mil, quality_rules, token_count, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quality_mil.op8_quality_classifier,
         token_files.op9_token_files,
         packing.op10_best_fit_packing,
+        divergence.op11_source_divergence,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontaminate.OP3_SQL}
+    return {"op3_decontamination": decontaminate.OP3_SQL, "op11_source_divergence": divergence.OP11_SQL}
