@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespan.llm import decontaminate, divergence, jaccard_join, license_scan, packing, pii, quality_mil, quality_rules, token_count, token_files, toxicity
+from lorespan.llm import decontaminate, divergence, jaccard_join, license_scan, packing, piece_codec, pii, quality_mil, quality_rules, token_count, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         token_files.op9_token_files,
         packing.op10_best_fit_packing,
         divergence.op11_source_divergence,
+        piece_codec.op12_piece_codec,
     )
     return {f.__name__: f for f in found}
 
