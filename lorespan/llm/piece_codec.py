@@ -12,6 +12,7 @@ from __future__ import annotations
 import codecs
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -133,9 +134,12 @@ class PieceCodec:
             sym[at] = self.merged[pair[at]]
             stay = np.ones(len(sym), dtype=bool)
             stay[at + 1] = False
-            places = np.cumsum(stay)[at] - 1
-            sym, word, pair = sym[stay], word[stay], pair[stay]
-            again = np.unique(np.r_[places, places[places > 0] - 1])
+            # pairs that a merged symbol is the left or the right half of
+            changed = np.zeros(len(sym), dtype=bool)
+            changed[at] = True
+            sym, word, pair, changed = sym[stay], word[stay], pair[stay], changed[stay]
+            changed[:-1] |= changed[1:]
+            again = np.flatnonzero(changed)
             pair[again] = none
             again = again[again + 1 < len(sym)]
             again = again[word[again] == word[again + 1]]
@@ -176,21 +180,24 @@ class PieceCodec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian signed 32-bit integers, without begin and end; the words of all texts that the worker has not met are merged together."""
         cut = [_SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.cache
-        fresh = list({w for words in cut for w in words if w not in known})
+        known, words = self.cache, set(chain.from_iterable(cut))
+        fresh = list(words.difference(known))
         if len(known) + len(fresh) > self.cache_entries:
             known.clear()
-            fresh = list({w for words in cut for w in words})
-        here, held, chars = {}, [], 0
+            fresh = list(words)
+        held, chars, long = [], 0, []
         for k, w in enumerate(fresh):
             held.append(w)
             chars += len(w)
+            if len(w) > 64:
+                long.append(w)
             if chars >= FLAT_CHARS or k + 1 == len(fresh):
-                here.update(zip(held, self.merge(held), strict=True))
+                known.update(zip(held, self.merge(held), strict=True))
                 held, chars = [], 0
-        known.update((w, ids) for w, ids in here.items() if len(w) <= 64)
-        found = _Either(known, here)
-        return [b"".join(map(found.__getitem__, words)) for words in cut]
+        ids = [b"".join(map(known.__getitem__, words)) for words in cut]
+        for w in long:
+            del known[w]
+        return ids
 
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[str]:
         """Texts of rows of ids; ``starts`` has the place of each row's first id, and the end."""
@@ -210,17 +217,6 @@ class PieceCodec:
         return texts
 
 
-class _Either(dict):
-    """What the worker remembers, else what this call has merged."""
-
-    def __init__(self, known: dict, here: dict):
-        super().__init__(here)
-        self.known = known
-
-    def __missing__(self, word: str) -> bytes:
-        return self.known[word]
-
-
 _codecs: dict[int, PieceCodec] = {}
 
 
