@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespan.llm import decontaminate, divergence, jaccard_join, license_scan, packing, piece_codec, pii, quality_mil, quality_rules, token_count, token_files, toxicity
+from lorespan.llm import decontaminate, divergence, jaccard_join, license_scan, packing, piece_codec, pii, quality_mil, quality_rules, token_count, token_files, toxicity, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,9 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         packing.op10_best_fit_packing,
         divergence.op11_source_divergence,
         piece_codec.op12_piece_codec,
+        vector_codes.op13_vector_codes,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontaminate.OP3_SQL, "op11_source_divergence": divergence.OP11_SQL}
+    return {"op3_decontamination": decontaminate.OP3_SQL, "op11_source_divergence": divergence.OP11_SQL, "op13_vector_codes": vector_codes.OP13_SQL}
