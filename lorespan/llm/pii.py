@@ -112,7 +112,7 @@ class Finder:
                     ip_end = run.end()
                     if run[0].count(".") >= 3:
                         for m in _IP.finditer(text, at, ip_end):
-                            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                                 found.append((m.start(), m.end(), "ip"))
                 if at >= card_end:
                     card_end = _DIGIT_RUN.match(text, at).end()

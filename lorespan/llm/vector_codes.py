@@ -45,7 +45,7 @@ def _integers(batch: pa.RecordBatch, scale: int) -> np.ndarray:
     values = np.floor(lists.flatten().to_numpy(zero_copy_only=False) * scale)
     if len(values) and np.abs(values).max() > LARGEST * SCALE:
         raise ValueError(f"a component is beyond {LARGEST * SCALE // scale}: its squared distances may not fit a long")
-    return values.astype(np.int64).reshape(batch.num_rows, -1)
+    return values.astype(np.int64).reshape(batch.num_rows, len(values) // max(1, batch.num_rows))
 
 
 def _nearest(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,9 +69,11 @@ def train_codebooks(kept: DataFrame, parts: int = PARTS, entries: int = ENTRIES,
     """
     spark = kept.sparkSession
     first = kept.orderBy(F.col("vec_id").asc_nulls_last(), "vector").limit(entries).select("vector").collect()
-    x = np.floor(np.array([r["vector"] for r in first], dtype=np.float64).reshape(len(first), -1) * scale).astype(np.int64)
+    if not first:
+        return np.zeros((parts, 0, 0), dtype=np.int64)
+    x = np.floor(np.array([r["vector"] for r in first], dtype=np.float64) * scale).astype(np.int64)
     books = np.ascontiguousarray(x.reshape(len(first), parts, -1).transpose(1, 0, 2))
-    for _ in range(rounds if len(first) else 0):
+    for _ in range(rounds):
         shared = spark.sparkContext.broadcast(books)
 
         def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

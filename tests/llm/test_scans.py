@@ -91,6 +91,20 @@ def test_find_pii_rows(spark):
     assert [r.text for r in out] == [None, "mail [EMAIL]", "clean"] and out[1].n_chars == 12
 
 
+def test_very_long_digit_runs(spark):
+    """Numbers of more digits than Python reads as one are parsed like others."""
+    zeros, n = "0" * 10000, 10000
+    texts = [zeros + ".1.1.1", "1.2.3." + zeros + "255", "1.2." + "9" * n + ".4", zeros, "4111 " * 3000, "+" + zeros, "+1 " + "(0) " * 4000 + "5", zeros + ".1.1.1 a@b.co"]
+    finder = pii.Finder()
+    value = lambda p: int(p.lstrip("0")[:4] or "0")
+    for t in texts:
+        want = [(m.start(), m.end(), "ip") for m in re.finditer(BASE["ip"], t) if all(value(p) <= 255 for p in m[0].split("."))]
+        assert [s for s in finder.spans(t) if s[2] == "ip"] == want
+        assert [s for s in finder.spans(t) if s[2] in ("card", "phone")] == [s for s in base_spans(re.sub(r"[.]", " a ", t)) if s[2] in ("card", "phone") and "." not in t]
+    assert [r.n_ip for r in pii.find_pii(frame(spark, texts)).orderBy("doc_id").collect()] == [1, 1, 0, 0, 0, 0, 0, 1]
+    assert [r.text for r in pii.redact_documents(frame(spark, [texts[0], texts[7]])).collect()] == ["[IP]", "[IP] [EMAIL]"]
+
+
 def test_licence_scan_against_plain_search():
     auto = license_scan.LicenseAutomaton(license_scan.TEMPLATES, license_scan.PHRASES, 3, 4)
     rng = random.Random(7)
