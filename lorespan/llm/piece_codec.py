@@ -22,12 +22,16 @@ from pyspark.sql import functions as F
 from lorespan.llm.common import map_texts, read_bytes, table
 
 MARK = "▁"
-#: Distinct words that a worker remembers before it starts anew; characters of new words that are merged together.
-CACHE_ENTRIES, FLAT_CHARS = 1_000_000, 1 << 18
-_SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Distinct words that a worker remembers before it starts anew; characters of new words that are merged together; characters of texts that are cut into words together.
+CACHE_ENTRIES, FLAT_CHARS, RUN_CHARS = 400_000, 1 << 17, 1 << 20
+_SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
+#: Words beyond this many characters are cut where no piece joins them, and aren't remembered.
+LONG_WORD = 64
 #: Symbols of characters without a piece start here; a pair of symbols is one whole number.
 _CHAR, _SHIFT = 1 << 21, 22
 _NONE = np.int32(np.iinfo(np.int32).max)
+#: An odd multiplier near 2**64 divided by the golden ratio.
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _one_by_one(error: UnicodeError) -> tuple[str, int]:
@@ -67,9 +71,7 @@ class PieceCodec:
                 left, right = self._known(p[:k], pieces), self._known(p[k:], pieces)
                 if left is not None and right is not None:
                     made[left << _SHIFT | right] = i
-        self.pairs = np.array(sorted(made), dtype=np.int64)
-        self.merged = np.array([made[k] for k in self.pairs.tolist()] + [0], dtype=np.int64)
-        self.ranks = np.array([rank_of[i] for i in self.merged[:-1].tolist()] + [_NONE], dtype=np.int32)
+        self._keep_pairs(made, rank_of)
         #: pairs of characters that lie next to each other in some piece: no merge crosses any other pair
         self.near = np.array(sorted(near), dtype=np.int64)
         texts = [b"" if read.is_control(i) else " ⁇ ".encode() if read.is_unknown(i) else bytes([int(names[i][3:5], 16)]) if read.is_byte(i) else names[i].replace(MARK, " ").encode() for i in range(size)]
@@ -84,21 +86,45 @@ class PieceCodec:
     def _known(self, part: str, pieces: dict[str, int]) -> int | None:
         return pieces.get(part, int(self.symbol[ord(part)]) if len(part) == 1 else None)
 
+    def _keep_pairs(self, made: dict[int, int], rank_of: dict[int, int]) -> None:
+        """A hash table of pairs with open places: at most an eighth of it is full, so most look-ups see one place."""
+        self.bits = max(4, (8 * len(made)).bit_length())
+        size = 1 << self.bits
+        self.pairs = np.full(size + 1, -1, dtype=np.int64)
+        self.merged = np.zeros(size + 1, dtype=np.int64)
+        self.ranks = np.full(size + 1, _NONE, dtype=np.int32)
+        keys = np.array(sorted(made), dtype=np.int64)
+        for key, at in zip(keys.tolist(), self._place(keys).tolist(), strict=True):
+            while self.pairs[at] >= 0:
+                at = (at + 1) & (size - 1)
+            self.pairs[at], self.merged[at], self.ranks[at] = key, made[key], rank_of[made[key]]
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Place of each pair in the table, or its length."""
+        """Place of each pair in the table, or the place behind it, which has no rank."""
         key = left << _SHIFT | right
-        at = np.searchsorted(self.pairs, key)
-        at[at == len(self.pairs)] = 0
-        return np.where(self.pairs[at] == key, at, len(self.pairs)) if len(self.pairs) else np.zeros(len(key), dtype=np.int64)
+        at = self._place(key)
+        there = self.pairs[at]
+        other = np.flatnonzero((there != key) & (there >= 0))
+        while len(other):
+            at[other] = (at[other] + 1) & ((1 << self.bits) - 1)
+            there[other] = self.pairs[at[other]]
+            other = other[(there[other] != key[other]) & (there[other] >= 0)]
+        at[there != key] = 1 << self.bits
+        return at
 
     def merge(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian signed 32-bit integers; words are merged apart from one another."""
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
         cut = np.ones(len(chars), dtype=bool)
-        at = np.searchsorted(self.near, key := chars[:-1] << 21 | chars[1:])
-        at[at == len(self.near)] = 0
-        cut[1:] = (owner[1:] != owner[:-1]) | (self.near[at] != key if len(self.near) else True)
+        cut[1:] = owner[1:] != owner[:-1]
+        if any(len(w) > LONG_WORD for w in words) and len(self.near):  # parts of long words that no piece joins need fewer rounds
+            at = np.searchsorted(self.near, key := chars[:-1] << 21 | chars[1:])
+            at[at == len(self.near)] = 0
+            cut[1:] |= self.near[at] != key
         segment = np.cumsum(cut) - 1
         symbols, segments = self._rounds(self.symbol[chars], segment)
         owners = owner[np.flatnonzero(cut)][segments]
@@ -110,7 +136,7 @@ class PieceCodec:
     def _rounds(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge until no word has a pair; symbols and words in the order of words."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        none = len(self.pairs)
+        none = len(self.pairs) - 1
         pair = np.full(len(sym), none)
         if len(sym):
             pair[:-1] = np.where(word[1:] == word[:-1], self._pair(sym[:-1], sym[1:]), none)
@@ -177,9 +203,17 @@ class PieceCodec:
         ids[ids >= _CHAR] = self.byte_ids[np.frombuffer(b"".join(spelled), dtype=np.uint8)]
         return ids, counts
 
+    def _words(self, text: str) -> list[str]:
+        """Words of a text, each without the mark that it starts with."""
+        if not text:
+            return []
+        if text[0] != " " and "  " not in text and MARK not in text:
+            return text.split(" ")
+        return [w[1:] for w in _SEGMENT.findall(MARK + text.replace(" ", MARK))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian signed 32-bit integers, without begin and end; the words of all texts that the worker has not met are merged together."""
-        cut = [_SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        cut = [self._words(t) for t in texts]
         known, words = self.cache, set(chain.from_iterable(cut))
         fresh = list(words.difference(known))
         if len(known) + len(fresh) > self.cache_entries:
@@ -189,10 +223,10 @@ class PieceCodec:
         for k, w in enumerate(fresh):
             held.append(w)
             chars += len(w)
-            if len(w) > 64:
+            if len(w) > LONG_WORD:
                 long.append(w)
             if chars >= FLAT_CHARS or k + 1 == len(fresh):
-                known.update(zip(held, self.merge(held), strict=True))
+                known.update(zip(held, self.merge([MARK + w for w in held]), strict=True))
                 held, chars = [], 0
         ids = [b"".join(map(known.__getitem__, words)) for words in cut]
         for w in long:
@@ -205,7 +239,10 @@ class PieceCodec:
             raise ValueError("an id is not in the vocabulary")
         lengths = self.lengths[ids]
         ends = np.r_[0, np.cumsum(lengths)]
-        data = self.blob[np.repeat(self.offsets[ids] - ends[:-1], lengths) + np.arange(ends[-1])].tobytes()
+        # a byte of text takes some 20 here, so callers pass runs
+        places = np.repeat((self.offsets[ids] - ends[:-1]).astype(np.int32), lengths)
+        places += np.arange(ends[-1], dtype=np.int32)
+        data = self.blob[places].tobytes()
         controls, texts = np.flatnonzero(self.controls[ids]), []
         for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             # a control has no text, but bytes on its two sides are no one character
@@ -229,21 +266,41 @@ def codec(model: bytes) -> PieceCodec:
     return _codecs[key]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _runs(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in runs of about RUN_CHARS characters, at least one text each."""
+    held, chars = [], 0
+    for t in texts:
+        held.append(t)
+        chars += len(t)
+        if chars >= RUN_CHARS:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
+
+
+def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>): the model's ids of every whole text, without begin and end, one row per row of ``docs``.
 
-    Null and empty texts have no ids. The model file is read on the driver and shipped with the tasks (its size is
-    that of a vocabulary). Words are remembered up to ``CACHE_ENTRIES`` a worker; a very long word is merged whole.
+    Null and empty texts have no ids. With ``decoded_col`` a further column of that name has the text that the ids decode to,
+    made in the same worker. The model file is read on the driver and shipped with the tasks (its size is that of a vocabulary).
+    Words are remembered up to ``CACHE_ENTRIES`` a worker; a very long word is merged whole.
     """
     model = read_bytes(model_path)
 
     def compute(texts: list[str]) -> list:
-        found = codec(model).encode(texts)
-        ends = np.cumsum([0, *[len(x) // 4 for x in found]]).astype(np.int32)
-        values = pa.array(np.frombuffer(b"".join(found), dtype="<i4").astype(np.int32))
-        return [pa.ListArray.from_arrays(pa.array(ends), values)]
+        use, flat, starts, decoded = codec(model), [], [np.zeros(1, dtype=np.int64)], []
+        for run in _runs(texts):
+            found = use.encode(run)
+            flat.append(np.frombuffer(b"".join(found), dtype="<i4").astype(np.int32))
+            ends = np.cumsum([len(x) // 4 for x in found])
+            if decoded_col:
+                decoded += use.decode(flat[-1].astype(np.int64), np.r_[0, ends])
+            starts.append(starts[-1][-1] + ends)
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(flat)))
+        return [ids, decoded] if decoded_col else [ids]
 
-    return map_texts(docs, compute, [("ids", "array<int>")], id_col, text_col)
+    return map_texts(docs, compute, [("ids", "array<int>")] + ([(decoded_col, "string")] if decoded_col else []), id_col, text_col)
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -276,7 +333,5 @@ def _digest(ids: Column) -> Column:
 def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = encode_pieces(table(spark, sf_dir, "documents"), model)
-    decoded = decode_pieces(encoded, model, carry=("ids",))
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _digest(F.col("ids")).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    coded = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded_col="decoded")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

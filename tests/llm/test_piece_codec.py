@@ -45,9 +45,7 @@ def test_merges_that_overtake_wait():
     names = {"a": 0, "b": 1, "c": 2, "ab": 3, "aba": 4, "bc": 5}
     made = {0 << 22 | 1: 3, 3 << 22 | 0: 4, 1 << 22 | 2: 5}
     rank = {3: 1, 4: 0, 5: 2}
-    toy.pairs = np.array(sorted(made))
-    toy.merged = np.array([made[k] for k in sorted(made)] + [0])
-    toy.ranks = np.array([rank[made[k]] for k in sorted(made)] + [np.iinfo(np.int32).max], dtype=np.int32)
+    toy._keep_pairs(made, rank)
 
     def slow(word):
         sym = list(word)
@@ -82,10 +80,13 @@ def test_frames(spark):
     coded = piece_codec.encode_pieces(docs, MODEL)
     got = {r.doc_id or 0: list(r.ids) for r in coded.collect()}
     assert got == {i: LIBRARY.encode(t or "") for i, t in enumerate(texts)}
+    both = piece_codec.encode_pieces(docs, MODEL, decoded_col="text").collect()
+    assert {r.doc_id or 0: r.text for r in both} == {i: LIBRARY.decode(got[i]) for i in got}
     back = {r.doc_id or 0: r.text for r in piece_codec.decode_pieces(coded, MODEL).collect()}
     assert back == {i: LIBRARY.decode(got[i]) for i in got}
     odd = spark.createDataFrame([(1, None), (2, [None, 300]), (3, [])], "doc_id int, ids array<int>")
     assert {r.doc_id: r.text for r in piece_codec.decode_pieces(odd, MODEL, carry=("ids",)).collect()} == {1: "", 2: LIBRARY.decode([300]), 3: ""}
+    assert [len(x) for x in piece_codec._runs(["a" * (1 << 20), "b", "c" * (1 << 20), "d"])] == [1, 2, 1]
     assert piece_codec.decode_pieces(piece_codec.encode_pieces(docs.limit(0), MODEL), MODEL).count() == 0
 
 
