@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespan.shared import discard
 from lorespan.shared import materialize as written
 
 
@@ -32,14 +33,17 @@ def merge_relations(relations: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that edges (a, b) lead to; least labels of neighbours with pointer jumping."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
+    kept = labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
     while True:
         heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
         nearer = labels.join(heard, "node").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
         now = written(nearer.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
-        labels = now.select("node", "component")
-        if now.filter("component <> old").isEmpty():
+        ended = now.filter("component <> old").isEmpty()
+        discard(kept)
+        kept, labels = now, now.select("node", "component")
+        if ended:
+            discard(both)
             return labels
 
 
@@ -63,11 +67,14 @@ def label_communities(edges: DataFrame) -> DataFrame:
         urge = F.struct((F.col("side") == turn % 2).alias("turn"), F.xxhash64("node", F.lit(turn)).alias("hash"), "node")
         wants = written(wants.select("node", "next", urge.alias("urge")), "wants")
         if wants.isEmpty():
+            discard(wants)
             break
         rivals = both.select("a", "b").join(wants.select(F.col("node").alias("b"), "urge"), "b").groupBy(F.col("a").alias("node")).agg(F.max("urge").alias("rival"))
         moves = wants.join(rivals, "node", "left").filter(F.col("rival").isNull() | (F.col("urge") > F.col("rival"))).select("node", "next")
-        labels = written(labels.join(moves, "node", "left").select("node", "side", F.coalesce("next", "label").alias("label")), "labels")
+        before, labels = labels, written(labels.join(moves, "node", "left").select("node", "side", F.coalesce("next", "label").alias("label")), "labels")
+        discard(before, wants)
         turn += 1
+    discard(both)
     first = labels.groupBy("label").agg(F.min("node").alias("first"))
     return labels.join(first, "label").select("node", F.col("first").alias("community"))
 

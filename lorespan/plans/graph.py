@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorespan.operators import communities as M
 from lorespan.operators import context as C
 from lorespan.operators import graph as G
 from lorespan.operators import lifecycle as L
@@ -64,6 +65,11 @@ QUERIES = {
     ),
     "l6_adjacency": (lambda s, d: X.either_endpoint(_trade(s, d), "a", "b"), f"WITH {_TRADE} SELECT a AS node, b AS other, 'OUT' AS direction, weight FROM trade UNION ALL SELECT b, a, 'IN', weight FROM trade"),
     "l7_components": (lambda s, d: G.connected_components(_copies(s, d)), "WITH m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS component, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents) SELECT doc_id AS node, component FROM m WHERE n > 1"),
+    "l7_leiden": (
+        lambda s, d: M.leiden_communities(_copies(s, d).select("a", "b", F.lit(1.0).alias("weight"))).select(_c("node").alias("doc_id"), "community"),
+        # the copies of a text are a star, and a leaf always gains by joining its centre
+        "WITH g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS first, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, dense_rank() OVER (ORDER BY first) - 1 AS community FROM g WHERE n > 1",
+    ),
     "l7_label_communities": (lambda s, d: G.label_communities(_trade(s, d)), None),
     "l8_community_facts": (
         lambda s, d: G.community_facts(_members(s, d), read(s, d, "lineitem").select(_c("l_partkey").alias("a"), _c("l_suppkey").alias("b"))),
