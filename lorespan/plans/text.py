@@ -30,6 +30,21 @@ def _lazy(name: str, make):
 
 _t = lambda: F.col("text")
 
+
+def _part_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set: every twentieth part asks with its name and type."""
+    return read(spark, d, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"), (F.col("p_size") % 5).alias("reader"))
+
+
+def _alias_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Parts are entities named by the first words of their names, lines their mentions, suppliers the documents, of which a reader sees those of some nations."""
+    aliases = read(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.explode(F.slice(F.split("p_name", " "), 1, 2)).alias("alias"))
+    lines = read(spark, d, "lineitem").select(F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("mention_id"), F.col("l_suppkey").alias("doc_id"))
+    visible = read(spark, d, "supplier").select((F.col("s_nationkey") % 5).alias("reader"), F.col("s_suppkey").alias("doc_id"))
+    candidates, outcomes = N.alias_scan(_part_queries(spark, d), aliases, aliases.join(lines, "entity_id"), visible)
+    return outcomes.join(candidates.drop("doc_ids"), "query_id", "left")
+
+
 QUERIES = {
     "i1_count_tokens": (_lazy("documents", lambda: ["doc_id", T.count_tokens(_t()).alias("tokens"), T.prompt_tokens(_t()).alias("prompt_tokens"), T.byte_tokens(_t()).alias("byte_tokens")]), r"SELECT doc_id, length(regexp_replace(text, '[\t\n\x0B\f\r\x1C-\x1F\x20]', '', 'g')) AS tokens, length(text) AS prompt_tokens, CAST(ceil(strlen(text) / 4) AS BIGINT) AS byte_tokens FROM documents"),
     "i3_truncate_tokens": (_lazy("documents", lambda: ["doc_id", T.truncate_tokens(_t(), 200).alias("head")]), "SELECT doc_id, left(text, 200) AS head FROM documents"),
@@ -154,8 +169,14 @@ QUERIES = {
         "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')[1:400]) AS w FROM documents) SELECT doc_id, count(*) FILTER (w <> '' AND try_cast(replace(w, ',', '') AS DOUBLE) IS NOT NULL) AS numbers FROM w GROUP BY doc_id",
     ),
     "i31_concise": (_lazy("documents", lambda: ["doc_id", T.concise(_t(), 80).alias("short")]), "SELECT doc_id, left(trim(text), 80) AS short FROM documents"),
+    "i11_near_words": (
+        lambda spark, d: (lambda w: N.near_words(w.select(F.col("w").alias("a")), w.select(F.col("w").alias("b"))).filter("a < b"))(read(spark, d, "part").select(F.explode(F.split(F.concat_ws(" ", F.lower("p_name"), F.lower("p_type")), " ")).alias("w"))),
+        "WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part) SELECT a.w AS a, b.w AS b, CAST(damerau_levenshtein(a.w, b.w) AS INTEGER) AS distance FROM w a JOIN w b ON a.w < b.w AND left(a.w, 1) = left(b.w, 1) AND damerau_levenshtein(a.w, b.w) <= 1",
+    ),
+    "i15_alias_matches": (lambda spark, d: N.match_aliases(_part_queries(spark, d), read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("alias")).distinct().select(F.xxhash64("alias").alias("alias_id"), "alias")), None),
+    "l13_alias_scan": (_alias_scan, None),
     "d13_containment_join": (
-        lambda spark, d: read(spark, d, "part").join(F.broadcast(read(spark, d, "part").select(F.explode(F.array(F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_type", F.lit(" "), F.lit(1)))).alias("alias")).distinct()), N.holds_name(F.concat_ws(", ", "p_name", "p_type"), F.col("alias"))).select("p_partkey", "alias"),
+        lambda spark, d: N.containment_join(read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(", ", "p_name", "p_type").alias("text")), read(spark, d, "part").select(F.explode(F.array(F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_type", F.lit(" "), F.lit(1)))).alias("alias"))).select(F.col("id").alias("p_partkey"), "alias"),
         """WITH a AS (SELECT DISTINCT unnest([split_part(p_name, ' ', 1), split_part(p_type, ' ', 1)]) AS alias FROM part) SELECT p_partkey, alias FROM part JOIN a ON contains(' ' || regexp_replace(lower(p_name || ', ' || p_type), '[^a-z0-9_]+', ' ', 'g') || ' ', ' ' || lower(alias) || ' ')""",
     ),
 }

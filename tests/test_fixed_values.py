@@ -56,8 +56,9 @@ def test_acronyms(spark):
 
 def test_distance_and_matches(spark):
     pairs = [("ca", "abc", 3), ("abcd", "abdc", 1), ("", "ab", 2), ("same", "same", 0), ("kitten", "sitting", 3)]
-    got = spark.createDataFrame([p[:2] for p in pairs], "a string, b string").select(N.osa_distance("a", "b").alias("d")).collect()
-    assert [r.d for r in got] == [p[2] for p in pairs]
+    for most in range(4):
+        got = spark.createDataFrame([p[:2] for p in pairs], "a string, b string").select(N.osa_within("a", "b", F.lit(most)).alias("d")).collect()
+        assert [r.d for r in got] == [p[2] if p[2] <= most else None for p in pairs]
     queries = spark.createDataFrame([(1, "How does open-search rank, and who made Postgresql at the EIB? 知识库 tool")], "query_id long, text string")
     aliases = [(1, "who made"), (2, "Open Search"), (3, "OpenSearch"), (4, "european investment bank"), (5, "postgressql"), (6, "postgrseql"), (7, "知识库"), (8, "识"), (9, "rank and who"), (10, "tooll"), (11, "bool"), (12, "")]
     got = {r.alias_id: (r["mode"], r.distance, r.similarity) for r in N.match_aliases(queries, spark.createDataFrame(aliases, "alias_id long, alias string")).collect()}
