@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,8 +16,8 @@ from lorespan.shared import materialize
 
 #: A stated set of query terms, or of packed query vectors, of at most so many bytes is broadcast; beyond that joins are the planner's.
 BROADCAST_BYTES = 64 << 20
-#: Vectors of a packed block.
-BLOCK = 512
+#: Vectors of a packed block, and slices of the vectors where queries are too many to be broadcast.
+BLOCK, SLICES = 512, 64
 
 
 def visible(docs: DataFrame, user: str, public: Column, owner: str = "source", grants: DataFrame | None = None) -> DataFrame:
@@ -134,59 +134,85 @@ def packed(vectors: DataFrame, id_col: str, n_blocks: int | None = None) -> Data
     return by_block
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """(query_id, vec_id, score, rank) of the k nearest vectors of each query, exactly.
-
-    ``queries``: (query_id, embedding), a stated set, is packed into blocks of about BLOCK by hash; so are the vectors, as
-    they are read, in one scan. Blocks of queries meet blocks of vectors: by broadcast up to BROADCAST_BYTES of queries, by a
-    shuffle beyond. Each task keeps its own best k of each query; the best of those are ranked. Zero and null
-    vectors have no neighbours under cosine. Access rules apply to ``vectors`` before they come here.
-    """
+def nearest_in(metric: str, k: int) -> Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]]:
+    """From (q_ids, q_vecs, ids, vecs), blocks of queries beside blocks of vectors, the best k of each query among what one task sees."""
     if metric not in ("cosine", "dot", "l2"):
         raise ValueError(metric)
-    spark = vectors.sparkSession
-    n = queries.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    n_blocks = -(-n // BLOCK)
-    asked = materialize(packed(queries, "query_id", n_blocks).select("block", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")), "queries")
-    size = asked.agg(F.coalesce(F.sum(F.octet_length("q_vecs") + F.octet_length("q_ids")), F.lit(0))).first()[0]
-    blocks = packed(vectors, "vec_id").select("ids", "vecs", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    met = blocks.join(F.broadcast(asked) if size <= BROADCAST_BYTES else asked, "block").select("q_ids", "q_vecs", "ids", "vecs")
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nearest(blocks: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         held: list[pd.DataFrame] = []
         rows = 0
-        for batch in batches:
-            for q_ids, q_vecs, ids, vecs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                q_id, v_id = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                q, v = np.frombuffer(q_vecs, "<f8").reshape(len(q_id), -1), np.frombuffer(vecs, "<f8").reshape(len(v_id), -1)
-                if metric == "l2":
-                    s = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * q @ v.T, 0))
-                else:
-                    s = q @ v.T
-                    if metric == "cosine":
-                        norm = np.sqrt((q**2).sum(1))[:, None] * np.sqrt((v**2).sum(1))[None]
-                        s = np.divide(s, norm, out=np.full_like(s, -2.0), where=norm > 0)
-                s = np.round(s, 6)
-                for i in range(len(q_id)):
-                    few = np.arange(len(v_id)) if len(v_id) <= k else np.flatnonzero(s[i] >= np.partition(s[i], -k)[-k])
-                    at = few[np.lexsort((v_id[few], -s[i][few]))[:k]]
-                    held.append(pd.DataFrame({"query_id": q_id[i], "vec_id": v_id[at], "score": s[i][at]}))
-                    rows += len(at)
-                if rows > 1_000_000:
-                    held = [_best(pd.concat(held), k)]
-                    rows = len(held[0])
-                    if rows > 500_000:  # more queries than a task should hold
-                        yield pa.RecordBatch.from_pandas(held[0], preserve_index=False)
-                        held, rows = [], 0
+        for q_ids, q_vecs, ids, vecs in blocks:
+            q_id, v_id = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
+            q, v = np.frombuffer(q_vecs, "<f8").reshape(len(q_id), -1), np.frombuffer(vecs, "<f8").reshape(len(v_id), -1)
+            if metric == "l2":
+                s = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * q @ v.T, 0))
+            else:
+                s = q @ v.T
+                if metric == "cosine":
+                    norm = np.sqrt((q**2).sum(1))[:, None] * np.sqrt((v**2).sum(1))[None]
+                    s = np.divide(s, norm, out=np.full_like(s, -2.0), where=norm > 0)
+            s = np.round(s, 6)
+            for i in range(len(q_id)):
+                few = np.arange(len(v_id)) if len(v_id) <= k else np.flatnonzero(s[i] >= np.partition(s[i], -k)[-k])
+                at = few[np.lexsort((v_id[few], -s[i][few]))[:k]]
+                held.append(pd.DataFrame({"query_id": q_id[i], "vec_id": v_id[at], "score": s[i][at]}))
+                rows += len(at)
+            if rows > 1_000_000:
+                held = [_best(pd.concat(held), k)]
+                rows = len(held[0])
+                if rows > 500_000:  # more queries than a task should hold
+                    yield pa.RecordBatch.from_pandas(held[0], preserve_index=False)
+                    held, rows = [], 0
         if held:
             yield pa.RecordBatch.from_pandas(_best(pd.concat(held), k), preserve_index=False)
 
-    found = met.mapInArrow(nearest, "query_id long, vec_id long, score double")
+    return nearest
+
+
+def block_rows(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True)
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def ranked_found(found: DataFrame, k: int, metric: str) -> DataFrame:
     return rank(found.filter("score > -2") if metric == "cosine" else found, k, tie="vec_id")
 
 
+def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(query_id, vec_id, score, rank) of the k nearest vectors of each query, exactly.
+
+    ``queries``: (query_id, embedding), a stated set, is packed into blocks of about BLOCK by hash; so are the vectors, as
+    they are read, in one scan. Up to ``broadcast_bytes`` of queries go to every task, which holds each block of vectors against them; beyond, blocks
+    of queries meet blocks of vectors by a shuffle, whose keys are a block of queries and a slice of the vectors. Each task keeps its own best k of each
+    query; the best of those are ranked. Zero and null vectors have no neighbours under cosine. Access rules apply to ``vectors`` before they come here.
+    """
+    nearest, spark = nearest_in(metric, k), vectors.sparkSession
+    n = queries.count()
+    if not n:
+        return spark.createDataFrame([], f"{FOUND}, rank int")
+    n_blocks = -(-n // BLOCK)
+    asked = materialize(packed(queries, "query_id", n_blocks).select("block", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")), "queries")
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("q_vecs") + F.octet_length("q_ids")), F.lit(0))).first()[0]
+    blocks = packed(vectors, "vec_id").select("ids", "vecs")
+    if size <= broadcast_bytes:
+        shared = spark.sparkContext.broadcast([(bytes(r["q_ids"]), bytes(r["q_vecs"])) for r in asked.select("q_ids", "q_vecs").collect()])
+
+        def against_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from nearest((*q, *v) for v in block_rows(batches, 2) for q in shared.value)
+
+        found = blocks.mapInArrow(against_all, FOUND)
+    else:
+        sliced = blocks.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(SLICES))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        everywhere = asked.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))))
+        met = sliced.join(everywhere, ["block", "slice"]).select("q_ids", "q_vecs", "ids", "vecs")
+        found = met.mapInArrow(lambda batches: nearest(block_rows(batches, 4)), FOUND)
+    return ranked_found(found, k, metric)
+
+
 def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return rows.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 

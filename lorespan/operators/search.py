@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, BinaryType, FloatType
 from lorespan.functions.text import query_terms
 from lorespan.operators.greedy import by_group
 from lorespan.operators.retrieval import bm25, knn, rank
+from lorespan.shared import materialize
 
 #: Weight of the slots of later rounds in rank fusion, and the longest query.
 LATER_ROUNDS, LONGEST_QUERY = 0.25, 500
@@ -63,12 +64,16 @@ def recall(docs: DataFrame, slots: DataFrame, k: int = 50, vectors: DataFrame |
     ``slots``: (query_id, round, slot, text); ``vectors``: (vec_id, embedding) of the documents; ``slot_vectors``: (query_id, round, slot, embedding).
     Access rules apply to ``docs`` and ``vectors`` before they come here.
     """
-    key = (F.col("query_id") * 100 + F.col("round") * 10 + F.col("slot")).alias("query_id")
-    apart = [F.floor(F.col("query_id") / 100).cast("long").alias("query_id"), F.floor(F.col("query_id") / 10 % 10).cast("int").alias("round"), (F.col("query_id") % 10).cast("int").alias("slot")]
-    lexical = rank(bm25(docs, slots.select(key, "text")), k).select(*apart, F.lit("BM25").alias("branch"), "doc_id", "score", "rank")
+    named = ["query_id", "round", "slot"]
+    # slots are numbered, as searches know a query by one whole number
+    texts = materialize(slots.select(*named, "text").withColumn("key", F.monotonically_increasing_id()), "slots")
+    lexical = rank(bm25(docs, texts.select(F.col("key").alias("query_id"), "text")), k).withColumnRenamed("query_id", "key")
+    lexical = lexical.join(texts.select("key", *named), "key").select(*named, F.lit("BM25").alias("branch"), "doc_id", "score", "rank")
     if vectors is None or slot_vectors is None:
         return lexical
-    near = knn(vectors, slot_vectors.select(key, "embedding"), k).select(*apart, F.lit("VECTOR").alias("branch"), F.col("vec_id").alias("doc_id"), "score", "rank")
+    points = materialize(slot_vectors.select(*named, "embedding").withColumn("key", F.monotonically_increasing_id()), "slots")
+    near = knn(vectors, points.select(F.col("key").alias("query_id"), "embedding"), k).withColumnRenamed("query_id", "key")
+    near = near.join(points.select("key", *named), "key").select(*named, F.lit("VECTOR").alias("branch"), F.col("vec_id").alias("doc_id"), "score", "rank")
     return lexical.unionByName(near)
 
 
