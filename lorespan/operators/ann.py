@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.operators.retrieval import BLOCK, FOUND, block_rows, nearest_in, ranked_found
+from lorespan.operators.retrieval import BLOCK, FOUND, block_rows, knn, nearest_in, ranked_found
 
 #: Vectors that centres are learnt on at most (those of least hash of their ids), and rounds of learning.
 SAMPLE, ROUNDS = 20_000, 10
@@ -114,6 +114,34 @@ def probe_cells(spark: SparkSession, path: str, queries: DataFrame, k: int, prob
     return ranked_found(met.mapInArrow(lambda batches: nearest(block_rows(batches, 4)), FOUND), k, metric)
 
 
+def probes_needed(spark: SparkSession, path: str, vectors: DataFrame, k: int, target: float = 0.9, sample: int = 200, metric: str = "cosine") -> int:
+    """The fewest probes with which ``sample`` of the vectors (those of least hash of their ids) find at least ``target`` of their k exact neighbours.
+
+    Every neighbour lies in one cell, and that cell has a place in its query's order of cells: the answer is the least place
+    below which enough of them lie. ``vectors``: (vec_id, embedding), those of the index.
+    """
+    centres = np.array([r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()], dtype="<f8")
+    asked = vectors.dropna(subset=["embedding"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = knn(vectors, asked, k, metric).select("query_id", "vec_id")
+    cell_of = spark.read.parquet(f"{path}/vectors").select("vec_id", F.col("cell").cast("int").alias("cell"))
+    shared = spark.sparkContext.broadcast(centres)
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_in_cells(batch, shared.value, metric, len(shared.value)).tolist(), pa.list_(pa.int32()))], names=["query_id", "cells"])
+
+    orders = asked.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(order, "query_id long, cells array<int>")
+    placed = exact.join(cell_of, "vec_id").join(orders, "query_id").groupBy(F.array_position("cells", F.col("cell")).alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    counts = sorted((r["place"], r["n"]) for r in placed.collect())  # a row a cell at most
+    total, found = sum(n for _, n in counts), 0
+    for place, n in counts:
+        found += n
+        if found >= target * total:
+            return int(place)
+    return max(1, len(centres))
+
+
 def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: the share of the exact pairs (query_id, vec_id) that were found; null without exact ones."""
     hit = exact.select("query_id", "vec_id").distinct().join(found.select("query_id", "vec_id", F.lit(1).alias("hit")).distinct(), ["query_id", "vec_id"], "left")

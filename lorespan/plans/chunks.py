@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorespan.functions.text import is_number
 from lorespan.operators import chunking as K
+from lorespan.operators import seal
 from lorespan.sources.tables import read
 
 _c = F.col
@@ -85,7 +86,20 @@ _LEFT, _RIGHT = (_COLUMN.format(x) for x in ("CAST(p_partkey % 1000 AS INT)", "C
 _HEADER = "(len(r{0}) > 0 AND len(list_distinct(r{0})) = len(r{0}) AND 2 * len(list_filter(r{0}, lambda c: try_cast(replace(c, ',', '') AS DOUBLE) IS NULL)) >= len(r{0}))"
 _ROW = "list_filter(list_transform(string_split(l[{0}], ' ')[1:4], lambda c: lower(trim(c))), lambda c: c <> '') AS r{0}"
 
+def k7_seals(s, d):
+    """Orders are packages of a head and lines."""
+    lines = read(s, d, "lineitem").select(_c("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey", "l_returnflag")
+    heads = read(s, d, "orders").select(_c("o_orderkey").alias("doc_id"), "o_custkey", "o_orderstatus")
+    return seal.sealed([(heads, []), (lines, ["l_linenumber", "l_partkey"])])
+
+
 QUERIES = {
+    "k7_seals": (
+        k7_seals,
+        """WITH h AS (SELECT o_orderkey AS k, string_agg(strlen(CAST(o_custkey AS VARCHAR)) || ':' || o_custkey || strlen(o_orderstatus) || ':' || o_orderstatus || ';', '') || '#' || count(*) || ';' AS t FROM orders GROUP BY 1),
+        l AS (SELECT l_orderkey AS k, string_agg(strlen(CAST(l_linenumber AS VARCHAR)) || ':' || l_linenumber || strlen(CAST(l_partkey AS VARCHAR)) || ':' || l_partkey || strlen(l_returnflag) || ':' || l_returnflag || ';', '' ORDER BY l_linenumber, l_partkey, l_returnflag) || '#' || count(*) || ';' AS t FROM lineitem GROUP BY 1)
+        SELECT coalesce(h.k, l.k) AS doc_id, sha256(coalesce(h.t, '#0;') || coalesce(l.t, '#0;')) AS digest FROM h FULL JOIN l ON h.k = l.k""",
+    ),
     "k2_chunks": (lambda s, d: K.chunk_documents(read(s, d, "documents")), None),
     "k2_chunk_blocks": (lambda s, d: K.chunk_blocks(_lines(s, d).select("doc_id", "block", "kind", F.lit("").alias("heading"), "text")), None),
     "k7_broken_spans": (

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespan.operators import ann
 from lorespan.operators import retrieval as R
+from lorespan.shared import shared_dir
 from lorespan.sources.tables import read
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
@@ -48,6 +52,15 @@ def j3_knn_top10(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d, 10)
 
 
+def j3_ann_top10(spark: SparkSession, d: str) -> DataFrame:
+    """Ten neighbours by an index of cells, of which as many are probed as a sample needs for a recall of 0.95."""
+    v = read(spark, d, "embeddings")
+    path = f"{shared_dir(spark)}/lorespan-cells-{uuid.uuid4().hex}"
+    ann.write_cells(v, path, max(4, round(v.count() ** 0.5)))
+    asked = v.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return ann.probe_cells(spark, path, asked, 10, ann.probes_needed(spark, path, v, 10, 0.95))
+
+
 def j5_rrf(spark: SparkSession, d: str) -> DataFrame:
     """Lexical ranks fused with those of a vector branch that stands in by id."""
     near = _near(spark, d, 50).withColumnRenamed("vec_id", "doc_id")
@@ -90,6 +103,7 @@ def q5_hit_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "j1_bm25_top50": (j1_bm25_top50, f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM lexical WHERE rank <= 50"),
+    "j3_ann_top10": (j3_ann_top10, None),
     "j3_knn_top10": (j3_knn_top10, f"WITH {_KNN} SELECT query_id, vec_id, score, rank FROM near WHERE rank <= 10"),
     "j5_rrf": (
         j5_rrf,

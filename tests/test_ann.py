@@ -38,6 +38,18 @@ def test_recall_and_access(spark, vectors, tmp_path):
     assert ann.probe_cells(spark, str(tmp_path / "none"), queries, 10, 4).count() == 0
 
 
+def test_probes_for_a_recall(spark, vectors, tmp_path, sf):
+    path = str(tmp_path / "cells")
+    ann.write_cells(vectors, path, 40)
+    few, many = (ann.probes_needed(spark, path, vectors, 10, t) for t in (0.5, 0.98))
+    assert 1 <= few <= many <= 40
+    queries = vectors.filter("vec_id % 7 = 1").select(F.col("vec_id").alias("query_id"), "embedding")
+    assert ann.recall_of(ann.probe_cells(spark, path, queries, 10, many), R.knn(vectors, queries, 10)).first()[0] >= 0.95
+    from lorespan.plans import retrieval
+
+    assert ann.recall_of(retrieval.j3_ann_top10(spark, sf), retrieval.j3_knn_top10(spark, sf)).first()[0] >= 0.9
+
+
 def test_both_ways_of_the_exact_search(spark, vectors):
     queries = vectors.filter("vec_id < 700").select(F.col("vec_id").alias("query_id"), "embedding")
     small, large = (R.knn(vectors, queries, 5, broadcast_bytes=b) for b in (R.BROADCAST_BYTES, 0))
