@@ -40,6 +40,40 @@ def recent_history(messages: DataFrame, n: int = 12, budget: int = 2048) -> Data
     return kept.withColumn("started", users).filter("started = 1").drop("started")
 
 
+# Messages of a history without and with a summary, and the least budget.
+HISTORY, AFTER_SUMMARY, LEAST_BUDGET = 12, 4, 64
+
+
+def history_context(messages: DataFrame, summaries: DataFrame, limit: int = HISTORY, budget: int = 2048, compress: bool = True) -> DataFrame:
+    """(conv_id, state, first_turn, messages, tokens, covered): which turns of each conversation go into the prompt, and whether its summary does.
+
+    ``messages``: (conv_id, turn, role, tokens), those that may be used; ``summaries``: (conv_id, covered, tokens), the newest valid one of a
+    conversation, which stands for the turns up to ``covered``. With a summary the last four turns behind it are used, else the last ``limit``,
+    twelve at most; a summary that more than four turns have outrun is left out. From the oldest on, turns go until summary and turns fit the budget (64 at least), and then
+    an answer at the start. A summary that alone exceeds the budget goes too. State: USED with a summary; PENDING where one is being caught up
+    with or is needed; else NOT_NEEDED. ``first_turn`` is null where no turn is left. Ordering by turn within a conversation.
+    """
+    last = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    at_most = max(LEAST_BUDGET, budget)
+    own = summaries.select("conv_id", F.col("covered").alias("upto"), F.col("tokens").alias("summary_tokens")) if compress else summaries.limit(0).select("conv_id", F.col("covered").alias("upto"), F.col("tokens").alias("summary_tokens"))
+    joined = messages.join(own, "conv_id", "left")
+    whole = joined.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("all_tokens"), F.count_if(F.col("turn") > F.col("upto")).alias("later"), F.first("upto").alias("upto"), F.first("summary_tokens").alias("summary_tokens"))
+    late = F.col("upto").isNotNull() & (F.col("later") > AFTER_SUMMARY)
+    whole = whole.select("conv_id", "n", "all_tokens", late.alias("late"), F.when(~late, F.col("upto")).alias("upto"), F.when(~late, F.col("summary_tokens")).alias("summary_tokens"))
+    behind = messages.join(whole, "conv_id").filter(F.col("upto").isNull() | (F.col("turn") > F.col("upto"))).withColumn("age", F.row_number().over(last))
+    few = behind.filter(F.col("age") <= F.when(F.col("upto").isNull(), max(1, min(HISTORY, limit))).otherwise(AFTER_SUMMARY))
+    used = F.coalesce("summary_tokens", F.lit(0)) + F.sum("tokens").over(last.rowsBetween(Window.unboundedPreceding, 0))
+    fits = few.withColumn("used", used).filter(F.col("used") <= at_most)
+    oldest = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    kept = fits.withColumn("place", oldest).filter((F.col("place") > 1) | (F.col("role") != "assistant"))
+    raw = kept.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("messages"), F.sum("tokens").alias("tokens"))
+    out = whole.join(raw, "conv_id", "left").withColumn("raw", F.coalesce("tokens", F.lit(0)))
+    fit = F.col("upto").isNotNull() & (F.col("summary_tokens") + F.col("raw") <= at_most)
+    needed = F.lit(compress) & ((F.col("n") > HISTORY) | (F.col("all_tokens") > at_most))
+    state = F.when(F.col("late"), "PENDING").when(fit, "USED").when(needed, "PENDING").otherwise("NOT_NEEDED")
+    return out.select("conv_id", state.alias("state"), "first_turn", F.coalesce("messages", F.lit(0)).alias("messages"), (F.col("raw") + F.when(fit, F.col("summary_tokens")).otherwise(0)).alias("tokens"), F.when(fit, F.col("upto")).alias("covered"))
+
+
 def needs_compression(messages: DataFrame, n: int = 12, budget: int = 2048) -> DataFrame:
     """Conversations with more than ``n`` messages or more characters than the budget."""
     return messages.groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.length("text")).alias("tokens")).withColumn("compress", (F.col("messages") > n) | (F.col("tokens") > budget))

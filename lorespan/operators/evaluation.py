@@ -213,6 +213,24 @@ def fact_contract(facts: DataFrame, corpus: DataFrame, canonical) -> DataFrame:
     return j.select("case_id", "ordinal", fault.alias("fault")).filter("fault IS NOT NULL")
 
 
+def metric_deltas(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Q-9: (metric, first, second, delta, first_measured, second_measured) of two runs (metric, value, status): means of what was measured; null where one run has none."""
+    mean = lambda df, n: df.groupBy("metric").agg(F.avg(F.when(F.col("status") == "MEASURED", F.col("value"))).alias(n), F.count_if(F.col("status") == "MEASURED").alias(f"{n}_measured"))
+    both = mean(first, "first").join(mean(second, "second"), "metric", "full")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return both.select("metric", F.round("first", 9).alias("first"), F.round("second", 9).alias("second"), F.round(F.col("second") - F.col("first"), 9).alias("delta"), none("first_measured"), none("second_measured"))
+
+
+def slice_deltas(first: DataFrame, second: DataFrame, dimensions: tuple[str, ...] = ("language", "case_type")) -> DataFrame:
+    """Q-9: (dimension, value, and SUCCEEDED, FAILED and BLOCKED cases of either run) for each value of each dimension.
+
+    Runs: (status, and a column for each dimension). Both runs and all dimensions are counted in one pass.
+    """
+    runs = [df.select(F.lit(n).alias("run"), "status", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dimensions])).alias("slice")) for n, df in (("first", first), ("second", second))]
+    counts = [F.count_if((F.col("run") == n) & (F.col("status") == status)).alias(f"{n}_{status.lower()}") for n in ("first", "second") for status in ("SUCCEEDED", "FAILED", "BLOCKED")]
+    return runs[0].unionByName(runs[1]).groupBy("slice.dimension", "slice.value").agg(*counts)
+
+
 def changed_cases(first: DataFrame, second: DataFrame, limit: int = 200) -> DataFrame:
     """Cases (case_key, status) of two runs whose status differs, the first ``limit`` by key."""
     both = first.select("case_key", F.col("status").alias("was")).join(second.select("case_key", F.col("status").alias("now")), "case_key")

@@ -78,8 +78,10 @@ class _Html(HTMLParser):
         self.path: list[tuple[str, int]] = []
         self.seen: list[dict[str, int]] = [{}]
         self.held: list[str] = []
+        self.external = 0
 
     def handle_starttag(self, tag, attrs):
+        self.external += sum(k in ("href", "src") and (v or "").strip().lower().startswith(("http:", "https:", "//")) for k, v in attrs)
         if tag in self.VOID:
             return
         self.seen[-1][tag] = self.seen[-1].get(tag, 0) + 1
@@ -119,6 +121,22 @@ def html_blocks(html: str) -> list[tuple[str, str, str]]:
     return parser.blocks
 
 
+def external_references(pages: DataFrame, id_col: str = "page_id", text_col: str = "html") -> DataFrame:
+    """(id, external, blocks): addresses of other hosts that the safe scan leaves out of each page, and its blocks of text; none for null."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            made = []
+            for i, html in zip(f["id"].tolist(), f["text"].tolist(), strict=True):
+                parser = _Html()
+                parser.feed(html or "")
+                parser.flush()
+                made.append((i, parser.external, len(parser.blocks)))
+            yield pd.DataFrame(made, columns=["id", "external", "blocks"])
+
+    return pages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {pages.schema[id_col].dataType.simpleString()}, external int, blocks int")
+
+
 def table_grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
     """Cells (text, rowspan, colspan) placed on a grid; a spanned place repeats no text."""
     grid: dict[tuple[int, int], str] = {}

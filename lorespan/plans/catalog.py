@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespan.plans import chunks, evaluation, evidence, graph, lifecycle, parsing, relational, retrieval, search, text
+from lorespan.plans import chunks, evaluation, evidence, graph, lifecycle, parsing, relational, retrieval, search, text, views
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (chunks, evaluation, evidence, graph, lifecycle, parsing, relational, retrieval, search, text)
+MODULES = (chunks, evaluation, evidence, graph, lifecycle, parsing, relational, retrieval, search, text, views)
 
 
 def queries() -> dict[str, Query]:

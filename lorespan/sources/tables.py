@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,23 @@ def read_json_cases(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), doc.alias("doc")).select("path", "sha256", "doc.version", "doc.language", F.explode("doc.cases").alias("case")).select("path", "sha256", "version", "language", "case.*")
 
 
+def upsert_catalogue(known: DataFrame, read: DataFrame) -> DataFrame:
+    """(dataset, version, caseKey, sha256, input, expected, change): a catalogue after the cases of files were read into it.
+
+    Both have (dataset, version, caseKey, sha256, input, expected), sha256 that of the whole dataset's files. A version that is new is ADDED; one read again
+    with the same hash is SAME; one with another hash is CONFLICT and stays as it was, as versions don't change. What wasn't read is KEPT. Of cases that
+    a version has twice the first by input counts.
+    """
+    once = Window.partitionBy("dataset", "version", "caseKey").orderBy("input", "expected")
+    columns = ["dataset", "version", "caseKey", "sha256", "input", "expected"]
+    fresh = read.withColumn("n", F.row_number().over(once)).filter("n = 1").select(*columns)
+    versions = known.select("dataset", "version", F.col("sha256").alias("was")).distinct()
+    added = fresh.join(versions, ["dataset", "version"], "left_anti").withColumn("change", F.lit("ADDED"))
+    again = fresh.select("dataset", "version", F.col("sha256").alias("now")).distinct()
+    change = F.when(F.col("now").isNull(), "KEPT").when(F.col("now") == F.col("sha256"), "SAME").otherwise("CONFLICT")
+    return known.select(*columns).join(again, ["dataset", "version"], "left").select(*columns, change.alias("change")).unionByName(added.select(*columns, "change"))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """A1: files with their hash and the format that their first bytes show."""
     head = F.hex(F.substring("content", 1, 4))
@@ -71,8 +88,6 @@ def published(spark: SparkSession, index_path: str, pointer_path: str) -> DataFr
 
 def sample_by_hash(df: DataFrame, id_col: str, k: int, group: Column | None = None) -> DataFrame:
     """The k rows of least SHA-256 of the id, in each group."""
-    from pyspark.sql import Window
-
     keyed = df.withColumn("hash", F.sha2(F.col(id_col).cast("string"), 256))
     if group is None:
         return keyed.orderBy("hash").limit(k)
