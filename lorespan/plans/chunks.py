@@ -76,15 +76,15 @@ def b19_cell_ranges(s, d):
 
 
 def i30_header_rows(s, d):
-    """The first three lines of each text as rows of words."""
-    rows = F.transform(F.slice(F.split("text", "\n"), 1, 3), lambda x: F.slice(F.split(x, " "), 1, 4))
+    """The lines of each text as rows of words."""
+    rows = F.transform(F.split("text", "\n"), lambda x: F.split(x, " "))
     return read(s, d, "documents").select("doc_id", K.header_rows(rows, is_number).cast("int").alias("headers"))
 
 
 _COLUMN = "CASE WHEN {0} < 26 THEN chr(65 + {0}) WHEN {0} < 702 THEN chr(65 + ({0} - 26) // 26) || chr(65 + ({0} - 26) % 26) ELSE chr(65 + ({0} - 702) // 676) || chr(65 + ({0} - 702) // 26 % 26) || chr(65 + ({0} - 702) % 26) END"
 _LEFT, _RIGHT = (_COLUMN.format(x) for x in ("CAST(p_partkey % 1000 AS INT)", "CAST(p_partkey % 1000 + 40 AS INT)"))
 _HEADER = "(len(r{0}) > 0 AND len(list_distinct(r{0})) = len(r{0}) AND 2 * len(list_filter(r{0}, lambda c: try_cast(replace(c, ',', '') AS DOUBLE) IS NULL)) >= len(r{0}))"
-_ROW = "list_filter(list_transform(string_split(l[{0}], ' ')[1:4], lambda c: lower(trim(c))), lambda c: c <> '') AS r{0}"
+_ROW = "list_filter(list_transform(string_split(l[{0}], ' '), lambda c: lower(trim(c))), lambda c: c <> '') AS r{0}"
 
 def k7_seals(s, d):
     """Orders are packages of a head and lines."""
@@ -137,7 +137,7 @@ QUERIES = {
     "b19_cell_ranges": (b19_cell_ranges, f"SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN replace(p_name, ' ', '_') ELSE '''' || replace(p_name || '''s', '''', '''''') || '''' END || '!' || {_LEFT} || (p_size + 1) || ':' || {_RIGHT} || (p_size + 4) AS address FROM part"),
     "i30_header_rows": (
         i30_header_rows,
-        f"""WITH l AS (SELECT doc_id, string_split(text, chr(10))[1:3] AS l FROM documents), r AS (SELECT doc_id, l, {_ROW.format(1)}, {_ROW.format(2)}, {_ROW.format(3)} FROM l)
+        f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), r AS (SELECT doc_id, l, {_ROW.format(1)}, {_ROW.format(2)}, {_ROW.format(3)} FROM l)
         SELECT doc_id, CASE WHEN len(l) < 2 OR NOT {_HEADER.format(1)} THEN 0 WHEN len(l) >= 3 AND {_HEADER.format(2)} AND NOT {_HEADER.format(3)} THEN 2 ELSE 1 END AS headers FROM r""",
     ),
 }

@@ -177,7 +177,7 @@ def l1_frozen_sources(s, d):
 
 def l3_anchors(s, d):
     """The tenth word of each text as a mention, spans of 200 characters."""
-    docs = read(s, d, "documents").select(_c("doc_id").alias("child_id"), F.left("text", F.lit(2000)).alias("text"))
+    docs = read(s, d, "documents").select(_c("doc_id").alias("child_id"), "text")
     mentions = docs.select(_c("child_id").alias("mention"), "child_id", F.split_part("text", F.lit(" "), F.lit(10)).alias("surface"))
     spans = docs.select("child_id", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 200))).alias("span")).select("child_id", "span", (_c("span") * 200).alias("a"), ((_c("span") + 1) * 200).alias("b"))
     return S.anchored(mentions, docs, spans).select("mention", _c("first").cast("long").alias("first"), _c("last").cast("long").alias("last"), "span")
@@ -339,8 +339,9 @@ QUERIES = {
     "l1_frozen_sources": (l1_frozen_sources, f"WITH {_HEADS} SELECT doc_id, revision_id, acl_version FROM e WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND format <> 'fr'"),
     "l3_anchors": (
         l3_anchors,
-        """WITH d AS (SELECT doc_id, left(text, 2000) AS t, split_part(left(text, 2000), ' ', 10) AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(1, length(t) - length(w) + 2)) AS i, t FROM d WHERE w <> ''),
-        a AS (SELECT doc_id, min(i) AS i, any_value(w) AS w FROM p WHERE substr(t, CAST(i AS INT), CAST(length(w) AS INT)) = w AND (i - 1) // 200 = (i - 2 + length(w)) // 200 GROUP BY doc_id)
+        """WITH d AS (SELECT doc_id, split_part(text, ' ', 10) AS w, unnest(range(0, (length(text) - 1) // 200 + 1)) AS span, text FROM documents),
+        p AS (SELECT doc_id, w, span, instr(substr(text, CAST(span * 200 + 1 AS INT), 200), w) AS found FROM d WHERE w <> ''),
+        a AS (SELECT doc_id, min(span * 200 + found) AS i, any_value(w) AS w FROM p WHERE found > 0 GROUP BY doc_id)
         SELECT doc_id AS mention, i - 1 AS first, i - 1 + length(w) AS last, (i - 1) // 200 AS span FROM a""",
     ),
     "l7_modularity": (

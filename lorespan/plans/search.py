@@ -54,22 +54,19 @@ _SLOTS = _BM25.replace(f"(SELECT item_id AS query_id, unnest({_WORDS}) AS term F
 
 
 def j9_second_hop(s: SparkSession, d: str) -> DataFrame:
-    queries = read(s, d, "benchmark").select(_c("item_id").alias("query_id"), "text").withColumn("text", F.left("text", F.lit(60)))
+    queries = read(s, d, "benchmark").select(_c("item_id").alias("query_id"), "text")
     hits = R.rank(R.bm25(read(s, d, "documents"), queries), 8)
     shown = hits.join(read(s, d, "documents").select("doc_id", _c("source").alias("title"), "text"), "doc_id").select("query_id", "rank", "title", "text")
     return Q.second_hop_queries(queries, shown, queries, 3).select("query_id", _c("position").cast("long").alias("position"), "text")
 
 
-_J9 = _BM25.replace(_WORDS + ") AS term FROM benchmark", _WORDS.replace("text", "left(text, 60)") + ") AS term FROM benchmark")
-
-
 def _terms(text: str) -> str:
     return rf"list_distinct(list_filter(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+'), lambda w: (length(w) >= 3 OR regexp_matches(w, '^[0-9]+$')) AND w NOT IN {_STOP}))"
 
 
 def _paths(s: SparkSession, d: str) -> DataFrame:
-    """Graph candidates: for every benchmark item the documents that share its remainder by 40, with a path whose evidence is the beginning of the text."""
-    docs = read(s, d, "documents").select("doc_id", (_c("doc_id") % 40).alias("query_id"), (1 + F.floor(_c("doc_id") / 40)).alias("place"), (1 + _c("n_chars") % 2).alias("depth"), F.concat_ws(" ", "source", "lang", F.left("text", F.lit(200))).alias("shown"))
+    """Graph candidates: for every benchmark item the documents that share its remainder by 40, with a path whose evidence is the text."""
+    docs = read(s, d, "documents").select("doc_id", (_c("doc_id") % 40).alias("query_id"), (1 + F.floor(_c("doc_id") / 40)).alias("place"), (1 + _c("n_chars") % 2).alias("depth"), F.concat_ws(" ", "source", "lang", "text").alias("shown"))
     return docs.join(read(s, d, "benchmark").select(_c("item_id").alias("query_id")), "query_id", "left_semi")
 
 
@@ -78,7 +75,7 @@ def j11_graph_relevance(s: SparkSession, d: str) -> DataFrame:
     return Q.graph_relevance(queries, _paths(s, d)).select("query_id", "doc_id", _c("relevance").alias("relevance"), _c("rank").cast("long").alias("rank"))
 
 
-_J11 = rf"""p AS (SELECT doc_id, doc_id % 40 AS query_id, 1 + doc_id // 40 AS place, 1 + n_chars % 2 AS depth, lower(source || ' ' || lang || ' ' || left(text, 200)) AS shown FROM documents WHERE doc_id % 40 IN (SELECT item_id FROM benchmark)),
+_J11 = rf"""p AS (SELECT doc_id, doc_id % 40 AS query_id, 1 + doc_id // 40 AS place, 1 + n_chars % 2 AS depth, lower(source || ' ' || lang || ' ' || text) AS shown FROM documents WHERE doc_id % 40 IN (SELECT item_id FROM benchmark)),
 a AS (SELECT item_id AS query_id, {_terms('text')} AS terms FROM benchmark),
 g AS (SELECT query_id, doc_id, place, round(4 * len(list_filter(terms, lambda t: contains(shown, t))) / greatest(len(terms), 1) + 0.1 / depth + 1.0 / (60.0 + place), 9) AS relevance FROM p JOIN a USING (query_id)),
 gr AS (SELECT query_id, doc_id, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, place, doc_id) AS rank FROM g)"""
@@ -184,13 +181,13 @@ QUERIES = {
     ),
     "j9_second_hop": (
         j9_second_hop,
-        rf"""WITH {_J9}, top AS (SELECT l.query_id, rank, source AS title, text FROM lexical l JOIN documents USING (doc_id) WHERE rank <= 8),
+        rf"""WITH {_BM25}, top AS (SELECT l.query_id, rank, source AS title, text FROM lexical l JOIN documents USING (doc_id) WHERE rank <= 8),
         n AS (SELECT query_id, trim(regexp_replace(title, '^\[[^\]]+\][\s·:_-]*', '')) AS name, 121 - rank AS score FROM top UNION ALL
               SELECT query_id, regexp_replace(unnest(regexp_extract_all(left(text, 1500), '(?:[A-Z][\p{{L}}\p{{M}}''’.-]+|[A-Z]{{2,}})(?:\s+(?:[A-Z][\p{{L}}\p{{M}}''’.-]+|[A-Z]{{2,}}|&)){{1,4}}')), '[’''.-]+$', ''), 151 - rank FROM top),
         m AS (SELECT query_id, trim(regexp_replace(name, '\s+', ' ', 'g')) AS name, lower(trim(regexp_replace(name, '\s+', ' ', 'g'))) AS norm, score FROM n),
         b AS (SELECT query_id, norm, max(score) AS score, arg_min(name, (-score, name)) AS name FROM m WHERE length(name) BETWEEN 3 AND 80 AND norm NOT IN ('article', 'document', 'evidence', 'introduction', 'references', 'source', 'summary') GROUP BY ALL),
-        a AS (SELECT item_id AS query_id, trim(left(text, 60)) AS asked, {_terms('left(text, 60)')} AS old FROM benchmark),
-        f AS (SELECT b.query_id, norm, score, trim(asked || ' ' || trim(left(name, 499 - length(asked)))) AS text FROM b JOIN a USING (query_id) WHERE len(list_filter({_terms('name')}, lambda t: NOT list_contains(old, t))) > 0),
+        a AS (SELECT item_id AS query_id, trim(text) AS asked, {_terms('text')} AS old FROM benchmark),
+        f AS (SELECT b.query_id, norm, score, trim(asked || ' ' || trim(left(name, greatest(0, 499 - length(asked))))) AS text FROM b JOIN a USING (query_id) WHERE len(list_filter({_terms('name')}, lambda t: NOT list_contains(old, t))) > 0),
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, norm) AS position, text FROM f) SELECT * FROM r WHERE position <= 3""",
     ),
     "j10_second_rounds": (
