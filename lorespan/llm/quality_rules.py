@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -124,40 +125,86 @@ def hot_grams(probs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]
 
 
 class TextScorer:
-    """Sums the log probabilities of the n-grams it knows, in sorted hash arrays, and counts the others; remembers words."""
+    """Sums the log probabilities of the n-grams it knows, in sorted hash arrays, and counts the others; remembers words.
+
+    Of each word it keeps: what the word adds to a text's sum and to its number of words, its other n-grams, and the same sum and n-grams
+    for a text of short words only. Words of one character add nothing but there.
+    """
 
     def __init__(self, hashes: np.ndarray, values: np.ndarray, order: int):
         import xxhash
 
         self.hashes, self.values, self.order, self.digest = hashes, values, order, xxhash.xxh64_intdigest
-        self.grams: dict[str, dict[str, float | None]] = {}
-        self.words: dict[str, dict[bytes, tuple[float, int, tuple[str, ...]]]] = {}
-
-    def learn(self, lang: str, words: set[bytes]) -> dict[bytes, tuple[float, int, tuple[str, ...]]]:
-        """Of each word: log probability of its known n-grams, number of characters, and its other n-grams. New n-grams are looked up at once."""
-        n, memo = self.order, self.grams.setdefault(lang, {})
-        if len(memo) >= CACHE_ENTRIES:
-            memo.clear()
-        cut = {}
-        for w in words:
-            marked = _START * (n - 1) + w.decode("utf-8", "replace") + _END
-            cut[w] = [marked[i : i + n] for i in range(len(marked) - n + 1)]
-        new = list(set().union(*cut.values()).difference(memo))
-        if new:
-            seed = self.digest(lang.encode(), seed=42)
-            hashes = np.fromiter((self.digest(g.encode(), seed=seed) for g in new), np.uint64, len(new))
-            at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-            known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(new), dtype=bool)
-            values = self.values[at].tolist() if len(self.values) else [0.0] * len(new)
-            memo.update((g, v if k else None) for g, v, k in zip(new, values, known.tolist(), strict=True))
-        out = {}
-        for w, grams in cut.items():
-            found = list(map(memo.__getitem__, grams))
-            if None in found:
-                cold = tuple(g for g, v in zip(grams, found, strict=True) if v is None)
-                out[w] = (sum(v for v in found if v is not None), len(grams) - 1, cold)
-            else:
-                out[w] = (sum(found), len(grams) - 1, ())
+        #: 16 bits a character, given out as characters appear; 0: none yet
+        self.numbers, self.alphabet = np.zeros(0x110000, dtype=np.uint16), 0
+        self.grams: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.words: dict[str, dict[bytes, tuple]] = {}
+
+    def _look(self, lang: str, grams: list[str]) -> np.ndarray:
+        """Log probabilities of n-grams, not a number where it knows none."""
+        seed = self.digest(lang.encode(), seed=42)
+        hashes = np.fromiter((self.digest(g.encode(), seed=seed) for g in grams), np.uint64, len(grams))
+        if not len(self.hashes):
+            return np.full(len(grams), np.nan)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.values[at], np.nan)
+
+    def _packed(self, chars: np.ndarray, places: np.ndarray) -> np.ndarray | None:
+        """Each n-gram as one whole number of 64 bits; None if characters or orders are too many for that."""
+        if self.order > 4:
+            return None
+        new = np.flatnonzero(np.bincount(chars, minlength=0x110000)[: len(self.numbers)] > 0)
+        new = new[self.numbers[new] == 0]
+        if self.alphabet + len(new) > 0xFFFF:
+            return None
+        self.numbers[new] = np.arange(self.alphabet + 1, self.alphabet + 1 + len(new), dtype=np.uint16)
+        self.alphabet += len(new)
+        numbers = self.numbers[chars].astype(np.uint64)
+        packed = numbers[places]
+        for k in range(1, self.order):
+            packed = packed << np.uint64(16) | numbers[places + k]
+        return packed
+
+    def learn(self, lang: str, words: list[bytes]) -> dict[bytes, tuple]:
+        """What to keep of each word; the n-grams of all are looked up together."""
+        n, texts = self.order, [w.decode("utf-8", "replace") for w in words]
+        lead = _START * (n - 1)
+        joined = "".join([f"{lead}{t}{_END}" for t in texts])
+        chars = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes + n)
+        inside = np.ones(len(chars), dtype=bool)
+        for k in range(1, n):
+            inside[ends - k] = False
+        places = np.flatnonzero(inside)
+        firsts = np.cumsum(sizes + 1) - sizes - 1
+        packed = self._packed(chars, places)
+        if packed is None:
+            kinds: dict[str, int] = {}
+            at = np.fromiter((kinds.setdefault(joined[i : i + n], len(kinds)) for i in places.tolist()), np.int64, len(places))
+            found = self._look(lang, list(kinds))[at]
+        else:
+            kinds, first, at = np.unique(packed, return_index=True, return_inverse=True)
+            keys, values = self.grams.get(lang, (np.zeros(0, np.uint64), np.zeros(0)))
+            if len(keys) >= CACHE_ENTRIES:
+                keys, values = keys[:0], values[:0]
+            there = np.minimum(np.searchsorted(keys, kinds), max(0, len(keys) - 1))
+            known = keys[there] == kinds if len(keys) else np.zeros(len(kinds), dtype=bool)
+            if not known.all():
+                new = np.flatnonzero(~known)
+                keys = np.concatenate([keys, kinds[new]])
+                values = np.concatenate([values, self._look(lang, [joined[i : i + n] for i in places[first[new]].tolist()])])
+                order = np.argsort(keys)
+                keys, values = keys[order], values[order]
+            self.grams[lang] = keys, values
+            found = values[np.searchsorted(keys, kinds)][at]
+        cold = np.isnan(found)
+        totals = np.add.reduceat(np.where(cold, 0.0, found), firsts).tolist()
+        out = {w: (t, 1, (), t, ()) if size > 1 else (0.0, 0, (), t, ()) for w, t, size in zip(words, totals, sizes.tolist(), strict=True)}
+        for i in np.flatnonzero(np.logical_or.reduceat(cold, firsts)).tolist():
+            mine = range(firsts[i], firsts[i] + sizes[i] + 1)
+            others = tuple(joined[places[j] : places[j] + n] for j in mine if cold[j])
+            out[words[i]] = (totals[i], 1, others, totals[i], others) if sizes[i] > 1 else (0.0, 0, (), totals[i], others)
         return out
 
     def texts(self, batch: list[tuple[str, list[bytes]]]) -> list[tuple[float, int, dict[str, int]]]:
@@ -171,25 +218,27 @@ class TextScorer:
             memo = self.words.setdefault(lang, {})
             if len(memo) >= CACHE_ENTRIES:
                 memo.clear()
-            new = words.difference(memo)
+            new = list(words.difference(memo))
             fresh = self.learn(lang, new) if new else {}
             long = {w: x for w, x in fresh.items() if len(w) > 64}
             memo.update(fresh if not long else {w: x for w, x in fresh.items() if len(w) <= 64})
             known[lang] = memo if not long else memo | long
         out = []
         for lang, words in batch:
-            values = known[lang]
-            total, n, others = 0.0, 0, {}
-            found = list(map(values.__getitem__, words))
-            for t, size, cold in [x for x in found if x[1] > 1] or found:
-                total += t
-                n += 1
-                for g in cold:
+            found = list(map(known[lang].__getitem__, words))
+            n = sum(map(_SCORED, found))
+            total, cold = (sum(map(_SUM, found)), _COLD) if n else (sum(map(_WHOLE_SUM, found)), _WHOLE_COLD)
+            others: dict[str, int] = {}
+            for x in filter(cold, found):
+                for g in cold(x):
                     others[g] = others.get(g, 0) + 1
-            out.append((total, n, others))
+            out.append((total, n or len(found), others))
         return out
 
 
+_SUM, _SCORED, _COLD, _WHOLE_SUM, _WHOLE_COLD = map(itemgetter, range(5))
+
+
 class NgramScorer:
     """Log probability of words from the hash arrays, with back-off; remembers n-grams and words."""
 

@@ -5,6 +5,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from lorespan.llm import quality_rules as R
 
 
@@ -153,3 +156,36 @@ def test_a_third_of_junk_does_not_widen_the_band(spark):
     assert sum(r.doc_id >= 3000 for r in judged) > 150
     assert not any(r.kept for r in judged if r.doc_id >= 3000)
     assert all(r.kept for r in judged if r.doc_id < 3000)
+
+
+@pytest.mark.parametrize("order", [2, 4, 5])
+def test_texts_sum_what_their_words_hold(order, monkeypatch):
+    """Sums and other n-grams equal those of a plain dictionary, whatever is remembered."""
+    import random
+
+    import xxhash
+
+    rng = random.Random(order)
+    words = ["".join(rng.choices("abcé日😀\x02", k=rng.randint(1, 6))).encode() for _ in range(300)] + [b"\xff\xfe", b"x" * 80, b"a", b"b"]
+    mark = lambda w: R._START * (order - 1) + w.decode("utf-8", "replace") + R._END
+    cut = lambda w: [mark(w)[i : i + order] for i in range(len(mark(w)) - order + 1)]
+    model = {(lang, g): -rng.random() for lang in "xy" for w in words for g in cut(w) if rng.random() < 0.7}
+    name = lambda lang, g: xxhash.xxh64_intdigest(g.encode(), seed=xxhash.xxh64_intdigest(lang.encode(), seed=42))
+    pairs = sorted((name(*k), v) for k, v in model.items())
+    scorer = R.TextScorer(np.array([k for k, _ in pairs], np.uint64), np.array([v for _, v in pairs]), order)
+    monkeypatch.setattr(R, "CACHE_ENTRIES", 60)
+    for _ in range(6):
+        batch = [(rng.choice("xy"), rng.choices(words, k=rng.randint(0, 40))) for _ in range(10)] + [("x", [b"a", b"b", b"a"]), ("z", [b"abc"]), ("x", [])]
+        for (lang, ws), (total, n, others) in zip(batch, scorer.texts(batch), strict=True):
+            long = [w for w in ws if len(w.decode("utf-8", "replace")) > 1] or ws
+            grams = [g for w in long for g in cut(w)]
+            assert n == len(long)
+            assert abs(total - sum(model.get((lang, g), 0.0) for g in grams)) < 1e-9
+            assert others == {g: grams.count(g) for g in grams if (lang, g) not in model}
+
+
+def test_more_characters_than_numbers():
+    scorer = R.TextScorer(np.zeros(0, np.uint64), np.zeros(0), 3)
+    words = [chr(i).encode() for i in range(0x100, 0xD800)] + [chr(i).encode() for i in range(0x10000, 0x14000)]
+    assert len(words) > 0xFFFF
+    assert [o for _, _, o in scorer.texts([("x", words[-2:]), ("x", words)])][0] == {R._START * 2 + words[-2].decode(): 1, R._START + words[-2].decode() + R._END: 1, R._START * 2 + words[-1].decode(): 1, R._START + words[-1].decode() + R._END: 1}
