@@ -3,13 +3,18 @@
 import math
 import random
 import re
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from lorespan.llm import quality_rules as R
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+import plain_kneser_ney as K  # noqa: E402
+
 
 def plain(text):
     text = text or ""
@@ -34,11 +39,11 @@ def test_measures_equal_plain_counts():
 
 def test_model_is_a_distribution(spark):
     docs = spark.createDataFrame([("abra cadabra abracadabra bar", "en"), ("barra cab", "en"), ("zug zag", "de"), (None, None)], "text string, lang string")
-    named = R.kneser_ney(R.word_counts(docs))
+    named = K.kneser_ney(R.word_counts(docs))
     values = {r["name"]: r.value for r in named.collect()}
-    slots, made = R.hash_arrays(named)
+    slots, made = K.hash_arrays(named)
     assert (slots[1:] > slots[:-1]).all() and len(slots) == len(values)
-    scorer = R.NgramScorer(slots, made, R.ORDER, R.SLOT_BITS)
+    scorer = K.NgramScorer(slots, made, R.ORDER, K.SLOT_BITS)
     seen = {n.split(":", 2)[2] for n in values if n.startswith("p1:en:")}
     for context in ("\x02\x02\x02", "abr", "bra", "zzz"):
         known = sum(math.exp(scorer.gram("en", context + c)) for c in seen)
@@ -131,10 +136,10 @@ def test_every_ngram_keeps_its_own_value(spark):
     rng = random.Random(8)
     rows = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60)), "en") for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    named = R.kneser_ney(R.word_counts(docs))
-    slots, made = R.hash_arrays(named)
+    named = K.kneser_ney(R.word_counts(docs))
+    slots, made = K.hash_arrays(named)
     assert len(slots) == named.count() > 50_000  # about a hundred of these would share a slot of 2 ** 24
-    scorer = R.NgramScorer(slots, made, R.ORDER, R.SLOT_BITS)
+    scorer = K.NgramScorer(slots, made, R.ORDER, K.SLOT_BITS)
     want = {i: scorer.log_perplexity("en", text.encode().split()) for i, text, _ in rows}
     for hot in (0, 500, R.HOT_GRAMS):
         got = {r.doc_id: r.log_perplexity for r in R.score_rules(docs, hot=hot).collect()}
