@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespan.operators.graph import connected_components
+from lorespan.operators.relational import numbered
 from lorespan.shared import discard
 from lorespan.shared import materialize as written
 
@@ -163,17 +164,3 @@ def leiden_communities(edges: DataFrame, nodes: DataFrame | None = None, resolut
     out = written(whole, "communities")
     discard(labels, parts, now, members, both, *([graph] if graph is not both else []))
     return out.join(numbered(out.select("first").distinct(), "first").withColumnRenamed("number", "community"), "first").select("node", "community")
-
-
-def numbered(rows: DataFrame, by: str) -> DataFrame:
-    """``rows`` with ``number``: their place from 0 in ascending order of ``by``, without a task that sees all rows."""
-    placed = written(rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id()), "placed")
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    # one row a partition
-    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
-    starts, before = [], 0
-    for p, n in sizes:
-        starts += [F.lit(p), F.lit(before)]
-        before += n
-    first = F.create_map(*starts)[part] if starts else F.lit(0)
-    return placed.withColumn("number", (first + place).cast("long")).drop("_at")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespan.shared import materialize
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """The first n rows of each key in an order that leaves no ties."""
@@ -51,6 +52,35 @@ def percentiles_by_counts(df: DataFrame, keys: list[str], value: str, p: float,
     return ranked.filter(F.col("_upto") >= F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_all")))).groupBy(*keys).agg(F.min(value).alias(name))
 
 
+def numbered(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` with ``number``: their place from 0 in ascending order of ``by``, nulls first, without a task that sees all rows."""
+    placed = materialize(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    # one row a partition
+    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, before = [], 0
+    for p, n in sizes:
+        starts += [F.lit(p), F.lit(before)]
+        before += n
+    first = F.create_map(*starts)[part] if starts else F.lit(0)
+    return placed.withColumn("number", (first + place).cast("long")).drop("_at")
+
+
+def percentiles_cont(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(key, and a column for each share by its name): interpolated percentiles of groups of any size; null values don't count.
+
+    Rows are numbered in the order of key and value; a percentile lies between the two rows whose numbers surround its place, so no
+    task holds a group.
+    """
+    placed = numbered(df.select(key, value).filter(F.col(value).isNotNull()), key, value)
+    groups = placed.groupBy(key).agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n"))
+    wanted = groups.select(key, F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("n") - 1)).alias("at")) for name, p in shares.items()])).alias("w"), "first").select(key, "first", "w.*")
+    ends = wanted.select(key, "name", "at", "first", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("place")).withColumn("number", F.col("first") + F.col("place"))
+    part = F.when(F.floor("at") == F.ceil("at"), 1.0).otherwise(1 - F.abs(F.col("place") - F.col("at")))
+    met = ends.join(placed.select("number", F.col(value).alias("v")), "number")
+    return met.groupBy(key).agg(*[F.sum(F.when(F.col("name") == name, part * F.col("v"))).alias(name) for name in shares])
+
+
 def ratio(a: Column, b: Column) -> Column:
     """A / b, 0 where b is 0."""
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)

@@ -93,19 +93,36 @@ def fact_hash(*fields: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(f.cast("string"), F.lit("null")) for f in fields]), 256)
 
 
+#: Sources of a proposal whose sets are counted.
+MOST_SOURCES = 8
+
+
 def proposal_conflicts(proposals: DataFrame) -> DataFrame:
     """(proposal, code, others): how many other proposals each conflicts with, and why.
 
     ``proposals``: (proposal, action, sources array, target_name, target_type). SOURCE_ENTITY_OVERLAP: a source in common; DUPLICATE_RULE: the same
-    sources and action; TARGET_TYPE_CONFLICT: one target name of different types. Others are counted, not paired: a source that many
-    proposals share costs their number.
+    sources and action; TARGET_TYPE_CONFLICT: one target name of different types. Others are counted, not paired: those that share one of
+    several sources are the holders of each source, less those of each two, plus those of each three and so on. Only proposals of
+    more than MOST_SOURCES sources, for which that would be too many sets, are paired with those that share a source.
     """
     flat = proposals.select("proposal", F.explode(F.array_distinct("sources")).alias("source"))
     # overlaps of one source are counted by its size; a proposal of several sources counts each other proposal once
     shared = flat.join(flat.groupBy("source").agg(F.count("*").alias("n")).filter("n > 1"), "source")
     single = shared.groupBy("proposal").agg(F.count("*").alias("k"), F.max("n").alias("n"))
-    several = shared.join(single.filter("k > 1").select("proposal"), "proposal", "left_semi").select("proposal", "source")
-    met = several.join(flat.select(F.col("proposal").alias("other"), "source"), "source").filter("proposal <> other").groupBy("proposal").agg(F.count_distinct("other").alias("others"))
+    sets = shared.groupBy("proposal").agg(F.array_sort(F.collect_set("source")).alias("own")).filter(F.size("own").between(2, MOST_SOURCES))
+    none = F.array(F.array().cast(f"array<{flat.schema['source'].dataType.simpleString()}>"))
+    parts_of = F.aggregate("own", none, lambda made, x: F.concat(made, F.transform(made, lambda y: F.concat(y, F.array(x)))))
+    subsets = sets.select("proposal", F.explode(parts_of).alias("part")).filter(F.size("part") > 0)
+    # holders of a set: proposals of one source hold only sets of one, those of many all sets that are asked for
+    many = shared.join(single.filter(F.col("k") > MOST_SOURCES).select("proposal"), "proposal", "left_semi")
+    asked = subsets.select("part").distinct()
+    held_by_many = many.join(asked.select("part", F.explode("part").alias("source")), "source").groupBy("proposal", "part").agg(F.count("*").alias("n")).filter(F.col("n") == F.size("part")).select("part", "proposal")
+    held_by_one = shared.join(single.filter("k = 1").select("proposal"), "proposal", "left_semi").select(F.array("source").alias("part"), "proposal")
+    holders = subsets.select("part", "proposal").unionByName(held_by_many).unionByName(held_by_one).groupBy("part").agg(F.count("*").alias("n"))
+    signed = F.when(F.size("part") % 2 == 1, F.col("n")).otherwise(-F.col("n"))
+    counted = subsets.join(holders, "part").groupBy("proposal").agg((F.sum(signed) - 1).alias("others"))
+    paired = many.select("proposal", "source").join(flat.select(F.col("proposal").alias("other"), "source"), "source").filter("proposal <> other").groupBy("proposal").agg(F.count_distinct("other").alias("others"))
+    met = counted.unionByName(paired)
     overlap = single.filter("k = 1").select("proposal", (F.col("n") - 1).alias("others")).unionByName(met)
     same = Window.partitionBy("action", F.array_join(F.array_sort(F.array_distinct("sources")), "|"))
     twice = proposals.select("proposal", (F.count("*").over(same) - 1).alias("others"))

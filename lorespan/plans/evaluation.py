@@ -173,7 +173,9 @@ def _items(s, d):
 
 def p5_memory_candidates(s, d):
     items, sources = _items(s, d)
-    visible = items.select("owner").distinct().crossJoin(F.broadcast(read(s, d, "part").filter("p_partkey % 10 < 7").select(_c("p_partkey").alias("doc_id"), (_c("p_partkey") % 2).alias("revision_id")).groupBy().agg(F.collect_list(F.struct("doc_id", "revision_id")).alias("v")))).select("owner", F.explode("v").alias("x")).select("owner", "x.*")
+    # what an owner may see is asked for the documents of their items only
+    asked = sources.join(items.select("item_id", "owner"), "item_id").select("owner", "doc_id").distinct()
+    visible = asked.join(read(s, d, "part").filter("p_partkey % 10 < 7").select(_c("p_partkey").alias("doc_id"), (_c("p_partkey") % 2).alias("revision_id")), "doc_id")
     return H.memory_candidates(items, sources, visible, F.expr("TIMESTAMP_NTZ '1996-01-01 00:00:00'"), 5).select("owner", "item_id", _c("place").cast("long").alias("place"))
 
 
