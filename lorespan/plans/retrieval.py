@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorespan.operators import ann
 from lorespan.operators import retrieval as R
+from lorespan.operators.answering import answer_search
 from lorespan.shared import shared_dir
 from lorespan.sources.tables import read
 
@@ -75,6 +76,20 @@ def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return R.rank(R.fuse([(lexical, 1.0), (near, 1.0)]), 8).select("query_id", "doc_id", F.col("score").alias("rrf"), "rank")
 
 
+def search_answers(spark: SparkSession, d: str, rounds: int = 2) -> DataFrame:
+    """A whole search, with a reranker that prefers short texts; groups of four documents share a parent."""
+    docs = R.visible(read(spark, d, "documents"), "src1", F.col("lang") == "en")
+    docs = docs.select("doc_id", F.col("doc_id").alias("document"), F.col("source").alias("title"), "text", F.floor(F.col("n_chars") / 4).cast("int").alias("tokens"), F.floor(F.col("doc_id") / 4).alias("parent_id"), (F.col("doc_id") % 900).cast("int").alias("parent_tokens"))
+    v = read(spark, d, "embeddings")
+    asked = v.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    found = answer_search(_queries(spark, d), docs, lambda c: c.select("query_id", "index", (1.0 / (1 + F.length("text"))).alias("score")), v, asked.join(_queries(spark, d).select("query_id"), "query_id", "left_semi"), rounds=rounds)
+    return found.select("query_id", "rank", "doc_id", "rounds")
+
+
+def search_one_round(spark: SparkSession, d: str) -> DataFrame:
+    return search_answers(spark, d, 1)
+
+
 def c1_visible_counts(spark: SparkSession, d: str) -> DataFrame:
     docs = R.visible(read(spark, d, "documents"), "src1", F.col("lang") == "en")
     return docs.groupBy("lang", "source").agg(F.count("*").alias("n_docs"))
@@ -116,6 +131,16 @@ QUERIES = {
         f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM lexical WHERE rank <= 50 UNION ALL SELECT query_id, vec_id, rank FROM near WHERE rank <= 50) GROUP BY ALL),
         r AS (SELECT query_id, doc_id, score AS rrf, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT * FROM r WHERE rank <= 8""",
     ),
+    "search_answers": (search_answers, None),
+    "search_one_round": (
+        search_one_round,
+        f"""WITH seen AS (SELECT * FROM documents WHERE lang = 'en' OR source = 'src1'), {_BM25.replace("FROM documents", "FROM seen")}, {_KNN.replace("FROM qv, embeddings", "FROM qv, embeddings WHERE query_id IN (SELECT item_id FROM benchmark) AND vec_id IN (SELECT doc_id FROM seen)")},
+        h AS (SELECT query_id, doc_id, rank, score, 0 AS v FROM lexical WHERE rank <= 50 UNION ALL SELECT query_id, vec_id, rank, NULL, 1 FROM near WHERE rank <= 50),
+        f AS (SELECT query_id, doc_id, CASE WHEN max(v) = 0 THEN max(score) ELSE round(sum(1.0 / (60 + rank)), 9) END AS score FROM h GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM f),
+        t AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0 / (1 + length(text)), 6) DESC, place) AS rank FROM r JOIN documents USING (doc_id) WHERE place <= 20)
+        SELECT query_id, rank, doc_id, 1 AS rounds FROM t WHERE rank <= 8""",
+    ),
     "c1_visible_counts": (c1_visible_counts, "SELECT lang, source, count(*) AS n_docs FROM documents WHERE lang = 'en' OR source = 'src1' GROUP BY ALL"),
     "q6_ndcg10": (
         q6_ndcg10,
