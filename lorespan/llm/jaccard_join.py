@@ -18,8 +18,9 @@ per band.
 Signatures whose groups have the same members are kept once. Members of a group are first compared with
 its least one, exactly. A group that links leave with several components goes to one task, or to several
 by pairs of blocks, whose bit maps bound every intersection across components from above; what passes is
-compared exactly. So every pair across components is compared or ruled out, rows grow with the
-members of groups and not with their pairs, and copies are never expanded into pairs.
+compared exactly. So every pair across components is compared or ruled out, and copies are never expanded into
+pairs. Up to a block rows grow with the members of groups; of k blocks each is dealt to k tasks, so a group or a
+component of very many different sets makes rows in proportion to its members times its blocks.
 
 Links lie inside components, so the links of each class are counted there: a component is dealt out by
 pairs of blocks, whose tasks intersect whole sets. That takes time in proportion to a component's pairs
