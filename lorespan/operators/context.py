@@ -172,6 +172,7 @@ def claim_budget(claims: DataFrame, limit: int = 2400, title_tokens: int = 120)
                 continue
             seen.add(evidence_id)
             title = title[:title_tokens]
+            # Fixed value: the form of a citation.
             fixed = len(f"citationId={child};reportId={report};reportTitle={title};communityKey={community};claim=;evidenceText=")
             left = limit - used - fixed
             if left <= 1:
@@ -191,7 +192,7 @@ def trim_prompt(parts: DataFrame, cap: int) -> DataFrame:
 
     ``parts``: (query_id, part_id, kind, place, tokens, slots array), tens a query; kinds QUESTION, MEMORY, PARENT, GRAPH, SUMMARY, HISTORY, EVIDENCE. Memory, parents,
     graph context and evidence leave from the last place on, history from the first; evidence whose query slots others still hold
-    leaves before the rest. What is trimmed names the step; parts that stay have an empty name.
+    leaves before the rest. What is trimmed names the step (fixed values); parts that stay have an empty name.
     """
 
     def choose(group: list[tuple]):

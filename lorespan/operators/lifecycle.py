@@ -69,6 +69,7 @@ def closure_status(coverage: DataFrame, orphaned: DataFrame, restricted: DataFra
     total = coverage.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("expected", "projected", "located", "stale")])
     one = lambda df, name: F.broadcast(df.select(F.col("n").alias(name)))
     j = total.crossJoin(one(orphaned, "orphaned")).crossJoin(one(restricted, "restricted")).crossJoin(one(invalid, "invalid"))  # one row each
+    # Codes of blockers.
     blockers = F.array_compact(
         F.array(
             F.when(~F.lit(compatible), F.lit("SOURCE_LOCATOR_SCHEMA_REQUIRED")),

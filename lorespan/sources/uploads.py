@@ -38,6 +38,7 @@ def validate_uploads(files: DataFrame, registry: DataFrame) -> DataFrame:
 
     ``files``: (path, length, content, declared), declared being the media type that came with it. The ending names the format, the declared type
     (null and application/octet-stream tell nothing, but a PDF needs one) must be one of its types, the size within its limit, and the first bytes what the format has.
+    Faults are fixed values.
     """
     from pyspark.sql.types import StringType
 
