@@ -12,6 +12,25 @@ def claimable(jobs: DataFrame, now: Column, n: int) -> DataFrame:
     return jobs.filter(free).orderBy("created", "job_id").limit(n).withColumn("attempt", F.col("attempt") + 1)
 
 
+def claim_jobs(jobs: DataFrame, workers: DataFrame, now: Column, lease: Column, most_attempts: int = 3) -> DataFrame:
+    """All jobs after each worker (worker) has claimed one: the oldest free job goes to the first worker by name, and so on.
+
+    ``jobs``: (job_id, status, created, attempt, lease_owner, lease_until). Free is a job that is pending, or running with a lease that has run out, and has
+    attempts left; a claimed one is RUNNING, one attempt on, owned until ``now`` + ``lease``. A running job whose last attempt's lease
+    has run out is FAILED. Workers are few: as many jobs are ranked.
+    """
+    out = (F.col("status") == "RUNNING") & (F.col("lease_until") < now)
+    last = F.col("attempt") >= most_attempts
+    ranked = workers.select("worker").distinct().withColumn("turn", F.row_number().over(Window.orderBy("worker")))  # a stated, small set
+    oldest = jobs.filter(((F.col("status") == "PENDING") | out) & ~last).orderBy("created", "job_id").limit(ranked.count()).select("job_id", "created")
+    taken = oldest.withColumn("turn", F.row_number().over(Window.orderBy("created", "job_id"))).join(ranked, "turn").select("job_id", "worker")
+    mine = F.col("worker").isNotNull()
+    status = F.when(mine, "RUNNING").when(out & last, "FAILED").otherwise(F.col("status"))
+    return jobs.join(taken, "job_id", "left").select(
+        "job_id", status.alias("status"), "created", F.when(mine, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), F.when(mine, F.col("worker")).otherwise(F.col("lease_owner")).alias("lease_owner"), F.when(mine, now + lease).otherwise(F.col("lease_until")).alias("lease_until")
+    )
+
+
 def after_failure(attempt: Column, most: int) -> Column:
     """The status after a failed attempt."""
     return F.when(attempt < most, "PENDING").otherwise("FAILED")

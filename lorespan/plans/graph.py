@@ -115,6 +115,12 @@ QUERIES = {
         lambda s, d: L.claimable(_jobs(s, d), F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'"), 20).select("job_id", "attempt"),
         "SELECT event_id AS job_id, user_id % 3 + 1 AS attempt FROM events WHERE event_type = 'view' OR (event_type = 'click' AND ts + INTERVAL 5 MINUTES < TIMESTAMP '2024-01-20 00:00:00') ORDER BY ts, event_id LIMIT 20",
     ),
+    "r1_claimed_jobs": (
+        lambda s, d: L.claim_jobs(_jobs(s, d).withColumn("lease_owner", F.lit(None).cast("string")), read(s, d, "supplier").select(_c("s_name").alias("worker")), F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'"), F.expr("INTERVAL 5 MINUTES"), 2).filter("lease_owner IS NOT NULL OR status = 'FAILED'").select("job_id", "status", "attempt", "lease_owner"),
+        """WITH j AS (SELECT event_id AS job_id, ts, user_id % 3 AS attempt, event_type = 'click' AND ts + INTERVAL 5 MINUTES < TIMESTAMP '2024-01-20 00:00:00' AS late, event_type = 'view' AS pending FROM events),
+        f AS (SELECT *, row_number() OVER (ORDER BY ts, job_id) AS turn FROM j WHERE (pending OR late) AND attempt < 2), w AS (SELECT s_name, row_number() OVER (ORDER BY s_name) AS turn FROM supplier)
+        SELECT job_id, 'RUNNING' AS status, attempt + 1 AS attempt, s_name AS lease_owner FROM f JOIN w USING (turn) UNION ALL SELECT job_id, 'FAILED', attempt, NULL FROM j WHERE late AND attempt >= 2""",
+    ),
     "r3_retry": (lambda s, d: _jobs(s, d).groupBy(L.after_failure(_c("attempt"), 2).alias("status")).agg(F.count("*").alias("n")), "SELECT CASE WHEN user_id % 3 < 2 THEN 'PENDING' ELSE 'FAILED' END AS status, count(*) AS n FROM events GROUP BY ALL"),
     "r4_projection_sync": (
         lambda s, d: L.stale_projection(read(s, d, "documents").select("doc_id", _c("n_chars").alias("v")), read(s, d, "labels").select("doc_id", (_c("quality") * 2000).cast("long").alias("v")), "doc_id", "v"),
