@@ -60,18 +60,25 @@ def point_to(spark: SparkSession, path: str, number: int, target: dict[str, str]
     spark.createDataFrame([(json.dumps(target),)], "target string").coalesce(1).write.mode("overwrite").text(f"{path}/number={number}")
 
 
-def newest_pointer(spark: SparkSession, path: str) -> tuple[int, dict[str, str]] | None:
-    """Number and target of the newest whole pointer; None before the first."""
+def whole_folders(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Numbers and paths of the folders name=number under a path that were written to their end, ascending."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path
     place = jvm_path(path)
     files = place.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(place):
-        return None
-    whole = [f.getPath() for f in files.listStatus(place) if files.exists(jvm_path(f.getPath(), "_SUCCESS"))]
-    if not whole:
-        return None
-    number, last = max((int(p.getName().split("=")[1]), p.toString()) for p in whole)
-    return number, json.loads(spark.read.text(last).first()[0])
+        return []
+    found = [f.getPath() for f in files.listStatus(place) if f.isDirectory()]
+    return sorted((int(p.getName().split("=")[1]), p.toString()) for p in found if "=" in p.getName() and files.exists(jvm_path(p, "_SUCCESS")))
+
+
+def newest_pointer(spark: SparkSession, path: str) -> tuple[int, dict[str, str]] | None:
+    """Number and target of the newest whole pointer; None before the first."""
+    whole = whole_folders(spark, path)
+    return (whole[-1][0], read_pointer(spark, whole[-1][1])) if whole else None
+
+
+def read_pointer(spark: SparkSession, folder: str) -> dict[str, str]:
+    return json.loads(spark.read.text(folder).first()[0])
 
 
 def publish(spark: SparkSession, path: str, generation: int) -> None:

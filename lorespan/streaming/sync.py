@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespan.shared import shared_dir
-from lorespan.sources.tables import newest_pointer, point_to
+from lorespan.sources.tables import newest_pointer, point_to, read_pointer, whole_folders
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -22,14 +22,20 @@ def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def drain(changes: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is, once, and read the result back."""
+    """Run a stream over what there is, once, and read the result back.
+
+    In complete mode each batch is a folder of its own and the newest whole one is read, so a batch that is cut off leaves the one before.
+    """
     spark = changes.sparkSession
     out, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
     if mode == "append":
         query = changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     else:
-        query = changes.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query = changes.writeStream.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
+    if mode != "append":
+        whole = whole_folders(spark, out)
+        return spark.read.schema(changes.schema).parquet(whole[-1][1]) if whole else spark.createDataFrame([], changes.schema)
     return spark.read.schema(changes.schema).parquet(out)
 
 
@@ -82,3 +88,28 @@ def read_index(spark: SparkSession, index_path: str, schema) -> DataFrame:
     if not found:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(*sorted(found[1].values()))
+
+
+def sweep_index(spark: SparkSession, index_path: str, keep: int = 2) -> int:
+    """Delete the slices that none of the ``keep`` newest pointers names, and older pointers; how many slices went.
+
+    Slices of batches beyond the newest pointer stay: their batch may be at work. Readers of one of the kept pointers lose nothing.
+    """
+    pointers = whole_folders(spark, f"{index_path}/pointers")
+    if not pointers:
+        return 0
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = jvm_path(index_path).getFileSystem(spark._jsc.hadoopConfiguration())
+    plain = lambda p: jvm_path(p).toUri().getPath()
+    named = {plain(p) for _, folder in pointers[-keep:] for p in read_pointer(spark, folder).values()}
+    gone = 0
+    for number, folder in whole_folders(spark, index_path):
+        if number > pointers[-1][0]:
+            continue
+        for f in files.listStatus(jvm_path(folder)):
+            if f.isDirectory() and plain(f.getPath().toString()) not in named:
+                files.delete(f.getPath(), True)
+                gone += 1
+    for _, folder in pointers[:-keep]:
+        files.delete(jvm_path(folder), True)
+    return gone
