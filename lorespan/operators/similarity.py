@@ -7,19 +7,34 @@ from pyspark.sql import functions as F
 
 from lorespan.functions.text import answer_text, words
 
+
+def _segments(n: Column, k: Column) -> Column:
+    """Places (from 1) and sizes of k + 1 segments of a name of n characters, as even as can be; one of no size if it has too few characters."""
+    base, rest = F.floor(n / (k + 1)), n % (k + 1)
+    long = k + 1 - rest  # the first segment that has one character more
+    made = F.transform(F.sequence(F.lit(0).cast("long"), k), lambda i: F.struct(i.alias("i"), (i * base + F.greatest(i - long, F.lit(0).cast("long")) + 1).cast("int").alias("at"), (base + F.when(i >= long, 1).otherwise(0)).cast("int").alias("size")))
+    return F.when(base > 0, made).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(1).alias("at"), F.lit(0).alias("size"))))
+
+
 def name_pairs(names: DataFrame, least: float) -> DataFrame:
     """Pairs of names with one first letter, lengths at most 3 apart and that Levenshtein similarity.
 
-    Blocks are (first letter, length); a name meets blocks of its own and the next three lengths, so each pair
-    is made once and no block is compared with all others.
+    A similarity allows so many edits k of the longer name; of k + 1 segments of the shorter one at least one stands in the longer,
+    at most k places away. So names meet by first letter, both lengths, and such a segment, and what meets is measured; only names of
+    too few characters for k + 1 segments meet all others of their letter and lengths.
     """
-    keyed = names.select("name", F.substring("name", 1, 1).alias("c"), F.length("name").alias("n"))
-    left = keyed.select(F.col("name").alias("a"), "c", F.explode(F.sequence(F.col("n"), F.col("n") + 3)).alias("n"), F.col("n").alias("na"))
-    right = keyed.select(F.col("name").alias("b"), "c", "n")
+    keyed = names.select("name").filter(F.length("name") > 0).distinct().select("name", F.substring("name", 1, 1).alias("c"), F.length("name").cast("long").alias("n"))
+    edits = F.floor(F.lit(1 - least) * F.col("n2") + 1e-9)
+    short = keyed.select(F.col("name").alias("a"), "c", F.col("n").alias("n1"), F.explode(F.sequence(F.col("n"), F.col("n") + 3)).alias("n2"))
+    short = short.select("a", "c", "n1", "n2", F.explode(_segments(F.col("n1"), edits)).alias("s")).select("a", "c", "n1", "n2", "s.i", F.substr("a", F.col("s.at"), F.col("s.size")).alias("part"))
+    long = keyed.select(F.col("name").alias("b"), "c", F.col("n").alias("n2"), F.explode(F.sequence(F.greatest(F.col("n") - 3, F.lit(1).cast("long")), F.col("n"))).alias("n1")).withColumn("k", edits)
+    long = long.select("b", "c", "n1", "n2", "k", F.explode(_segments(F.col("n1"), F.col("k"))).alias("s"))
+    near = F.sequence(F.greatest(F.col("s.at") - F.col("k"), F.lit(1).cast("long")), F.greatest(F.least(F.col("s.at") + F.col("k"), F.col("n2") - F.col("s.size") + 1), F.lit(1).cast("long")))
+    places = F.when(F.col("s.size") > 0, F.array_distinct(F.transform(near, lambda at: F.substr("b", at.cast("int"), F.col("s.size"))))).otherwise(F.array(F.lit("")))
+    long = long.select("b", "c", "n1", "n2", "s.i", F.explode(places).alias("part"))
+    met = short.join(long, ["c", "n1", "n2", "i", "part"]).filter((F.col("n1") < F.col("n2")) | (F.col("a") < F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     similarity = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
-    pairs = left.join(right, ["c", "n"]).filter((F.col("na") < F.col("n")) | (F.col("a") < F.col("b")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.withColumn("similarity", F.round(similarity, 6)).filter(similarity >= least)
+    return met.withColumn("similarity", F.round(similarity, 6)).filter(similarity >= least)
 
 
 def token_f1(pairs: DataFrame) -> DataFrame:

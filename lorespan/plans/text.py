@@ -169,6 +169,10 @@ QUERIES = {
         "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) SELECT doc_id, count(*) FILTER (w <> '' AND try_cast(replace(w, ',', '') AS DOUBLE) IS NOT NULL) AS numbers FROM w GROUP BY doc_id",
     ),
     "i31_concise": (_lazy("documents", lambda: ["doc_id", T.concise(_t(), 80).alias("short")]), "SELECT doc_id, left(trim(text), 80) AS short FROM documents"),
+    "d12_similar_names": (
+        lambda spark, d: S.name_pairs(read(spark, d, "part").select(F.col("p_name").alias("name")), 0.6),
+        "WITH n AS (SELECT DISTINCT p_name AS n FROM part), p AS (SELECT a.n AS a, b.n AS b, 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) AS s FROM n a JOIN n b ON a.n < b.n AND left(a.n, 1) = left(b.n, 1) AND abs(length(a.n) - length(b.n)) <= 3) SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.6",
+    ),
     "i11_near_words": (
         lambda spark, d: (lambda w: N.near_words(w.select(F.col("w").alias("a")), w.select(F.col("w").alias("b"))).filter("a < b"))(read(spark, d, "part").select(F.explode(F.split(F.concat_ws(" ", F.lower("p_name"), F.lower("p_type")), " ")).alias("w"))),
         "WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part) SELECT a.w AS a, b.w AS b, CAST(damerau_levenshtein(a.w, b.w) AS INTEGER) AS distance FROM w a JOIN w b ON a.w < b.w AND left(a.w, 1) = left(b.w, 1) AND damerau_levenshtein(a.w, b.w) <= 1",

@@ -73,3 +73,23 @@ def test_scan_of_aliases(spark):
     # entity 10 matches by two aliases: its evidence is the larger, its documents those of both; 11 is third and cut
     assert rows == [(1, 1, 10, "Who", "EXACT_ALIAS", 0, 1.0, 2, [7, 8]), (1, 2, 13, "Who", "EXACT_ALIAS", 0, 1.0, 2, [7]), (2, 1, 12, "made", "EXACT_ALIAS", 0, 1.0, 1, [9])]
     assert {tuple(r) for r in outcomes.collect()} == {(1, "MEASURED", 3, True), (2, "MEASURED", 1, False), (3, "MEASURED", 0, False), (4, N.TOO_MANY_ALIASES, 0, False)}
+
+
+def test_similar_names_equal_all_pairs(spark):
+    from lorespan.operators import similarity as S
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    rng = random.Random(7)
+    names = sorted(set(words(rng, 120, "abé", 8) + words(rng, 60, "abcd", 14)))
+    df = spark.createDataFrame([(n,) for n in names] + [("",), (None,), (names[0],)], "name string").repartition(3)
+    for least in (0.5, 0.7, 0.9):
+        want = {(a, b, round(v, 6)) for i, a in enumerate(names) for b in names[i + 1 :] if a[0] == b[0] and abs(len(a) - len(b)) <= 3 and (v := 1 - edits(a, b) / max(len(a), len(b))) >= least}
+        assert {(r.a, r.b, r.similarity) for r in S.name_pairs(df, least).collect()} == want
+    assert "NestedLoop" not in S.name_pairs(df, 0.7)._jdf.queryExecution().toString()
