@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespan.operators.greedy import by_group
 from lorespan.operators.relational import either_endpoint
+from lorespan.shared import discard, materialize
 
 # Most entities, relations, aliases and mentions of an extraction, claims of a report, nodes and edges of a view.
 ENTITIES, RELATIONS, ALIASES, MENTIONS, CLAIMS, NODES, EDGES = 200, 400, 50, 100, 8, 20, 40
@@ -97,21 +98,25 @@ def entity_details(entities: DataFrame, aliases: DataFrame, mentions: DataFrame,
 def subgraph_views(edges: DataFrame, roots: DataFrame, hops: int = 2, nodes: int = NODES, most_edges: int = EDGES) -> DataFrame:
     """(root, relation, a, b, depth, truncated): the edges around each root, in layers, within caps.
 
-    ``edges``: (relation, a, b, pieces); ``roots``: (root). A layer looks at the ``most_edges`` + 1 edges of its frontier with most pieces, then by relation, and
+    ``edges``: (relation, a, b, pieces), a row a relation; ``roots``: (root). A layer looks at the ``most_edges`` + 1 edges of its frontier with most pieces, then by relation, and
     takes them in order: an edge is left out if it would add a node beyond ``nodes``, and a layer ends at ``most_edges``; either, or
     a further edge, marks the view as truncated. Frontiers and layers are joins for all roots at once; only the choice among a root's
     few candidates is made one after the other. A root without edges has no row.
     """
-    near = either_endpoint(edges.select("relation", "a", "b", "pieces"), "a", "b").select("node", "relation", "pieces", "other")
-    columns = ["root", "rank", "depth", "node", "relation", "first", "truncated"]
-    kinds = {"root": roots.schema["root"], "node": edges.schema["a"], "relation": edges.schema["relation"]}
+    near = either_endpoint(edges.select("relation", "a", "b", "pieces"), "a", "b").select("node", "relation", "pieces", "other", "direction")
+    # what is among the first of a frontier is among the first of one of its nodes, so a hub joins with as many edges as a layer looks at
+    foremost = F.dense_rank().over(Window.partitionBy("node").orderBy(F.col("pieces").desc(), "relation"))
+    near = materialize(near.withColumn("n", foremost).filter(F.col("n") <= most_edges + 1).drop("n"), "near")
+    columns = ["root", "rank", "depth", "node", "relation", "first", "truncated", "a", "b"]
+    kinds = {"root": roots.schema["root"], "node": edges.schema["a"], "relation": edges.schema["relation"], "a": edges.schema["a"], "b": edges.schema["b"]}
     types = {k: v.dataType.simpleString() for k, v in kinds.items()} | {"depth": "int", "first": "boolean", "truncated": "boolean"}
     schema = ", ".join(f"{c} {types[c]}" for c in columns if c != "rank")
     state, frontier = None, roots.select("root", F.col("root").alias("node")).distinct()
     for depth in range(1, hops + 1):
-        touched = frontier.join(near, "node").groupBy("root", "relation").agg(F.max("pieces").alias("pieces"), F.min(F.struct("node", "other")).alias("e"))
+        touched = frontier.join(near, "node").groupBy("root", "relation").agg(F.max("pieces").alias("pieces"), F.min(F.struct("node", "other", "direction")).alias("e"))
         ranked = touched.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy(F.col("pieces").desc(), "relation"))).filter(F.col("rank") <= most_edges + 1)
-        rows = ranked.select("root", "rank", F.lit(depth).alias("depth"), F.col("e.other").alias("node"), "relation", F.lit(False).alias("first"), F.lit(False).alias("truncated"))
+        out = F.col("e.direction") == "OUT"
+        rows = ranked.select("root", "rank", F.lit(depth).alias("depth"), F.col("e.other").alias("node"), "relation", F.lit(False).alias("first"), F.lit(False).alias("truncated"), F.when(out, F.col("e.node")).otherwise(F.col("e.other")).alias("a"), F.when(out, F.col("e.other")).otherwise(F.col("e.node")).alias("b"))
         rows = rows if state is None else state.withColumn("rank", F.lit(0)).select(*columns).unionByName(rows)
 
         def choose(group: list[tuple]) -> list[tuple]:
@@ -122,7 +127,7 @@ def subgraph_views(edges: DataFrame, roots: DataFrame, hops: int = 2, nodes: int
             new: list[tuple] = []
             if not known or (len(found) < nodes and len(taken) < most_edges):
                 cut |= len(group) - len(known) > most_edges
-                for root, _, depth, node, relation, _, _ in (g for g in group if g[1] > 0):
+                for root, _, depth, node, relation, _, _, a, b in (g for g in group if g[1] > 0):
                     if relation in taken:
                         continue
                     if node not in found and len(found) >= nodes:
@@ -131,11 +136,14 @@ def subgraph_views(edges: DataFrame, roots: DataFrame, hops: int = 2, nodes: int
                     if len(taken) >= most_edges:
                         cut = True
                         break
-                    new.append((root, depth, node, relation, node not in found))
+                    new.append((root, depth, node, relation, node not in found, a, b))
                     found.add(node)
                     taken.add(relation)
-            return [(*(g[0], *g[2:6]), cut) for g in known] + [(*n, cut) for n in new]
+            return [(g[0], *g[2:6], cut, *g[7:]) for g in known] + [(*n[:5], cut, *n[5:]) for n in new]
 
-        state = by_group(rows, "root", ["rank", "relation"], columns, choose, schema)
+        before, state = state, materialize(by_group(rows, "root", ["rank", "relation"], columns, choose, schema), "views")
+        if before is not None:
+            discard(before)
         frontier = state.filter("first").filter(F.col("depth") == depth).select("root", "node")
-    return state.join(edges.select("relation", "a", "b"), "relation").select("root", "relation", "a", "b", "depth", "truncated")
+    discard(near)
+    return state.select("root", "relation", "a", "b", "depth", "truncated")
