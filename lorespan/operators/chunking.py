@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespan.operators.greedy import by_group
-from lorespan.operators.parsing import child_windows, markdown_blocks
+from lorespan.operators.parsing import child_windows, in_frames, markdown_blocks
 
 PARENT_TOKENS, CHILD_TOKENS, OVERLAP = 1200, 300, 40
 Block = tuple[int, str, tuple[str, ...], str]  # order, kind, heading path, text
@@ -83,9 +83,9 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = (parent_tokens, child_tokens, overlap)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [r for i, t in zip(f["id"].tolist(), f["text"].tolist(), strict=True) if t for r in _rows(i, heading_paths(cut(t)), sizes)]
-            yield pd.DataFrame(rows, columns=names).astype({"child": "Int32"})
+        rows = (r for f in frames for i, t in zip(f["id"].tolist(), f["text"].tolist(), strict=True) if t for r in _rows(i, heading_paths(cut(t)), sizes))
+        for made in in_frames(rows, names):
+            yield made.astype({"child": "Int32"})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, {_CHUNK}")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from lorespan.functions.text import heading_depth, nfkc, pdf_heading_depth
 
+#: Rows and characters of a frame that a task gives back.
+FRAME_ROWS, FRAME_CHARS = 2_000, 2_000_000
 _LIST = r"^\s*([-*•]|\d+[.)])\s+\S"
 
 
@@ -216,11 +218,24 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return lines.select("doc_id", "page", "line", F.when(depth > 0, "HEADING").otherwise("PARAGRAPH").alias("kind"), depth.cast("int").alias("depth"), "text")
 
 
+def in_frames(rows: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows in frames of FRAME_ROWS at most, or about FRAME_CHARS characters, so that a task holds what few texts give and not what a batch of them gives."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, str))
+        if len(held) >= FRAME_ROWS or size >= FRAME_CHARS:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def _blocks(frame: DataFrame, id_col: str, text_col: str, cut, names: tuple[str, ...], schema: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            made = [(i, n, *b) for i, t in zip(f["id"].tolist(), f["text"].tolist(), strict=True) if t for n, b in enumerate(cut(t))]
-            yield pd.DataFrame(made, columns=["id", "block", *names])
+        rows = ((i, n, *b) for f in frames for i, t in zip(f["id"].tolist(), f["text"].tolist(), strict=True) if t for n, b in enumerate(cut(t)))
+        return in_frames(rows, ["id", "block", *names])
 
     return frame.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {frame.schema[id_col].dataType.simpleString()}, block int, {schema}")
 
