@@ -9,6 +9,7 @@ from lorespan.operators import context as C
 from lorespan.operators import graph as G
 from lorespan.operators import lifecycle as L
 from lorespan.operators import relational as X
+from lorespan.shared import spread
 from lorespan.sources.tables import read
 
 _c = F.col
@@ -16,7 +17,8 @@ _c = F.col
 
 def _trade(s, d):
     """Edges part - supplier, weighted by lines; suppliers are numbered below zero."""
-    return read(s, d, "lineitem").groupBy(_c("l_partkey").alias("a"), (-1 - _c("l_suppkey")).alias("b")).agg(F.count("*").alias("weight"))
+    lines = read(s, d, "lineitem")
+    return spread(lines.select(_c("l_partkey").alias("a"), (-1 - _c("l_suppkey")).alias("b")), lines.count(), "a").groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
 _TRADE = "trade AS (SELECT l_partkey AS a, -1 - l_suppkey AS b, count(*) AS weight FROM lineitem GROUP BY ALL)"
