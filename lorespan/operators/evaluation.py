@@ -201,16 +201,18 @@ def fact_contract(facts: DataFrame, corpus: DataFrame, canonical) -> DataFrame:
     """
     j = facts.join(corpus, "evidence_key", "left")
     own = canonical(F.get("sentences", F.col("sentence_id")))
-    same = Window.partitionBy("case_id", "evidence_key", "sentence_id").orderBy("ordinal")
-    place = F.row_number().over(Window.partitionBy("case_id").orderBy("ordinal"))
-    fault = (
+    alone = (
         F.when(F.col("sentences").isNull(), F.lit("ABSENT"))
         .when((F.col("sentence_id") < 0) | (F.col("sentence_id") >= F.size("sentences")), F.lit("OUTSIDE"))
         .when((canonical(F.col("sentence")) == "") | ~own.eqNullSafe(canonical(F.col("sentence"))), F.lit("DIFFERS"))
-        .when(F.row_number().over(same) > 1, F.lit("DUPLICATE"))
-        .when(F.col("ordinal") != place - 1, F.lit("GAP"))
     )
-    return j.select("case_id", "ordinal", fault.alias("fault")).filter("fault IS NOT NULL")
+    # a fact is held against its corpus before facts are placed, so that no text and no corpus is shuffled again with each fact
+    judged = j.select("case_id", "ordinal", "evidence_key", "sentence_id", alone.alias("alone"))
+    same = Window.partitionBy("case_id", "evidence_key", "sentence_id").orderBy("ordinal")
+    # dealt by case alone, both windows find their rows where they lie
+    placed = judged.repartition("case_id").withColumn("same", F.row_number().over(same)).withColumn("place", F.row_number().over(Window.partitionBy("case_id").orderBy("ordinal")))
+    fault = F.coalesce("alone", F.when(F.col("same") > 1, F.lit("DUPLICATE")).when(F.col("ordinal") != F.col("place") - 1, F.lit("GAP")))
+    return placed.select("case_id", "ordinal", fault.alias("fault")).filter("fault IS NOT NULL")
 
 
 def metric_deltas(first: DataFrame, second: DataFrame) -> DataFrame:
