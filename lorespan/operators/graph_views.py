@@ -87,6 +87,8 @@ def entity_details(entities: DataFrame, aliases: DataFrame, mentions: DataFrame,
     docs = visible.select("doc_id").distinct()
     seen = mentions.join(docs, "doc_id", "left_semi")
     ends = either_endpoint(relations.join(docs, "doc_id", "left_semi").groupBy("relation", "a", "b", "type").agg(F.count(F.lit(1)).alias("pieces")), "a", "b").withColumnRenamed("node", "entity")
+    # ends that no entity is asked for are not placed
+    ends = ends.join(entities.select("entity"), "entity", "left_semi")
     known = first(aliases.select("entity", "alias").distinct(), ["alias"], ["alias"], "aliases").drop("aliases_count")
     said = first(seen, ["doc_id", "place"], ["doc_id", "place", "text"], "mentions").withColumnRenamed("mentions_count", "mention_count")
     tied = first(ends, [F.col("pieces").desc(), "relation"], ["relation", "type", "direction", "other", "pieces"], "relations").withColumnRenamed("relations_count", "relation_count")

@@ -26,10 +26,10 @@ def running_before(df: DataFrame, keys: list[str], order: list[Column], value: s
 
 
 def either_endpoint(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Each edge once from either end, by a union of two selects and no disjunctive join."""
+    """Each edge once from either end, in one pass over the edges and by no disjunctive join."""
     rest = [c for c in edges.columns if c not in (a, b)]
-    out = edges.select(F.col(a).alias("node"), F.col(b).alias("other"), F.lit("OUT").alias("direction"), *rest)
-    return out.unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"), F.lit("IN").alias("direction"), *rest))
+    end = lambda node, other, direction: F.struct(F.col(node).alias("node"), F.col(other).alias("other"), F.lit(direction).alias("direction"))
+    return edges.select(F.explode(F.array(end(a, b, "OUT"), end(b, a, "IN"))).alias("end"), *rest).select("end.node", "end.other", "end.direction", *rest)
 
 
 def nearest_rank(value: str, p: float) -> Column:
