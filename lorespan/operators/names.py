@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from lorespan.functions.text import entity_name, nfkc_plain
+from lorespan.operators.retrieval import BROADCAST_BYTES
+from lorespan.shared import spread
 
 # Words without a letter in an acronym.
 LINK_WORDS = ("a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
@@ -131,7 +133,8 @@ def match_aliases(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     ways, compact windows and acronyms for theirs, words with a character or two left out for fuzzy ones, so aliases and queries are never
     compared all with all; aliases that are not of ASCII words meet the queries' odd character pairs.
     """
-    q = queries.select("query_id", nfkc_plain(F.col("text")).alias("text")).withColumn("words", name_words(F.col("text"), QUERY_WORDS)).withColumn("windows", compact_windows(F.col("words")))
+    # a query meets aliases by tens of keys
+    q = spread(queries.select("query_id", "text"), queries.count() * QUERY_WORDS, "query_id").select("query_id", nfkc_plain(F.col("text")).alias("text")).withColumn("words", name_words(F.col("text"), QUERY_WORDS)).withColumn("windows", compact_windows(F.col("words")))
     a = aliases.select("alias_id", nfkc_plain(F.col("alias")).alias("alias")).withColumn("ws", name_words(F.col("alias"))).withColumn("acronym", acronym(F.col("alias")))
     latin = "^[a-z]{5,64}$"
     # word keys: the first word of an alias of ASCII words stands in the query; others share an odd pair of characters, or are the query
@@ -151,7 +154,9 @@ def match_aliases(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     )
     keyed_q = q.withColumn("key", F.explode(F.array_distinct(F.concat(q_keys, fuzzy_of(F.col("words"), 6)))))
     keyed_a = a.withColumn("key", F.explode(F.array_distinct(F.concat(a_keys, F.when(F.size("ws") == 1, fuzzy_of(F.col("ws"), 8)).otherwise(F.array().cast("array<string>"))))))
-    met = keyed_q.join(keyed_a, "key").select("query_id", "text", "words", "windows", "alias_id", "alias", "ws", "acronym").dropDuplicates(["query_id", "alias_id"])
+    # queries with all their keys are never broadcast, aliases only if they are few
+    size = keyed_a.agg(F.coalesce(F.sum(F.octet_length("key") + 2 * F.octet_length("alias") + 128), F.lit(0))).first()[0]
+    met = keyed_q.join(F.broadcast(keyed_a) if size <= BROADCAST_BYTES else keyed_a.hint("merge"), "key").select("query_id", "text", "words", "windows", "alias_id", "alias", "ws", "acronym").dropDuplicates(["query_id", "alias_id"])
     in_row = (F.size("ws") > 1) & F.contains(F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" ")))
     compact = F.array_join("ws", "")
     mode = (
