@@ -8,7 +8,7 @@ untouched (null ids too) and repeated rows each get their own result row.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,22 +16,38 @@ from pyspark.sql import functions as F
 
 from lorespan.shared import discard, materialize, shared_dir
 
-__all__ = ["BATCH_BYTES", "bounded_batches", "discard", "map_texts", "materialize", "read_bytes", "shared_dir", "slices", "table"]
+__all__ = ["BATCH_BYTES", "ROW_BATCH_BYTES", "bounded_batches", "discard", "map_texts", "materialize", "read_bytes", "remembered", "shared_dir", "slices", "table"]
 
 #: Bytes of text that one call of a per-batch function gets to see, unless one text alone is larger.
 BATCH_BYTES = 16 << 20
+#: Bytes of an Arrow batch beside which whole rows wait for what a function of their texts returns.
+ROW_BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Limit Arrow batches by bytes, so that very long texts do not share one batch with thousands of rows.
+_remembered: dict = {}
+
+
+def remembered(key: Hashable, make: Callable[[], object]):
+    """What this worker remembers under ``key``, made if it isn't there.
+
+    One thing is kept at a time: workers outlive a stage, so the words of several operators would add up.
+    """
+    if key not in _remembered:
+        _remembered.clear()
+        _remembered[key] = make()
+    return _remembered[key]
+
+
+def bounded_batches(spark: SparkSession, most: int = 2 * BATCH_BYTES) -> None:
+    """Limit Arrow batches to ``most`` bytes, so that very long texts do not share one batch with thousands of rows.
 
     Spark reads this setting when the plan runs, after the operator has returned, so it stays set in the session.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def slices(batches: Iterable[pa.RecordBatch], text_index: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -13,6 +13,8 @@ import sys
 import unicodedata
 from array import array
 
+from lorespan.llm.common import remembered
+
 #: White space other than space and newline; texts with it go to the library whole.
 _ODD_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _ODD_WIDE = frozenset("\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff") | frozenset(map(chr, range(0x2000, 0x2010)))
@@ -105,13 +107,6 @@ class Encoder:
         return self._library(text)
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def encoder(tokenizer_json: bytes) -> Encoder:
     """The worker's encoder for a tokenizer file; one is kept at a time."""
-    key = hash(tokenizer_json)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(tokenizer_json)
-    return _encoders[key]
+    return remembered(("encoder", hash(tokenizer_json)), lambda: Encoder(tokenizer_json))

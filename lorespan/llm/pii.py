@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import map_texts, table
+from lorespan.llm.common import ROW_BATCH_BYTES, bounded_batches, map_texts, table
 
 # Kinds in the order in which they are listed, schemes, cues.
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account")
@@ -190,6 +190,8 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str |
     """
     from pyspark.sql.functions import pandas_udf
 
+    bounded_batches(docs.sparkSession, ROW_BATCH_BYTES)
+
     @pandas_udf("string")
     def clean(texts):
         finder = _shared()

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import discard, map_texts, materialize, table
+from lorespan.llm.common import ROW_BATCH_BYTES, bounded_batches, discard, map_texts, materialize, remembered, table
 from lorespan.llm.learning import fold, labelled_sample, sigmoid
 
 BUCKETS = 1 << 18
@@ -28,7 +28,10 @@ EPOCHS = 30
 RATE = 1.0
 #: Standard errors by which a row must differ between the classes, and the rows kept at least.
 LEAST_Z, FEWEST_ROWS = 5.0, 200
-CACHE_ENTRIES = 1_000_000
+#: Words that a worker remembers while it scores, about.
+CACHE_ENTRIES = 400_000
+#: Words whose rows a worker remembers while it makes bags.
+BAG_ENTRIES = 100_000
 _WORDS = re.compile(r"\w+")
 
 
@@ -42,7 +45,7 @@ def subwords(word: str) -> list[int]:
 
 class _Bags(dict):
     def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= CACHE_ENTRIES // 4:
+        if len(self) >= BAG_ENTRIES:
             self.clear()
         rows = np.array(subwords(word), dtype=np.int32)
         self[word] = rows
@@ -145,20 +148,26 @@ class ToxicityModel:
 
 
 class _Memo(dict):
+    """word -> its amount. When half of CACHE_ENTRIES are held they are set aside, and those met again come back."""
+
     def __init__(self, model: ToxicityModel):
         super().__init__()
-        self.model = model
+        self.model, self.aside = model, {}
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = self.model.word(word)
+        value = self.aside.get(word)
+        if value is None:
+            value = self.model.word(word)
         if len(word) <= 64:
+            if len(self) >= CACHE_ENTRIES // 2:
+                self.aside = dict(self)
+                self.clear()
             self[word] = value
         return value
 
 
-_memos: dict[int, _Memo] = {}
+def _memo(model: ToxicityModel) -> _Memo:
+    return remembered(("toxicity", model.key), lambda: _Memo(model))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held_out: int = 0, sample: dict[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
@@ -204,27 +213,24 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """doc_id and score (0 to 1) of every whole text; null, empty and wordless texts score the bias alone."""
 
     def compute(texts: list[str]) -> list:
-        if model.key not in _memos:
-            _memos.clear()
-            _memos[model.key] = _Memo(model)
-        return [[model.score(t, _memos[model.key]) for t in texts]]
+        memo = _memo(model)
+        return [[model.score(t, memo) for t in texts]]
 
     return map_texts(docs, compute, [("score", "double")], id_col, text_col)
 
 
 def remove_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` without those that score ``threshold`` or more; all columns kept as they are."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("t"))
     from pyspark.sql.functions import pandas_udf
 
+    bounded_batches(docs.sparkSession, ROW_BATCH_BYTES)
+
     @pandas_udf("double")
     def score(texts):
-        if model.key not in _memos:
-            _memos.clear()
-            _memos[model.key] = _Memo(model)
-        return texts.map(lambda t: model.score(t or "", _memos[model.key])).astype(float)
+        memo = _memo(model)
+        return texts.map(lambda t: model.score(t or "", memo)).astype(float)
 
-    return packed.filter(score(F.col("t").cast("string")) < threshold).select("row.*")
+    return docs.filter(score(F.col(f"`{text_col}`").cast("string")) < threshold)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,3 +123,23 @@ def test_quality_on_held_out_rows(spark):
     held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert np.mean([(got[i] >= 0.7) == (i % 3 != 0) for i in held]) > 0.9
     assert got[1000] == got[1001] and all(0 <= s <= 1 for s in got.values())
+
+
+def test_a_worker_remembers_little_of_toxicity(spark, monkeypatch):
+    """Check of the pipeline, round 3: words of several operators added up in a worker, beside batches of 32 MB and rows that held their text twice."""
+    import public_tokenizers
+
+    from lorespan.llm import common, encoding
+
+    model = toxicity.ToxicityModel(np.arange(toxicity.BUCKETS, dtype=np.float32), 0.0)
+    encoding.encoder(common.read_bytes(public_tokenizers.path("byte_bpe_50k.json")))
+    memo = toxicity._memo(model)
+    assert toxicity._memo(model) is memo and list(common._remembered) == [("toxicity", model.key)]
+    monkeypatch.setattr(toxicity, "CACHE_ENTRIES", 20)
+    words = [f"word{i * i % 37}" for i in range(300)]
+    assert [memo[w] for w in words] == [model.word(w) for w in words]
+    assert len(memo) + len(memo.aside) <= 20
+    docs = spark.createDataFrame([(1, "a", "x"), (2, None, "y")], "doc_id long, text string, row string")
+    kept = toxicity.remove_toxic(docs, toxicity.ToxicityModel(np.zeros(toxicity.BUCKETS, np.float32), -1.0))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    assert sorted(map(tuple, kept.collect())) == [(1, "a", "x"), (2, None, "y")]
