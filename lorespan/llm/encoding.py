@@ -9,6 +9,7 @@ token's string in it, goes to the library whole.
 from __future__ import annotations
 
 import json
+import re
 import sys
 import unicodedata
 from array import array
@@ -22,6 +23,8 @@ _ODD_WIDE = frozenset("\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
 _SYMBOLS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
+#: What the pre-tokeniser that drops white space makes of lower-cased characters below U+0100: runs of letters, single digits, runs of others.
+_PIECES = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
 #: Distinct chunks that a worker remembers before it starts anew.
 CACHE_ENTRIES = 700_000
 
@@ -75,18 +78,20 @@ class Encoder:
     def _bare(self, word: str) -> bytes:
         return self._split(word, "")
 
-    def _letters(self, word: str, lead: str) -> bytes:
-        """Ids of letters only: one pre-token, whose byte symbols go to the model."""
-        symbols = word if word.isascii() else "".join(map(_SYMBOLS.__getitem__, word.encode()))
+    def _pre_token(self, word: str, lead: str) -> bytes:
+        """Ids of what is one pre-token, such as letters only: its byte symbols go to the model."""
+        symbols = word if word.isascii() and word.isprintable() else "".join(map(_SYMBOLS.__getitem__, word.encode()))
         return _packed([t.id for t in self.tokenizer.model.tokenize((self.lead if lead else "") + symbols)])
 
     def _split(self, word: str, lead: str) -> bytes:
         # beyond ASCII only letters that the normaliser leaves as they are
         plain = word.isascii() or (unicodedata.is_normalized("NFC", word) and word.lower() == word)
         if plain and word.isalpha():
-            return self._letters(word, lead)
+            return self._pre_token(word, lead)
         if plain and word[-1:] in (",", ".") and word[:-1].isalpha():
             return (self.after_space if lead else self.bare)[word[:-1]] + self.bare[word[-1]]
+        if self.worded and "'" not in word and max(word) < "\u0100":
+            return b"".join([self.bare[p] if p.isalpha() else self._pre_token(p, "") for p in _PIECES.findall(word.lower())])
         return self._library(lead + word)
 
     def encode(self, text: str) -> bytes:

@@ -30,13 +30,13 @@ class WaveletMatrix:
             raise ValueError("a value does not fit the planes")
         planes, zeros, ranks = [], [], []
         for k in range(levels):
-            bits = ((now >> (levels - 1 - k)) & 1).astype(bool)
+            bits = (now & now.dtype.type(1 << (levels - 1 - k))) != 0
             packed = np.packbits(bits, bitorder="little")
             planes.append(packed)
             ranks.append(cls._directory(packed))
-            low = now[~bits]
+            low = now[np.flatnonzero(~bits)]  # by places, as numpy takes much longer by a mask
             zeros.append(len(low))
-            now = np.concatenate((low, now[bits]))
+            now = np.concatenate((low, now[np.flatnonzero(bits)]))
         return cls(len(values), planes, zeros, ranks)
 
     @staticmethod
@@ -102,10 +102,10 @@ class WaveletMatrix:
         """All values, in order: each plane, from the last, puts its two halves back in place."""
         now = np.zeros(self.n, dtype=np.uint16 if self.levels <= 16 else np.uint32)
         for k in reversed(range(self.levels)):
-            bits = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
+            bits = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             back = np.empty_like(now)
-            back[~bits] = now[: self.zeros[k]]
-            back[bits] = now[self.zeros[k] :] | now.dtype.type(1 << (self.levels - 1 - k))
+            back[np.flatnonzero(~bits)] = now[: self.zeros[k]]
+            back[np.flatnonzero(bits)] = now[self.zeros[k] :] | now.dtype.type(1 << (self.levels - 1 - k))
             now = back
         return now
 

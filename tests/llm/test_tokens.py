@@ -23,6 +23,18 @@ def test_ids_equal_the_library(path):
         assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_with_symbols_go_to_the_model_by_pieces(monkeypatch):
+    """Check of op9, round 3: words with digits or symbols went to the library whole, at several times the time of a word of letters."""
+    own, library, rng = encoding.Encoder(open(WORD, "rb").read()), Tokenizer.from_file(WORD), random.Random(5)
+    signs = [chr(c) for c in range(0x100) if not chr(c).isspace() and chr(c) != "'"]
+    words = ["a$$$", "eathha.%%%", "Çpa!!", "x1y22z", "½a²", *signs, *("".join(rng.choices(signs, k=rng.randint(2, 8))) for _ in range(5000))]
+    expected = {w: library.encode(w, add_special_tokens=False).ids for w in words}
+    monkeypatch.setattr(own, "_library", lambda text: pytest.fail(f"asked whole: {text!r}"))
+    for w in words:
+        if "<|" not in w:
+            assert np.frombuffer(own.encode(w), "<u4").tolist() == expected[w], repr(w)
+
+
 @pytest.mark.parametrize("n,levels", [(0, 3), (1, 1), (7, 3), (511, 9), (512, 4), (3000, 16)])
 def test_wavelet_matrix(n, levels):
     rng = np.random.default_rng(n)
