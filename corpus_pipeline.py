@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lorespan.llm import decontaminate, jaccard_join, packing, pii, toxicity
-from lorespan.llm.common import materialize, table
+from lorespan.llm.common import ROW_BATCH_BYTES, materialize, table
 
 #: Score from which a document is rejected.
 TOXIC_AT = 0.5
+#: Words that a worker remembers in a stage: fewer than the operators by themselves, as executors keep memory of earlier stages.
+WORDS = 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the toxicity model rejects; the others stay as they are."""
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return toxicity.remove_toxic(docs, model, TOXIC_AT)
+    return toxicity.remove_toxic(docs, model, TOXIC_AT, entries=WORDS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents into sequences: one row per piece."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, entries=WORDS, most=ROW_BATCH_BYTES)
 
 
 STAGES = [

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lorespan.shared import discard, materialize, shared_dir
 
-__all__ = ["BATCH_BYTES", "ROW_BATCH_BYTES", "bounded_batches", "discard", "map_texts", "materialize", "read_bytes", "remembered", "shared_dir", "slices", "table"]
+__all__ = ["BATCH_BYTES", "ROW_BATCH_BYTES", "bounded_batches", "discard", "forget", "map_texts", "materialize", "read_bytes", "remembered", "shared_dir", "slices", "table"]
 
 #: Bytes of text that one call of a per-batch function gets to see, unless one text alone is larger.
 BATCH_BYTES = 16 << 20
@@ -42,6 +42,13 @@ def remembered(key: Hashable, make: Callable[[], object]):
     return _remembered[key]
 
 
+def forget() -> None:
+    """Let go of what this worker remembers: for work that remembers nothing itself, but would run beside it."""
+    if _remembered:
+        _remembered.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def bounded_batches(spark: SparkSession, most: int = 2 * BATCH_BYTES) -> None:
     """Limit Arrow batches to ``most`` bytes, so that very long texts do not share one batch with thousands of rows.
 
@@ -69,13 +76,14 @@ def map_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     carry: tuple[str, ...] = (),
+    most: int = 2 * BATCH_BYTES,
 ) -> DataFrame:
     """One result row per row: the id, carried columns, then the columns that ``compute`` returns.
 
     ``compute`` gets a list of texts and returns one Python list (or Arrow array) per field; fields
-    are (name, Spark type) pairs.
+    are (name, Spark type) pairs. Arrow batches are of ``most`` bytes.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, most)
     picked = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),

@@ -40,12 +40,12 @@ def _packed(ids: list[int]) -> bytes:
 class _Ids(dict):
     """chunk -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, make):
+    def __init__(self, make, entries: int):
         super().__init__()
-        self.make = make
+        self.make, self.entries = make, entries
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.entries:
             self.clear()
         value = self.make(chunk)
         if len(chunk) <= 64:
@@ -56,7 +56,7 @@ class _Ids(dict):
 class Encoder:
     """``encode(text)`` gives the ids of a text as the library does, without added special tokens."""
 
-    def __init__(self, tokenizer_json: bytes):
+    def __init__(self, tokenizer_json: bytes, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
@@ -68,8 +68,8 @@ class Encoder:
         self.spaced = normalizer is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.worded = steps == ["NFC", "Replace", "Lowercase"] and (pre.get("pretokenizers") or [{}])[0].get("behavior") == "Removed"
         self.lead = "Ġ" if self.spaced else ""
-        self.bare = _Ids(self._bare)
-        self.after_space = _Ids(lambda w: self._split(w, " "))
+        self.bare = _Ids(self._bare, entries)
+        self.after_space = _Ids(lambda w: self._split(w, " "), entries)
         self.newline = self._library("\n")
 
     def _library(self, text: str) -> bytes:
@@ -112,6 +112,6 @@ class Encoder:
         return self._library(text)
 
 
-def encoder(tokenizer_json: bytes) -> Encoder:
-    """The worker's encoder for a tokenizer file; one is kept at a time."""
-    return remembered(("encoder", hash(tokenizer_json)), lambda: Encoder(tokenizer_json))
+def encoder(tokenizer_json: bytes, entries: int = CACHE_ENTRIES) -> Encoder:
+    """The worker's encoder for a tokenizer file, with so many chunks remembered at most; one is kept at a time."""
+    return remembered(("encoder", hash(tokenizer_json), entries), lambda: Encoder(tokenizer_json, entries))

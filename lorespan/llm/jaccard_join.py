@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import bounded_batches, discard, map_texts, materialize, slices, table
+from lorespan.llm.common import ROW_BATCH_BYTES, bounded_batches, discard, forget, map_texts, materialize, slices, table
 
 SHINGLE = 5
 #: Similarity in percent.
@@ -196,20 +196,22 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percen
     """doc_id, text_hash, n_shingles, key, key2, even, odd (signatures that similar sets share at least) of every row."""
 
     def compute(texts: list[str]) -> list:
+        forget()
         sets = [shingles(t, size) for t in texts]
         keys = [set_key(s) for s in sets]
         need = [shared_at_least(s, percent) for s in sets]
         return [[len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], [x[0] for x in need], [x[1] for x in need]]
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body")).withColumn("text_hash", F.xxhash64("body"))
-    return map_texts(rows, compute, [(f, "long") for f in ("n_shingles", "key", "key2", "even", "odd")], "id", "body", carry=("text_hash",))
+    return map_texts(rows, compute, [(f, "long") for f in ("n_shingles", "key", "key2", "even", "odd")], "id", "body", carry=("text_hash",), most=ROW_BATCH_BYTES)
 
 
 def signature_rows(docs: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
     """(sig, key), each class about once in a task."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, ROW_BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: set[int] = set()
         for _, texts in slices(batches, 0):
             sigs, keys, times = [], [], []
@@ -266,7 +268,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size
         return [[k[0] for k in keys], [k[1] for k in keys], [len(s) for s in sets], [s.view(np.int64) for s in sets], [bit_map(s) for s in sets]]
 
     fields = [("own", "long"), ("own2", "long"), ("n", "long"), ("items", "array<long>"), ("bits", "binary")]
-    found = map_texts(picked, compute, fields, "row_id", "body", carry=("cls", "key", "key2"))
+    found = map_texts(picked, compute, fields, "row_id", "body", carry=("cls", "key", "key2"), most=ROW_BATCH_BYTES)
     # different texts of one id and hash are told apart by their sets
     found = materialize(found.filter("own = key AND own2 = key2").select("cls", "n", "items", "bits"), "items")
     # sets are large: they are shuffled to be made unique only if rows are repeated

@@ -17,8 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import map_texts, materialize, read_bytes, table
-from lorespan.llm.encoding import encoder
+from lorespan.llm.common import BATCH_BYTES, map_texts, materialize, read_bytes, table
+from lorespan.llm.encoding import CACHE_ENTRIES, encoder
 
 CAPACITY = 2048
 #: Pieces that one rank-counting group should have; sets the number of salts.
@@ -96,32 +96,33 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, total, capacity)]
 
 
-def document_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", entries: int = CACHE_ENTRIES, most: int = 2 * BATCH_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces (ids, then ``end_id``)."""
     model = read_bytes(tokenizer_path)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def compute(texts: list[str]) -> list:
-        encode, out = encoder(model).encode, []
+        encode, out = encoder(model, entries).encode, []
         for text in texts:
             data = encode(text) + end
             out.append([x for s, n in cut(len(data) // 4, capacity) for x in (s, n, zlib.crc32(data[4 * s : 4 * (s + n)]))])
         return [out]
 
-    flat = map_texts(docs, compute, [("pieces", "array<long>")], id_col, text_col)
+    flat = map_texts(docs, compute, [("pieces", "array<long>")], id_col, text_col, most=most)
     pieces = F.transform(F.sequence(F.lit(0), (F.size("pieces") / 3 - 1).cast("int")), lambda i: F.struct(i.alias("piece"), *[F.get("pieces", i * 3 + k).alias(n) for k, n in enumerate(("start", "length", "ids_crc32"))]))
     return flat.select("doc_id", F.explode(pieces).alias("p")).select("doc_id", "p.*")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", entries: int = CACHE_ENTRIES, most: int = 2 * BATCH_BYTES) -> DataFrame:
     """Pack all documents into as few sequences as best-fit decreasing finds.
 
     Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and empty
     texts are the end id alone; only documents longer than ``capacity`` are cut. Repeated rows are
-    packed one by one; null ids are kept; an empty table gives no rows.
+    packed one by one; null ids are kept; an empty table gives no rows. ``entries`` and ``most`` trade a worker's
+    memory for time: words remembered, bytes of an Arrow batch.
     """
     spark = docs.sparkSession
-    pieces = materialize(document_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), "pieces")
+    pieces = materialize(document_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col, entries, most), "pieces")
     counts = [(r["length"], r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()]  # at most ``capacity`` rows
     salts = max(1, -(-max((n for _, n in counts), default=0) // GROUP_ROWS))
     plan = spark.createDataFrame(plan_bins(counts, capacity), "length long, first_rank long, number long, first_bin long, offset long")

@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import ROW_BATCH_BYTES, bounded_batches, map_texts, table
+from lorespan.llm.common import ROW_BATCH_BYTES, bounded_batches, forget, map_texts, table
 
 # Kinds in the order in which they are listed, schemes, cues.
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account")
@@ -194,6 +194,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str |
 
     @pandas_udf("string")
     def clean(texts):
+        forget()
         finder = _shared()
         return texts.map(lambda t: None if t is None else redact(t, finder.spans(t)))
 

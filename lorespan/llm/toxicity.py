@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import ROW_BATCH_BYTES, bounded_batches, discard, map_texts, materialize, remembered, table
+from lorespan.llm.common import ROW_BATCH_BYTES, bounded_batches, discard, forget, map_texts, materialize, remembered, table
 from lorespan.llm.learning import fold, labelled_sample, sigmoid
 
 BUCKETS = 1 << 18
@@ -148,26 +148,26 @@ class ToxicityModel:
 
 
 class _Memo(dict):
-    """word -> its amount. When half of CACHE_ENTRIES are held they are set aside, and those met again come back."""
+    """word -> its amount. When half of ``entries`` (CACHE_ENTRIES) are held they are set aside, and those met again come back."""
 
-    def __init__(self, model: ToxicityModel):
+    def __init__(self, model: ToxicityModel, entries: int | None = None):
         super().__init__()
-        self.model, self.aside = model, {}
+        self.model, self.entries, self.aside = model, entries, {}
 
     def __missing__(self, word: str) -> float:
         value = self.aside.get(word)
         if value is None:
             value = self.model.word(word)
         if len(word) <= 64:
-            if len(self) >= CACHE_ENTRIES // 2:
+            if len(self) >= (self.entries or CACHE_ENTRIES) // 2:
                 self.aside = dict(self)
                 self.clear()
             self[word] = value
         return value
 
 
-def _memo(model: ToxicityModel) -> _Memo:
-    return remembered(("toxicity", model.key), lambda: _Memo(model))
+def _memo(model: ToxicityModel, entries: int | None = None) -> _Memo:
+    return remembered(("toxicity", model.key, *([entries] if entries else [])), lambda: _Memo(model, entries))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held_out: int = 0, sample: dict[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
@@ -180,10 +180,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modul
     picked = materialize(labelled_sample(docs, labels, label, modulus, held_out, SAMPLE if sample is None else sample, id_col, text_col), "sample")
 
     def present(texts: list[str]) -> list:
+        forget()
         bags = _Bags()
         return [[document_bag(t, bags)[0] for t in texts]]
 
-    rows = map_texts(picked, present, [("rows", "array<int>")], carry=("y",)).select("y", F.explode("rows").alias("row"))
+    rows = map_texts(picked, present, [("rows", "array<int>")], carry=("y",), most=ROW_BATCH_BYTES).select("y", F.explode("rows").alias("row"))
     counts = rows.groupBy("row").agg(F.count("*").alias("n"), F.sum("y").alias("n1")).toArrow()
     classes = {r["y"]: r["n"] for r in picked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     in_all, in_1 = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -197,7 +198,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modul
         made = [document_bag(t, bags) for t in texts]
         return [[m[0][kept[m[0]]].tobytes() for m in made], [m[1][kept[m[0]]].tobytes() for m in made]]
 
-    got = map_texts(picked, compute, [("rows", "binary"), ("weights", "binary")], carry=("y",)).orderBy("doc_id").toArrow()
+    got = map_texts(picked, compute, [("rows", "binary"), ("weights", "binary")], carry=("y",), most=ROW_BATCH_BYTES).orderBy("doc_id").toArrow()
     bags = [(np.frombuffer(r, np.int32), np.frombuffer(w, np.float32)) for r, w in zip(got.column("rows").to_pylist(), got.column("weights").to_pylist(), strict=True)]
     y = got.column("y").to_numpy()
     amounts, bias = train(bags, y)
@@ -219,15 +220,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     return map_texts(docs, compute, [("score", "double")], id_col, text_col)
 
 
-def remove_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` without those that score ``threshold`` or more; all columns kept as they are."""
+def remove_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text", entries: int | None = None) -> DataFrame:
+    """``docs`` without those that score ``threshold`` or more; all columns kept as they are. ``entries``: words that a worker remembers."""
     from pyspark.sql.functions import pandas_udf
 
     bounded_batches(docs.sparkSession, ROW_BATCH_BYTES)
 
     @pandas_udf("double")
     def score(texts):
-        memo = _memo(model)
+        memo = _memo(model, entries)
         return texts.map(lambda t: model.score(t or "", memo)).astype(float)
 
     return docs.filter(score(F.col(f"`{text_col}`").cast("string")) < threshold)

@@ -143,3 +143,38 @@ def test_a_worker_remembers_little_of_toxicity(spark, monkeypatch):
     kept = toxicity.remove_toxic(docs, toxicity.ToxicityModel(np.zeros(toxicity.BUCKETS, np.float32), -1.0))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
     assert sorted(map(tuple, kept.collect())) == [(1, "a", "x"), (2, None, "y")]
+
+
+def test_stages_of_the_pipeline_leave_little_behind(spark):
+    """Check of the pipeline, round 3: the words of the toxicity stage stayed beside the sets of the next one, and its batches of 32 MB."""
+    import public_tokenizers
+
+    from lorespan.llm import common, encoding, jaccard_join, packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, f"word{i} and word{i + 1} " * 9) for i in range(40)], "doc_id long, text string").coalesce(1)
+
+    def left(batches):
+        batches = list(batches)
+        toxicity._memo(toxicity.ToxicityModel(np.zeros(toxicity.BUCKETS, np.float32), 0.0), 20)["word"]
+        before = len(common._remembered)
+        jaccard_rows = list(cut(iter(batches)))
+        assert jaccard_rows and (before, len(common._remembered)) == (1, 0)
+        return iter(batches)
+
+    class Rows:  # stands for a frame, to get at the function that the tasks run
+        sparkSession = spark
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    cut = jaccard_join.signature_rows(Rows(), "text", 5, 80)
+    left(docs.select("text").toArrow().to_batches())
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    few, many = (sorted(map(tuple, packing.pack_documents(docs, path, 0, 64, entries=n, most=4 << 20).select("doc_id", "piece", "start", "length", "ids_crc32").collect())) for n in (3, 1000))
+    assert few == many
+    small = encoding.Encoder(common.read_bytes(path), 3)
+    assert small.encode("a b c d e f g") == encoding.Encoder(common.read_bytes(path)).encode("a b c d e f g") and len(small.after_space) <= 3
