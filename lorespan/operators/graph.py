@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespan.operators.label_blocks import labels_by_blocks
 from lorespan.shared import discard
 from lorespan.shared import materialize as written
 
@@ -55,8 +56,21 @@ def label_communities(edges: DataFrame) -> DataFrame:
     others come first in turn, else the hash decides. So each move adds weight within communities, none can
     be undone, and the end is reached; the same in every run. A community carries its least node.
     """
-    both = written(edges.select("a", "b", "weight").union(edges.select("b", "a", "weight")).filter("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("weight")), "edges")
-    sides = edges.filter("a <> b").select(F.col("a").alias("node"), F.lit(0).alias("side")).union(edges.filter("a <> b").select("b", F.lit(1)))
+    linked = written(edges.filter("a <> b").select("a", "b", F.coalesce("weight", F.lit(0)).alias("weight")), "linked")
+    kinds = dict(linked.dtypes)
+    whole = kinds["a"] == kinds["b"] == "bigint" and kinds["weight"] in ("tinyint", "smallint", "int", "bigint")
+    labels = labels_by_blocks(linked) if whole else None
+    if labels is None:
+        labels = _labels_by_rows(linked)
+    discard(linked)
+    first = labels.groupBy("label").agg(F.min("node").alias("first"))
+    return labels.join(first, "label").select("node", F.col("first").alias("community"))
+
+
+def _labels_by_rows(edges: DataFrame) -> DataFrame:
+    """(node, label) of ``label_communities`` by joins of edges and labels: any type of node and weight, and nodes of any number of edges."""
+    both = written(edges.select("a", "b", "weight").union(edges.select("b", "a", "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight")), "edges")
+    sides = edges.select(F.col("a").alias("node"), F.lit(0).alias("side")).union(edges.select("b", F.lit(1)))
     labels = written(sides.groupBy("node").agg(F.min("side").alias("side")).withColumn("label", F.col("node")), "labels")
     turn = 0
     while True:
@@ -75,8 +89,7 @@ def label_communities(edges: DataFrame) -> DataFrame:
         discard(before, wants)
         turn += 1
     discard(both)
-    first = labels.groupBy("label").agg(F.min("node").alias("first"))
-    return labels.join(first, "label").select("node", F.col("first").alias("community"))
+    return labels
 
 
 def bounded_walk(edges: DataFrame, seeds: DataFrame, hops: int, fan_out: int) -> DataFrame:
