@@ -19,8 +19,8 @@ BLOCK_EDGES = 1 << 20
 #: Edges of the largest block that a task may hold.
 MOST_EDGES = 3 << 20
 
-#: What a row holds of block ``part``: links, weights and neighbours stay; state and what block ``src`` says are of one step.
-LINKS, WEIGHTS, NEAR, STATE, SAID = range(5)
+#: What a row holds of block ``part``: links, weights and neighbours stay; state and what block ``src`` says are of one step; edges are laid out once.
+LINKS, WEIGHTS, NEAR, STATE, SAID, ENDS = range(6)
 ROWS = "part int, src int, open long, data binary, kind int"
 _FIELDS = pa.schema([("part", pa.int32()), ("src", pa.int32()), ("open", pa.int64()), ("data", pa.binary()), ("kind", pa.int32())])
 
@@ -129,25 +129,57 @@ def _votes(own: np.ndarray, labels: np.ndarray, near: np.ndarray, weights: np.nd
     return nodes, label[best], ~kept[nodes] | (most > now[nodes])
 
 
+def deal(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packs the ends (node, other, weight, whether ``node`` is the edge's ``b``) of edges (a, b, weight) by the node's block."""
+
+    def packed(got: list[list[np.ndarray]]) -> pa.RecordBatch:
+        a, b, weight = (np.concatenate(c) for c in zip(*got, strict=True))
+        node = np.concatenate([a, b])
+        block = np.mod(xxhash64(node), parts).astype(np.min_scalar_type(parts))
+        order = np.argsort(block, kind="stable")
+        cut = np.searchsorted(block[order], np.arange(parts + 1))
+        ends = [x[order] for x in (node, np.concatenate([b, a]), np.concatenate([weight, weight]), np.arange(len(node)) >= len(a))]
+        return _batch([(p, -1, int(cut[p + 1] - cut[p]), pack(*(x[cut[p] : cut[p + 1]] for x in ends)), ENDS) for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist()])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                got.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                n += batch.num_rows
+            if n >= BLOCK_EDGES // 2:
+                yield packed(got)
+                got, n = [], 0
+        if got:
+            yield packed(got)
+
+    return run
+
+
 def lay_out(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Makes blocks of the edges (node, other, weight, side) that a partition holds, and the first round's wants."""
+    """Makes blocks of the ends that ``deal`` packed, and the first round's wants."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-        if not got:
-            return
+        blocks: dict[int, list[list[np.ndarray]]] = {}
+        for b in batches:
+            for part, data in zip(b.column("part").to_pylist(), b.column("data"), strict=True):
+                blocks.setdefault(part, []).append(unpack(data.as_buffer()))
+        while blocks:
+            yield laid_out(*blocks.popitem())
+
+    def laid_out(part: int, got: list[list[np.ndarray]]) -> pa.RecordBatch:
         node, other, weight, side = (np.concatenate(c) for c in zip(*got, strict=True))
-        del got
+        got.clear()
+        node, other = node.astype(np.int64), other.astype(np.int64)
         order = np.lexsort((other, node))
         node, other, weight, side = node[order], other[order], weight[order].astype(np.int64), side[order]
         begins = _cuts(node)
         if np.add.reduceat(np.abs(weight.astype(np.float64)), begins).max() >= 2**63:
             raise OverflowError("the weights of a node's edges don't fit a long")
-        ids, side = node[begins], np.minimum.reduceat(side, begins)
+        ids, side = node[begins], np.logical_and.reduceat(side, begins).astype(np.int8)
         once = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (other[1:] != other[:-1])])
         node, other, weight = node[once], other[once], np.add.reduceat(weight, once)
         own = np.repeat(np.arange(len(ids)), np.diff(np.r_[_cuts(node), len(node)]))
-        part = int(np.mod(xxhash64(ids[:1]), parts)[0])
         # neighbours are kept by their block, then by number, the order in which their block sends
         halo, near = np.unique(other, return_inverse=True)
         owner = np.mod(xxhash64(halo), parts)
@@ -158,7 +190,7 @@ def lay_out(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
         key = np.unique(owner[order][near] * len(ids) + own)
         send, send_cut = key % len(ids), np.searchsorted(key // len(ids), np.arange(parts + 1))
         _, wanted, wants = _votes(own, halo, near, weight, ids)
-        yield _batch([
+        return _batch([
             (part, -1, 0, pack(np.bincount(own), near, cut, send, send_cut), LINKS),
             (part, -1, 0, pack(weight), WEIGHTS),
             (part, -1, 0, pack(halo), NEAR),
@@ -239,12 +271,11 @@ def labels_by_blocks(edges: DataFrame) -> DataFrame | None:
     """
     spark = edges.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, -(-2 * edges.count() // BLOCK_EDGES))
-    ends = [F.struct(F.col(x).alias("node"), F.col(y).alias("other"), F.col("weight").cast("long").alias("weight"), F.lit(s).alias("side")) for s, (x, y) in enumerate(("ab", "ba"))]
-    both = edges.select(F.inline(F.array(*ends)))
-    part = F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int")
-    if (both.groupBy(part).count().agg(F.max("count")).first()[0] or 0) > MOST_EDGES:
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node"))
+    if (nodes.groupBy(F.pmod(F.xxhash64("node"), F.lit(parts))).count().agg(F.max("count")).first()[0] or 0) > MOST_EDGES:
         return None
-    blocks = written(both.repartitionById(parts, part).mapInArrow(lay_out(parts), ROWS), "blocks", "kind")
+    ends = edges.select("a", "b", F.col("weight").cast("long").alias("weight")).mapInArrow(deal(parts), ROWS)
+    blocks = written(ends.repartitionById(parts, F.col("part")).mapInArrow(lay_out(parts), ROWS), "blocks", "kind")
 
     def step(work: Callable, now: DataFrame, *kinds: int) -> DataFrame:
         rows = blocks.filter(F.col("kind").isin(*kinds)).unionByName(now.filter(F.col("kind") >= STATE))
